@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, maxscore, mixing, warc
+from . import bytes_dedup, decontaminate, langid, maxscore, mixing, substring, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op7_max_score": maxscore.op7_max_score,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_suffix_array_dedup": bytes_dedup.op9_suffix_array_dedup,
 }
 
 SQL = {
+    "op1_substring_dedup": substring.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_max_score": maxscore.OP7_SQL,
