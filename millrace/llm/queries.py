@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bytes_dedup, decontaminate, langid, maxscore, mixing, substring, warc
+from . import bytes_dedup, decontaminate, jaccard, langid, maxscore, mixing, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_language_id": langid.op3_language_id,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
