@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytes_dedup, decontaminate, jaccard, langid, maxscore, mixing, substring, warc
+from . import bytes_dedup, decontaminate, jaccard, langid, maxscore, mixing, pii, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_max_score": maxscore.op7_max_score,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_suffix_array_dedup": bytes_dedup.op9_suffix_array_dedup,
