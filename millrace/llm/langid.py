@@ -157,7 +157,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """docs without those whose language is not told: no letters, or a cosine under `least`."""
+    """docs without those whose language is not told: no letters, or a cosine under `least`.  Where no row names a language, only the former go."""
     prototypes = learn(docs.select("lang", "text"))
-    told = predict(docs.withColumn("body", F.col("text")), prototypes)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).withColumnRenamed("body", "text").select(*docs.columns)
+    if not prototypes:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    told = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), prototypes)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

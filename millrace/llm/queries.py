@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytes_dedup, decontaminate, jaccard, langid, maxscore, mixing, pii, substring, warc
+from . import bytes_dedup, decontaminate, jaccard, langid, language_model, maxscore, mixing, pii, substring, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_max_score": maxscore.op7_max_score,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_suffix_array_dedup": bytes_dedup.op9_suffix_array_dedup,
+    "op10_language_model": language_model.op10_language_model,
 }
 
 SQL = {
