@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, fold
+from .shared import bounded, documents, fold
 from .text import chunks, mix
 
 DIMENSIONS = 1024
@@ -158,6 +158,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """docs without those whose language is not told: no letters, or a cosine under `least`.  Where no row names a language, only the former go."""
+    bounded(docs.sparkSession)
     prototypes = learn(docs.select("lang", "text"))
     if not prototypes:
         return docs.filter(F.col("text").rlike(r"\p{L}"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import bounded, documents
 from .text import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -347,6 +347,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked(docs: DataFrame, table=None) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets, n_chars (if there) to match."""
+    bounded(docs.sparkSession)
     field, at = trained(table), docs.columns.index("text")
 
     def hide(batches):

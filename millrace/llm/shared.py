@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a temporary folder that is then set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+#: Rows that Python workers get at once: texts are long, and each worker holds a batch or two.
+BATCH = 1024
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """spark, with small Arrow batches unless someone has chosen their size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return spark
 
 
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """df, written as a table in the shared folder and read from there: lineage ends, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    spark = bounded(df.sparkSession)
+    path = new_folder(spark)
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -44,7 +45,7 @@ def shuffles(spark: SparkSession) -> int:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
+    return bounded(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
 def fold(column: str, modulus: int):

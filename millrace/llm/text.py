@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer document is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
