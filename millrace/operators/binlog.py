@@ -68,13 +68,16 @@ def value_json(v: Column, target: Column) -> Column:
     t = v["time"]
     temporal = F.coalesce(mysql_datetime(v["date"]), F.when(t.isNotNull(), mysql_time(t["negative"], t["days"], t["hours"], t["minutes"], t["seconds"], t["micros"])))
 
+    def text_json(c: Column) -> Column:
+        return F.when(c.isNotNull(), string_json(c))
+
     def real(c: Column) -> Column:
         text = double_json(c.cast("double"))
         return F.when(c.isNotNull(), F.when(text == "null", "0").otherwise(text))
 
     number = F.coalesce(v["int"].cast("string"), v["uint"].cast("string"), real(v["float"]), real(v["double"]))
-    plain = F.coalesce(string_json(text_or_base64(v["bytes"])), number, string_json(temporal))
-    as_text = F.coalesce(string_json(v["bytes"].cast("string")), string_json(F.coalesce(v["int"].cast("string"), v["uint"].cast("string"))), string_json(F.regexp_replace(real(v["float"]), r"\.0$", "")), string_json(F.regexp_replace(real(v["double"]), r"\.0$", "")), string_json(temporal))
+    plain = F.coalesce(text_json(text_or_base64(v["bytes"])), number, text_json(temporal))
+    as_text = F.coalesce(text_json(v["bytes"].cast("string")), text_json(F.coalesce(v["int"].cast("string"), v["uint"].cast("string"))), text_json(F.regexp_replace(real(v["float"]), r"\.0$", "")), text_json(F.regexp_replace(real(v["double"]), r"\.0$", "")), text_json(temporal))
     boolean = F.coalesce(to_boolean(v["int"], "integer"), to_boolean(v["uint"], "integer"), to_boolean(v["float"], "float"), to_boolean(v["double"], "double"), to_boolean(v["bytes"].cast("string"), "text"), to_boolean(temporal, "temporal"))
     return F.coalesce(F.when(target == "string", as_text).when(target == "boolean", boolean.cast("string")).otherwise(plain), F.lit("null"))
 
