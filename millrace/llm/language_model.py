@@ -48,6 +48,24 @@ def entries(batch_column):
         yield chunk.lo, chunk.hi, out, np.repeat(np.arange(len(sizes)), sizes), first
 
 
+#: Words that are dealt out at once, and slices of a part that a task works on one after the other.
+PIECE, SLICES = 300_000, 4
+
+
+def pieces(batches, at: int, keep: tuple = ()):
+    """Several texts at once: words, row of each, whether it is a text's first, and the rows' values of the columns in keep."""
+    held, rows, n = [], 0, 0
+    for batch in batches:
+        for lo, hi, words, row, first in entries(batch.column(at)):
+            held.append((words, row + rows, first, *(batch.column(k).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for k in keep)))
+            rows, n = rows + hi - lo, n + len(words)
+            if n >= PIECE:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, rows, n = [], 0, 0
+    if n:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
 def context_numbers(words: np.ndarray, first: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Number of the restaurant of each word: of the word before, len(heads) at a text's start, len(heads) + 1 for the root itself."""
     before = np.concatenate([[END], words[:-1]]) if len(words) else words
@@ -79,6 +97,22 @@ def dealt(words: np.ndarray, parts: int, columns: list[np.ndarray], extra=None):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", *(f"c{i}" for i in range(len(kinds) - 1))])
 
 
+def sliced(pdf: pd.DataFrame, kinds: tuple, owned: bool = False):
+    """The rows of dealt(), slice by slice of the words' range: number, words (one for each entry), the columns of those kinds, and (owned) the row of each entry's blob."""
+    words, n = [np.frombuffer(x, np.uint64) for x in pdf["c0"]], [np.frombuffer(x, np.uint32) for x in pdf["c1"]]
+    columns = [[np.frombuffer(x, kind) for x in pdf[f"c{i + 2}"]] for i, kind in enumerate(kinds)]
+    ends = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in n]
+    edges = [int(k * 2**64 / SLICES) for k in range(1, SLICES)]
+    cuts = [np.concatenate([[0], np.searchsorted(w, np.array(edges, np.uint64)), [len(w)]]) for w in words]
+    for k in range(SLICES):
+        bounds = [(c[k], c[k + 1]) for c in cuts]
+        if all(a == z for a, z in bounds):
+            continue
+        w = np.concatenate([np.repeat(w[a:z], m[a:z]) for w, m, (a, z) in zip(words, n, bounds)])
+        out = [np.concatenate([x[e[a] : e[z]] for x, e, (a, z) in zip(c, ends, bounds)]) for c in columns]
+        yield k, w, *out, *([np.repeat(np.arange(len(words), dtype=np.int32), [e[z] - e[a] for e, (a, z) in zip(ends, bounds)])] * owned)
+
+
 def blobs(column, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype) for x in column])
 
@@ -181,11 +215,9 @@ def word_table(train: DataFrame, parts: int) -> DataFrame:
     """part, words, counts (as bytes): how often each word stands in the training texts."""
 
     def count(batches):
-        for batch in batches:
-            for _, _, words, _, _ in entries(batch.column(0)):
-                kinds, n = np.unique(words, return_counts=True)
-                if len(kinds):
-                    yield dealt(kinds, parts, [n.astype(np.uint32)])
+        for words, _, _ in pieces(batches, 0):
+            kinds, n = np.unique(words, return_counts=True)
+            yield dealt(kinds, parts, [n.astype(np.uint32)])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         w, n = blobs(pdf["c0"], np.uint64), blobs(pdf["c2"], np.uint32)
@@ -223,26 +255,25 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
     texts = train.count()
     model = Model(heads, np.append(top["n"].to_numpy(np.float64), texts), tokens, kinds)
     held = train.sparkSession.sparkContext.broadcast(model)
+    names = [f"{x}{k}" for k in range(model.samples) for x in "tr"]
 
     def send(batches):
-        for batch in batches:
-            for _, _, words, _, first in entries(batch.column(0)):
-                if len(words):
-                    yield dealt(words, parts, [context_numbers(words, first, held.value.heads)])
+        for words, _, first in pieces(batches, 0):
+            yield dealt(words, parts, [context_numbers(words, first, held.value.heads)])
 
     def seat(pdf: pd.DataFrame) -> pd.DataFrame:
         m, part = held.value, int(pdf["part"].iloc[0])
-        w = np.repeat(blobs(pdf["c0"], np.uint64), blobs(pdf["c1"], np.uint32))
-        _, word, u, count = dishes(w, blobs(pdf["c2"], np.uint16))
         n = len(m.heads) + 1
-        inner = u < n
-        out = {"u": np.append(np.arange(n), -1), "c": np.append(np.bincount(u[inner], weights=count[inner], minlength=n), 0).astype(np.int64)}
-        for k, (t, root_c, root_t) in enumerate(m.seat(part, word, u, count)):
-            out[f"t{k}"] = np.append(np.bincount(u[inner], weights=t[inner], minlength=n), root_t.sum()).astype(np.int64)
-            out[f"r{k}"] = np.append(np.zeros(n, np.int64), root_c.sum())
+        out = {"u": np.append(np.arange(n), -1)} | {x: np.zeros(n + 1, np.int64) for x in ("c", *names)}
+        for s, w, u in sliced(pdf, (np.uint16,)):
+            word, u, count = dishes(w, u)
+            inner = u < n
+            out["c"][:n] += np.bincount(u[inner], weights=count[inner], minlength=n).astype(np.int64)
+            for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, word, u, count)):
+                out[f"t{k}"] += np.append(np.bincount(u[inner], weights=t[inner], minlength=n), root_t.sum()).astype(np.int64)
+                out[f"r{k}"][n] += root_c.sum()
         return pd.DataFrame(out)
 
-    names = [f"{x}{k}" for k in range(model.samples) for x in "tr"]
     sent = train.select("text").mapInArrow(send, "part long, c0 binary, c1 binary, c2 binary")
     totals = sent.groupBy("part").applyInPandas(seat, "u long, c long, " + ", ".join(f"{x} long" for x in names)).groupBy("u").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in names)).toPandas().sort_values("u")
     root, inner = totals[totals["u"] < 0], totals[totals["u"] >= 0]
@@ -256,12 +287,11 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
 
 
 def dishes(words: np.ndarray, contexts: np.ndarray):
-    """Distinct words; then of each distinct (word, context), sorted: number of the word, context, entries."""
+    """Of each distinct (word, context), sorted: number of the word, context, entries."""
     order = np.lexsort((contexts, words))
     w, u = words[order], contexts[order]
     lo = starts_of(w, u)
-    kinds, word = np.unique(w[lo], return_inverse=True)
-    return kinds, word, u[lo], np.diff(np.append(lo, len(w)))
+    return np.unique(w[lo], return_inverse=True)[1], u[lo], np.diff(np.append(lo, len(w)))
 
 
 DOC = np.dtype([("key", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
@@ -272,47 +302,45 @@ def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def send(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            learned = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, words, row, first in entries(batch.column(2)):
-                about = np.column_stack([keys[lo:hi], learned[lo:hi]]).tobytes()
-                yield dealt(words, parts, [context_numbers(words, first, held.value.heads), row.astype(np.uint32)], about)
+        for words, row, first, keys, learned in pieces(batches, 2, (0, 1)):
+            about = keys.astype(np.int64).tobytes() + learned.astype(np.uint8).tobytes()
+            yield dealt(words, parts, [context_numbers(words, first, held.value.heads), row.astype(np.uint32)], about)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         m, part = held.value, int(pdf["part"].iloc[0])
-        about = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["c4"]]
-        shift = np.cumsum([0] + [len(x) for x in about])
-        row = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + s for x, s in zip(pdf["c3"], shift)])
-        about = np.concatenate(about)
-        w = np.repeat(blobs(pdf["c0"], np.uint64), blobs(pdf["c1"], np.uint32))
-        u = blobs(pdf["c2"], np.uint16)
-        order = np.lexsort((u, w))
-        w, u, row = w[order], u[order], row[order]
-        lo = starts_of(w, u)
-        which = np.repeat(np.arange(len(lo)), np.diff(np.append(lo, len(w))))
-        count = np.add.reduceat(about[row, 1], lo)
-        w, u = w[lo], u[lo]
-        word = np.cumsum(np.concatenate([[0], (w[1:] != w[:-1]).astype(np.int64)]))
-        c = np.bincount(word, weights=count).astype(np.int64)
-        p = np.zeros(len(lo))
-        seen = count > 0
-        if seen.any():
-            own = np.unique(word[seen], return_inverse=True)
-            for k, (t, root_c, root_t) in enumerate(m.seat(part, own[1], u[seen], count[seen])):
-                tt, rc, rt = np.zeros(len(lo), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
-                tt[seen], rc[own[0]], rt[own[0]] = t, root_c, root_t
-                p += m.probability(k, u, count, tt, rc[word], rt[word])
-        else:
-            for k in range(m.samples):
-                p += m.probability(k, u, count, 0, 0, 0)
-        logs = np.log10(p / m.samples)[which]
-        base = np.log10((c[word] + 1) / (m.tokens + m.kinds + 1))[which]
-        n = len(about)
-        some = np.flatnonzero(np.bincount(row, minlength=n))
-        out = np.zeros(len(some), DOC)
-        out["key"], out["n"], out["known"] = about[some, 0], np.bincount(row, minlength=n)[some], np.bincount(row, weights=(c[word] > 0)[which], minlength=n)[some]
-        out["base"], out["score"] = np.bincount(row, weights=base, minlength=n)[some], np.bincount(row, weights=logs, minlength=n)[some]
+        texts = np.array([len(x) // 9 for x in pdf["c4"]])
+        key = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(pdf["c4"], texts)])
+        learned = np.concatenate([np.frombuffer(x[8 * n :], np.uint8) for x, n in zip(pdf["c4"], texts)])
+        shift = np.concatenate([[0], np.cumsum(texts)[:-1]])
+        out = np.zeros(len(key), DOC)
+        out["key"] = key
+        for s, w, u, row, blob in sliced(pdf, (np.uint16, np.uint32), owned=True):
+            row = (row + shift[blob]).astype(np.int32)
+            del blob
+            order = np.lexsort((u, w))
+            w, u, row = w[order], u[order], row[order]
+            lo = starts_of(w, u)
+            which = np.repeat(np.arange(len(lo), dtype=np.int32), np.diff(np.append(lo, len(w))))
+            count = np.add.reduceat(learned[row].astype(np.int64), lo)
+            w, u = w[lo], u[lo]
+            word = np.cumsum(np.concatenate([[0], (w[1:] != w[:-1]).astype(np.int64)]))
+            c = np.bincount(word, weights=count).astype(np.int64)
+            p, seen = np.zeros(len(lo)), count > 0
+            if seen.any():
+                own, number = np.unique(word[seen], return_inverse=True)
+                for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, number, u[seen], count[seen])):
+                    tt, rc, rt = np.zeros(len(lo), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+                    tt[seen], rc[own], rt[own] = t, root_c, root_t
+                    p += m.probability(k, u, count, tt, rc[word], rt[word])
+            else:
+                for k in range(m.samples):
+                    p += m.probability(k, u, count, 0, 0, 0)
+            n = len(out)
+            out["n"] += np.bincount(row, minlength=n)
+            out["known"] += np.bincount(row, weights=(c[word] > 0)[which], minlength=n).astype(np.int64)
+            out["base"] += np.bincount(row, weights=np.log10((c[word] + 1) / (m.tokens + m.kinds + 1))[which], minlength=n)
+            out["score"] += np.bincount(row, weights=np.log10(p / m.samples)[which], minlength=n)
+        out = out[out["n"] > 0]
         to = out["key"] % parts
         order = np.argsort(to, kind="stable")
         to, out = to[order], out[order]
