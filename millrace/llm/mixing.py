@@ -90,7 +90,7 @@ def schedule(spark: SparkSession, n_slots: int, shares: list[float]) -> DataFram
     return prefix.groupBy("stretch").agg(F.collect_list(F.struct("source", "before")).alias("before")).mapInArrow(deal, "slot long, source int, rank long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0, block: int = 128, seed: int = 7, per_bucket: int = 4096) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0, block: int = 128, seed: int = 7, per_bucket: int = 256) -> DataFrame:
     """docs (doc_id, source, text) -> doc_id, source, size, source_size, target, taken.
 
     taken: words the mix takes of the document, repeats counted; at most `most` whole passes are made over a source.
