@@ -102,11 +102,11 @@ def where(condition: Column | str) -> Test:
 
 
 def op_is(*ops: str) -> Test:
-    return where(F.col("op").isin(*ops))
+    return Test(lambda _: F.col("op").isin(*ops))
 
 
 def op_is_not(*ops: str) -> Test:
-    return where(~F.col("op").isin(*ops))
+    return Test(lambda _: ~F.col("op").isin(*ops))
 
 
 def keeps(test: Test, events: DataFrame) -> Column:

@@ -11,6 +11,7 @@ import hmac
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,8 +130,8 @@ def compact(value) -> str:
         if isinstance(v, float):
             size = abs(v)
             if v == 0 or 1e-5 <= size < 1e16:
-                text = f"{v:.25f}".rstrip("0") if "e" in repr(v) else repr(v)
-                return text + "0" if text.endswith(".") else text
+                text = format(Decimal(repr(v)), "f")
+                return text if "." in text else text + ".0"
             return repr(v).replace("e+", "e").replace("e-0", "e-").replace(".0e", "e")
         if isinstance(v, dict):
             return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{render(v[k])}" for k in sorted(v)) + "}"
@@ -288,7 +289,7 @@ def check_expression(spark, schema: T.StructType, expression: str) -> str | None
     try:
         kind = spark.createDataFrame([], schema).selectExpr(f"({expression}) AS x").schema["x"].dataType
     except (AnalysisException, ParseException) as e:
-        return str(e).splitlines()[0]
+        return str(e).strip().splitlines()[0]
     return None if isinstance(kind, T.BooleanType) else f"a filter must be boolean, this is {kind.simpleString()}"
 
 
