@@ -50,6 +50,8 @@ def entries(batch_column):
 
 #: Words that are dealt out at once, and slices of a part that a task works on one after the other.
 PIECE, SLICES = 300_000, 4
+#: Restaurants in a row of a task's totals.
+ROWS = 1024
 
 
 def pieces(batches, at: int, keep: tuple = ()):
@@ -255,7 +257,7 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
     texts = train.count()
     model = Model(heads, np.append(top["n"].to_numpy(np.float64), texts), tokens, kinds)
     held = train.sparkSession.sparkContext.broadcast(model)
-    names = [f"{x}{k}" for k in range(model.samples) for x in "tr"]
+    names = ["c", *(f"{x}{k}" for k in range(model.samples) for x in "tr")]
 
     def send(batches):
         for words, _, first in pieces(batches, 0):
@@ -264,7 +266,7 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
     def seat(pdf: pd.DataFrame) -> pd.DataFrame:
         m, part = held.value, int(pdf["part"].iloc[0])
         n = len(m.heads) + 1
-        out = {"u": np.append(np.arange(n), -1)} | {x: np.zeros(n + 1, np.int64) for x in ("c", *names)}
+        out = {x: np.zeros(n + 1, np.int64) for x in names}  # the root last
         for s, w, u in sliced(pdf, (np.uint16,)):
             word, u, count = dishes(w, u)
             inner = u < n
@@ -272,17 +274,22 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
             for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, word, u, count)):
                 out[f"t{k}"] += np.append(np.bincount(u[inner], weights=t[inner], minlength=n), root_t.sum()).astype(np.int64)
                 out[f"r{k}"][n] += root_c.sum()
-        return pd.DataFrame(out)
+        table = np.stack([out[x] for x in names])
+        return pd.DataFrame([{"block": lo // ROWS, "sums": table[:, lo : lo + ROWS].tobytes()} for lo in range(0, n + 1, ROWS)])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, np.int64) for x in pdf["sums"]], axis=0)
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [total.tobytes()]})
 
     sent = train.select("text").mapInArrow(send, "part long, c0 binary, c1 binary, c2 binary")
-    totals = sent.groupBy("part").applyInPandas(seat, "u long, c long, " + ", ".join(f"{x} long" for x in names)).groupBy("u").agg(F.sum("c").alias("c"), *(F.sum(x).alias(x) for x in names)).toPandas().sort_values("u")
-    root, inner = totals[totals["u"] < 0], totals[totals["u"] >= 0]
-    n = len(heads) + 1
-    blank = np.zeros(n)
-    model.context_customers = inner["c"].to_numpy(np.float64) if len(inner) else blank
-    model.context_tables = [inner[f"t{k}"].to_numpy(np.float64) if len(inner) else blank for k in range(model.samples)]
-    model.root_tables = [float(root[f"t{k}"].sum()) for k in range(model.samples)]
-    model.root_customers = [float(root[f"r{k}"].sum()) for k in range(model.samples)]
+    kind = "block long, sums binary"
+    totals = sent.groupBy("part").applyInPandas(seat, kind).groupBy("block").applyInPandas(add, kind).toPandas().sort_values("block")
+    table = np.concatenate([np.frombuffer(x, np.int64).reshape(len(names), -1) for x in totals["sums"]], axis=1) if len(totals) else np.zeros((len(names), len(heads) + 2), np.int64)
+    sums = dict(zip(names, table.astype(np.float64)))
+    model.context_customers = sums["c"][:-1]
+    model.context_tables = [sums[f"t{k}"][:-1] for k in range(model.samples)]
+    model.root_tables = [float(sums[f"t{k}"][-1]) for k in range(model.samples)]
+    model.root_customers = [float(sums[f"r{k}"][-1]) for k in range(model.samples)]
     return model
 
 
