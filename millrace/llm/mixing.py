@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0,
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", "text").mapInArrow(word_counts, docs.select("doc_id", "source").withColumn("size", F.lit(0).cast("long")).schema)
-    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("at", F.xxhash64("doc_id", "row", F.lit(seed))))
+    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("at", F.xxhash64("doc_id", "size", F.lit(seed))))
     found = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     size = {s: x[0] for s, x in found.items()}
     aims, names = targets(size, weights, most), sorted(size, key=lambda s: (s is None, s or ""))
@@ -107,7 +107,7 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0,
     sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source_no", "bucket").orderBy("at", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = placed.join(sums, ["source_no", "bucket"]).withColumn("end", F.col("ahead") + F.sum("size").over(inside)).withColumn("start", F.col("end") - F.col("size"))
     pieces = (
         line.filter("size > 0")
