@@ -227,8 +227,9 @@ def verdicts(found: DataFrame, docs: DataFrame, shape: Shape, decide, settled) -
     spark = found.sparkSession
     sample = F.min(F.struct("doc", "key", F.element_at("starts", 1).alias("start"), "length")).alias("sample")
     kinds = stored(found.groupBy("h", "ctx").agg(F.sum(F.size("starts")).cast("long").alias("n"), F.min("doc").alias("first"), F.first("lead").alias("lead"), sample))
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("of_h"))
-    some = stored(kinds.join(anchors.filter("of_h > 1"), "h"))
+    # stored, so that the join below reads two plain exchanges and Spark can split a common anchor
+    anchors = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("of_h")).filter("of_h > 1"))
+    some = stored(kinds.join(anchors, "h"))
     alone = some.filter((F.col("kinds") == 1) | settled(F.col("n")))
     whole = alone.select("h", "ctx", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.col("sample.length") - shape.width + 1).alias("hi"), F.array("first").alias("first"))
     mixed = some.filter("kinds > 1")
