@@ -595,6 +595,43 @@ def primary_key_columns(spark, sf):
     return keys.select("table_id", F.posexplode("keys").alias("p", "key_name")).select("table_id", "key_name", (F.col("p") + 1).alias("place"))
 
 
+@query("WITH @cdc SELECT op, id FROM cdc")
+def log_decoder_by_plugin(spark, sf):
+    from ..operators.decoders import decode_log
+
+    return decode_log("pgoutput", pgoutput_payloads(spark, sf), "shop").select("op", "id")
+
+
+@query("""WITH m AS (SELECT event_id, user_id % 20 AS table_id, event_type FROM events WHERE event_type = 'purchase')
+SELECT e.event_id, e.user_id % 20 AS table_id, m.event_id AS map_seq FROM events e ASOF JOIN m ON e.user_id % 20 = m.table_id AND e.event_id >= m.event_id WHERE e.event_type = 'click'""")
+def table_map_lookup(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.pmod("user_id", F.lit(20)).alias("table_id"), "event_type")
+    maps = e.filter("event_type = 'purchase'").select("table_id", "seq", F.col("seq").alias("map_seq"))
+    return binlog.with_table_map(e.filter("event_type = 'click'"), maps).select(F.col("seq").alias("event_id"), "table_id", F.col("table_map.map_seq").alias("map_seq"))
+
+
+@query("WITH @cdc SELECT op, id, CAST(ts_ms AS DOUBLE) AS ts, lsn FROM cdc")
+def script_projection(spark, sf):
+    from ..operators.projections import for_scripts
+
+    return for_scripts(cdc_events(spark, sf)).select("op", "id", F.col("tsMs").alias("ts"), F.col("source.lsn").alias("lsn"))
+
+
+@query("WITH @cdc SELECT 'r' AS op, lsn || ':' || xid AS id, event_id FROM cdc")
+def built_events(spark, sf):
+    from ..operators.projections import built
+
+    e = cdc_events(spark, sf).drop("id", "op")
+    return built(e).select("op", "id", F.coalesce("after.event_id", "before.event_id").alias("event_id"))
+
+
+@query("SELECT 'customer' AS table_name, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS names UNION ALL SELECT 'region', 'r_regionkey,r_name'")
+def columns_by_table(spark, sf):
+    rows = [(t, i, f.name, f.dataType.simpleString()) for t in ("customer", "region") for i, f in enumerate(table(spark, sf, t).schema.fields)]
+    cols = A.columns_by_table(spark.createDataFrame(rows[::-1], "table_name string, position int, name string, type string"))
+    return cols.select("table_name", F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("names"))
+
+
 # --- state
 
 

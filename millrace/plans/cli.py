@@ -93,6 +93,11 @@ pipeline = Pipeline([Filter(op_is_not("d"))])
 '''
 
 
+def located(path: str) -> str:
+    """A path for Spark: one without a scheme is of this process's folder."""
+    return path if "://" in path else os.path.abspath(path)
+
+
 def capture(args, show: bool = False) -> None:
     from ..operators.pgoutput import decode
     from ..sources.files import read_payloads
@@ -100,8 +105,8 @@ def capture(args, show: bool = False) -> None:
     from ..streaming.state import StateStore, start_position
 
     made = settings.load(args.config)
-    spark, output = session(), args.output or "events"
-    store = StateStore(spark, made.state.path)
+    spark, output = session(), located(args.output or "events")
+    store = StateStore(spark, located(made.state.path))
     last = store.last_offset()
     start = start_position(args.from_lsn or made.capture.from_lsn, last["lsn"] if last else None)
     if args.data and made.capture.snapshot and not args.no_snapshot:

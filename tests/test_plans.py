@@ -86,3 +86,17 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["test", "--file", "bad.json"]) == DecodeError.exit_code
     assert cli.main(["test", "--file", "gone.json"]) == InputOutputError.exit_code
     assert cli.main(["test", "--list"]) == 0
+
+
+def test_schema_cache():
+    from millrace.plans.catalog import SchemaCache
+
+    reads = []
+    c = SchemaCache(lambda db, t: reads.append((db, t)) or [("id", "integer", False)])
+    c.get("shop", "t"), c.get("shop", "t"), c.get("shop", "u")
+    assert len(reads) == 2
+    assert c.saw("shop", "ALTER TABLE `t` ADD x int") == ("shop", "t") and c.saw("shop", "SELECT 1") is None
+    c.get("shop", "t")
+    assert len(reads) == 3
+    c.invalidate_db("shop")
+    assert c.held == {}

@@ -150,3 +150,41 @@ def test_frames(spark):
     assert got == ["event: error\nid: x\ndata: {}\n\n", "event: error\ndata: [1]\n\n"]
     assert len(sinks.FRAMES) == 8
     assert spark.range(1).select(sinks.lagged(F.lit(3))).first()[0] == 'event: error\ndata: {"code":"lagged","skipped":3}\n\n'
+
+
+def test_server(spark, tmp_path):
+    import http.client
+
+    from millrace.streaming.server import EventServer
+
+    events(spark, 7).write.parquet(str(tmp_path / "out"))
+    server = EventServer(spark, str(tmp_path / "out"), lambda: {"status": "ok", "state": "streaming"}, api_key="k", poll_s=0.05).start()
+    try:
+
+        def get(path, **headers):
+            c = http.client.HTTPConnection("127.0.0.1", server.port, timeout=60)
+            c.request("GET", path, headers=headers)
+            return c.getresponse()
+
+        assert get("/health").status == 200 and get("/status").status == 401 and get("/nothing", **{"X-Api-Key": "k"}).status == 404
+        assert b"streaming" in get("/status", Authorization="Bearer k").read()
+        r = get("/events", **{"X-Api-Key": "k", "Last-Event-ID": "e4"})
+        lines = [r.readline().decode().strip() for _ in range(8)]
+        assert [x for x in lines if x.startswith("id:")] == ["id: e5", "id: e6"] and lines[0] == "event: change"
+    finally:
+        server.stop()
+
+
+def test_decoder_names(spark):
+    from millrace.errors import ConfigError
+    from millrace.operators.decoders import decode_log
+
+    with pytest.raises(ConfigError):
+        decode_log("test_decoding", spark.createDataFrame([], PAYLOAD), "db")
+    text = '{"xid":1,"change":[{"kind":"insert","table":"t","columnnames":["a"],"columnvalues":[1]}]}'
+    assert decode_log("wal2json", spark.createDataFrame([("s", 1, bytearray(text.encode()))], PAYLOAD), "db").first()["after"] == '{"a":1}'
+    bad = spark.createDataFrame([(1,)], "ts_ms long").selectExpr("string(null) AS before", "string(null) AS after", "ts_ms")
+    from millrace.operators.projections import built
+
+    with pytest.raises(Exception, match="needs a source"):
+        built(bad).collect()
