@@ -182,13 +182,10 @@ def lsn_format(spark, sf):
     return changes(spark, sf).select("event_id", S.lsn_format(F.col("lsn_num")).alias("lsn"), S.lsn_format_long(n).alias("wide"))
 
 
-@query("WITH @cdc SELECT event_id, lsn_num, row_number() OVER (ORDER BY lsn_num, event_id) AS place FROM cdc")
+@query("WITH @cdc SELECT event_id, lsn_num, lsn_num > 16777216 + 4194304 AS later, lsn > '1/00000000' AS later_as_text FROM cdc")
 def lsn_parse_order(spark, sf):
-    # places in order of position: a global order, as the oracle has it
-    from pyspark.sql import Window
-
-    c = changes(spark, sf).select("event_id", S.lsn_parse(F.col("lsn")).cast("long").alias("lsn_num"))
-    return c.withColumn("place", F.row_number().over(Window.orderBy("lsn_num", "event_id")).cast("long"))
+    n = S.lsn_parse(F.col("lsn"))
+    return changes(spark, sf).select("event_id", n.cast("long").alias("lsn_num"), (n > S.lsn_parse(F.lit("0/1400000"))).alias("later"), (F.col("lsn") > "1/00000000").alias("later_as_text"))
 
 
 @query("""
