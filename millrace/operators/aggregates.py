@@ -15,7 +15,7 @@ def totals_by_op(events: DataFrame) -> DataFrame:
 
 def per_second(events: DataFrame, ts_ms: str = "ts_ms") -> DataFrame:
     """Events of each second that has any: second (since 1970), n_events."""
-    return events.groupBy(F.floor(F.col(ts_ms) / 1000).alias("second")).agg(F.count("*").alias("n_events"))
+    return events.groupBy(F.call_function("div", F.col(ts_ms), F.lit(1000)).alias("second")).agg(F.count("*").alias("n_events"))
 
 
 def distinct_events(events: DataFrame, id: str = "id") -> DataFrame:

@@ -21,7 +21,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a change log: flat, four events a transaction."""
     e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")
-    e = e.select("event_id", "user_id", "value", "props", "event_type", op.alias("op"), F.floor(F.col("event_id") / 4).alias("xid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    e = e.select("event_id", "user_id", "value", "props", "event_type", op.alias("op"), F.call_function("div", F.col("event_id"), F.lit(4)).alias("xid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     e = e.withColumn("lsn_num", F.lit(16777216) + F.col("xid") * 256)
     return ordinals(e, "xid", "event_id").withColumn("lsn", lsn_format_long(F.col("lsn_num")))
 
@@ -109,7 +109,7 @@ def binlog_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offset for each hundredth event; every seventh of them final."""
     c = changes(spark, sf_dir).filter("event_id % 100 = 0")
-    n = (F.col("event_id") / 100).cast("long")
+    n = F.call_function("div", F.col("event_id"), F.lit(100))
     return c.select((n + 1).alias("sequence"), "lsn", F.col("xid").cast("string").alias("tx_id"), "ts_ms", (F.pmod(n, F.lit(7)) == 0).alias("is_final"))
 
 

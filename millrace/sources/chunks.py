@@ -60,8 +60,9 @@ def assign_chunk(key: Column, low: int, high: int, n: int) -> Column:
     size, extra = max(1, length // n), length % n if length >= n else 0
     at = key.cast("long") - low
     wide = (size + 1) * extra
-    number = F.when(at < wide, F.floor(at / (size + 1))).otherwise(F.floor((at - wide) / size) + extra)
-    return F.greatest(F.lit(0).cast("long"), F.least(number.cast("long"), F.lit(n - 1).cast("long")))
+    # whole-number division: a double would misplace keys beyond 2**53
+    number = F.when(at < wide, F.call_function("div", at, F.lit(size + 1))).otherwise(F.call_function("div", at - wide, F.lit(size)) + extra)
+    return F.greatest(F.lit(0).cast("long"), F.least(number, F.lit(n - 1).cast("long")))
 
 
 def count_rows(df: DataFrame, key: str, low: int, high: int, n: int, table: str) -> DataFrame:

@@ -45,6 +45,16 @@ def test_counts_cover_all_rows(spark):
     assert few.count() == 8 and few.filter("n_rows > 0").count() == 3
 
 
+def test_large_keys(spark):
+    low, high, n = 2**60, 2**60 + 10**15 + 6, 1000
+    plan = {r["chunk"]: r for r in chunks.chunk_plan(spark, "t", low, high, n).collect()}
+    keys = [k + d for r in plan.values() for k in (r["start_key"],) for d in (-1, 0, 1) if low <= k + d <= high] + [high]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", chunks.assign_chunk(F.col("k"), low, high, n).alias("c")).collect()
+    for r in got:
+        p = plan[r["c"]]
+        assert p["start_key"] <= r["k"] and (p["end_key"] is None or r["k"] < p["end_key"])
+
+
 def test_skew(spark):
     even = spark.createDataFrame([("a", 10), ("a", 10), ("b", 0), ("b", 0)] + [("c", 1000)] + [("c", 0)] * 20, "table string, n_rows long")
     assert {r["table"]: r["skewed"] for r in chunks.skew(even).collect()} == {"a": False, "b": False, "c": True}
