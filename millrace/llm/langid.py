@@ -57,7 +57,7 @@ class Runs:
         self.letters: dict[int, int] = {GAP: 0}
         self.codes = [GAP]
         self.rows: dict[int, int] = {}
-        self.table = np.zeros((1 << 12, DIMENSIONS), np.float32)
+        self.table = np.zeros((1 << 12, DIMENSIONS), np.int8)
 
     def small(self, symbols: np.ndarray) -> np.ndarray:
         """Letters as small numbers."""
@@ -78,7 +78,7 @@ class Runs:
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.table[at] = run_vector(self.codes[r >> 42] << 42 | self.codes[(r >> 21) & 0x1FFFFF] << 21 | self.codes[r & 0x1FFFFF])
             out[i] = at
-        return self.table[out]
+        return self.table[out].astype(np.float32)
 
 
 def run_counts(batch_column, runs: Runs):
@@ -120,31 +120,42 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array([x["x"] for x in r["v"]]) for r in rows}
 
 
+class Predictor:
+    """Tells languages by their prototypes, the mean of all taken off."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray]):
+        self.names = sorted(prototypes)
+        unit = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-9) for n in self.names]).reshape(-1, DIMENSIONS)
+        middle = unit.mean(axis=0) if len(self.names) > 1 else np.zeros(DIMENSIONS)
+        middle = middle / max(np.linalg.norm(middle), 1e-9)
+        apart = unit - (unit @ middle)[:, None] * middle
+        apart = apart / np.maximum(np.linalg.norm(apart, axis=1), 1e-9)[:, None]
+        self.axes = np.concatenate([apart, middle[None]]).astype(np.float32)
+
+    def tell(self, column, runs: Runs) -> tuple[list[str], list[float]]:
+        """Language and score (cosine, not under 0) of each text of a column."""
+        langs, scores = [], []
+        for v in text_vectors(column, runs):
+            if v is None or not self.names:
+                langs.append("und")
+                scores.append(0.0)
+                continue
+            along = self.axes @ v
+            rest = max(float(v @ v) - float(along[-1]) ** 2, 1e-9) ** 0.5
+            best = int(np.argmax(along[:-1]))
+            langs.append(self.names[best])
+            scores.append(min(1.0, max(0.0, float(along[best]) / rest)))
+        return langs, scores
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """docs with a text -> docs without it, with lang_pred and score (cosine, not under 0)."""
-    names = sorted(prototypes)
-    unit = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-9) for n in names]).reshape(-1, DIMENSIONS)
-    middle = unit.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS)
-    middle = middle / max(np.linalg.norm(middle), 1e-9)
-    apart = unit - (unit @ middle)[:, None] * middle
-    apart = (apart / np.maximum(np.linalg.norm(apart, axis=1), 1e-9)[:, None]).astype(np.float32)
-    keep = [c for c in docs.columns if c != "text"]
-    axes = np.concatenate([apart, middle[None].astype(np.float32)])
+    """docs with a text -> docs without it, with lang_pred and score."""
+    keep, predictor = [c for c in docs.columns if c != "text"], Predictor(prototypes)
 
     def tell(batches):
         runs = Runs()
         for batch in batches:
-            langs, scores = [], []
-            for v in text_vectors(batch.column(len(keep)), runs):
-                if v is None or not names:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                along = axes @ v
-                rest = max(float(v @ v) - float(along[-1]) ** 2, 1e-9) ** 0.5
-                best = int(np.argmax(along[:-1]))
-                langs.append(names[best])
-                scores.append(min(1.0, max(0.0, float(along[best]) / rest)))
+            langs, scores = predictor.tell(batch.column(len(keep)), runs)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
@@ -162,5 +173,12 @@ def keep_known(docs: DataFrame, least: float = 0.05) -> DataFrame:
     prototypes = learn(docs.select("lang", "text"))
     if not prototypes:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), prototypes)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    predictor, at = Predictor(prototypes), docs.columns.index("text")
+
+    def keep(batches):
+        runs = Runs()
+        for batch in batches:
+            langs, scores = predictor.tell(batch.column(at), runs)
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
