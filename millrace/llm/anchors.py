@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, shuffles, stored
+from .shared import drop, part_names, shuffles, stored
 from .text import _WORD_BASE, byte_values, chunks, sliding_argmin, spans_hash
 
 #: Bits of the bitmap: 16 MB whatever the input.
@@ -173,7 +173,7 @@ def crowded(rows: DataFrame, shape: Shape, parts: int) -> DataFrame:
 
     rows (h, ctx, n, first, symbols) -> VERDICT rows.  A window found in one segment only, that occurs once, gets no verdict.
     """
-    width = shape.width
+    width, names = shape.width, part_names(parts)
 
     def windows(batches):
         for batch in batches:
@@ -196,7 +196,7 @@ def crowded(rows: DataFrame, shape: Shape, parts: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         lo, hi = runs_of(to[order])
         table = np.stack(cols, axis=1)[order]
-        yield pa.RecordBatch.from_arrays([pa.array(to[order][lo]), pa.array([table[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())], names=["part", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array(names[to[order][lo]]), pa.array([table[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())], names=["part", "rows"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 6) for x in pdf["rows"]])

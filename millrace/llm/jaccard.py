@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, shuffles, stored
+from .shared import documents, part_names, shuffles, stored
 from .text import chunks, mix
 
 N = 5
@@ -108,6 +108,8 @@ def signed(docs: DataFrame, parts: int, single: bool = False) -> DataFrame:
     single: one for each shingle, whatever the size.
     """
 
+    spread = part_names(parts)
+
     def sign(batches):
         for batch in batches:
             ids, labels, masses, common = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4))
@@ -136,7 +138,7 @@ def signed(docs: DataFrame, parts: int, single: bool = False) -> DataFrame:
         names, sigs, runs = [], [], []
         for a, z in zip(cut, np.append(cut[1:], len(to))):
             lo = np.flatnonzero(np.concatenate([[True], who[a + 1 : z] != who[a : z - 1]]))
-            names.append(int(to[a]))
+            names.append(int(spread[to[a]]))
             sigs.append(sig[a:z].tobytes())
             runs.append(squeeze.compress(np.column_stack([about[who[a:z][lo]], np.diff(np.append(lo, z - a))]).T.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sigs, pa.binary()), pa.array(runs, pa.binary())], names=["part", "sigs", "runs"])
@@ -160,20 +162,20 @@ def unpacked(pdf: pd.DataFrame):
     return who, runs, lo[some], hi[some]
 
 
-def dealt(table: np.ndarray, parts: int) -> pd.DataFrame:
+def dealt(table: np.ndarray, names: np.ndarray) -> pd.DataFrame:
     """Rows of numbers, packed by a hash of the first column, so that a part gives a few rows and not one for each document."""
-    to = (mix(table[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    to = (mix(table[:, 0].astype(np.uint64)) % np.uint64(len(names))).astype(np.int64)
     order = np.argsort(to, kind="stable")
     to, table = to[order], np.ascontiguousarray(table[order], np.int64)
     lo = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.empty(0, np.int64)
-    return pd.DataFrame({"part": to[lo], "rows": [table[a:z].tobytes() for a, z in zip(lo, np.append(lo[1:], len(to)))]})
+    return pd.DataFrame({"part": names[to[lo]], "rows": [table[a:z].tobytes() for a, z in zip(lo, np.append(lo[1:], len(to)))]})
 
 
 def rows_of(pdf: pd.DataFrame, width: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, np.int64).reshape(-1, width) for x in pdf["rows"]])
 
 
-def shared_counts(parts: int):
+def shared_counts(names: np.ndarray):
     """Of each document and band: signatures that others have too, and how many others have them in all."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +186,7 @@ def shared_counts(parts: int):
         others = np.cumsum(steps[:-1])
         n, mass = np.bincount(who[others > 0], minlength=len(runs["doc"])), np.bincount(who, weights=others, minlength=len(runs["doc"])).astype(np.int64)
         some = np.flatnonzero(n)
-        return dealt(np.column_stack([runs["doc"][some], runs["band"][some], runs["certain"][some], n[some], mass[some]]), parts)
+        return dealt(np.column_stack([runs["doc"][some], runs["band"][some], runs["certain"][some], n[some], mass[some]]), names)
 
     return count
 
@@ -204,18 +206,19 @@ def counted(texts: DataFrame, parts: int, single: bool = False) -> DataFrame:
     """likely() over texts (doc, text)."""
     zero = F.lit(0).cast("long")
     signs = signed(texts.select("doc", "text").withColumns({"label": zero, "mass": zero, "common": zero}), parts, single)
-    return signs.groupBy("part").applyInPandas(shared_counts(parts), "part long, rows binary").groupBy("part").applyInPandas(likely, "doc long, n long, mass long")
+    return signs.groupBy("part").applyInPandas(shared_counts(part_names(parts)), "part long, rows binary").groupBy("part").applyInPandas(likely, "doc long, n long, mass long")
 
 
 def paired(docs: DataFrame, pairs, parts: int) -> DataFrame:
     """Distinct pairs (a, b) of what pairs() gives for the parts of docs' signatures."""
+    spread = part_names(parts)
 
     def unique(pdf: pd.DataFrame) -> pd.DataFrame:
         found = np.unique(rows_of(pdf, 2), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        return dealt(pairs(pdf), parts)
+        return dealt(pairs(pdf), spread)
 
     return signed(docs, parts).groupBy("part").applyInPandas(deal, "part long, rows binary").groupBy("part").applyInPandas(unique, "a long, b long")
 

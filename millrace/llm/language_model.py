@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, fold, shuffles, stored
+from .shared import documents, fold, part_names, shuffles, stored
 from .text import chunks
 
 END = np.uint64(0x0123456789ABCDEF)
@@ -85,16 +85,16 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def dealt(words: np.ndarray, parts: int, columns: list[np.ndarray], extra=None):
-    """A record batch: part, w (distinct words), n (entries of each), and the columns' values, all as bytes."""
-    to = (words % np.uint64(parts)).astype(np.int64)
+def dealt(words: np.ndarray, names: np.ndarray, columns: list[np.ndarray], extra=None):
+    """A record batch: part (one of the names), w (distinct words), n (entries of each), and the columns' values, all as bytes."""
+    to = (words % np.uint64(len(names))).astype(np.int64)
     order = np.lexsort((words, to))
     words, to, columns = words[order], to[order], [c[order] for c in columns]
     cut = starts_of(to)
     rows = []
     for a, z in zip(cut, np.append(cut[1:], len(to))):
         lo = starts_of(words[a:z])
-        rows.append((int(to[a]), words[a:z][lo].tobytes(), np.diff(np.append(lo, z - a)).astype(np.uint32).tobytes(), *(c[a:z].tobytes() for c in columns), *(() if extra is None else (extra,))))
+        rows.append((int(names[to[a]]), words[a:z][lo].tobytes(), np.diff(np.append(lo, z - a)).astype(np.uint32).tobytes(), *(c[a:z].tobytes() for c in columns), *(() if extra is None else (extra,))))
     kinds = [pa.int64()] + [pa.binary()] * (len(rows[0]) - 1)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", *(f"c{i}" for i in range(len(kinds) - 1))])
 
@@ -216,10 +216,12 @@ class Model:
 def word_table(train: DataFrame, parts: int) -> DataFrame:
     """part, words, counts (as bytes): how often each word stands in the training texts."""
 
+    spread = part_names(parts)
+
     def count(batches):
         for words, _, _ in pieces(batches, 0):
             kinds, n = np.unique(words, return_counts=True)
-            yield dealt(kinds, parts, [n.astype(np.uint32)])
+            yield dealt(kinds, spread, [n.astype(np.uint32)])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         w, n = blobs(pdf["c0"], np.uint64), blobs(pdf["c2"], np.uint32)
@@ -246,6 +248,7 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
             n = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([x.sum() for x in n], pa.int64()), pa.array([len(x) for x in n], pa.int64())], names=["tokens", "kinds"])
 
+    spread = part_names(parts)
     table = word_table(train, parts)
     total = table.select("counts").mapInArrow(sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     end = int(END.view(np.int64))
@@ -261,7 +264,7 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
 
     def send(batches):
         for words, _, first in pieces(batches, 0):
-            yield dealt(words, parts, [context_numbers(words, first, held.value.heads)])
+            yield dealt(words, spread, [context_numbers(words, first, held.value.heads)])
 
     def seat(pdf: pd.DataFrame) -> pd.DataFrame:
         m, part = held.value, int(pdf["part"].iloc[0])
@@ -306,12 +309,12 @@ DOC = np.dtype([("key", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"),
 
 def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     """docs (key, learned, text) -> key, n_tokens, n_known, base_score, score; rows of one key must be alike."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, spread = docs.sparkSession.sparkContext.broadcast(model), part_names(parts)
 
     def send(batches):
         for words, row, first, keys, learned in pieces(batches, 2, (0, 1)):
             about = keys.astype(np.int64).tobytes() + learned.astype(np.uint8).tobytes()
-            yield dealt(words, parts, [context_numbers(words, first, held.value.heads), row.astype(np.uint32)], about)
+            yield dealt(words, spread, [context_numbers(words, first, held.value.heads), row.astype(np.uint32)], about)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         m, part = held.value, int(pdf["part"].iloc[0])
@@ -352,7 +355,7 @@ def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         to, out = to[order], out[order]
         cut = starts_of(to)
-        return pd.DataFrame({"part": to[cut], "docs": [out[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(to)))]})
+        return pd.DataFrame({"part": spread[to[cut]], "docs": [out[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(to)))]})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         x = blobs(pdf["docs"], DOC)

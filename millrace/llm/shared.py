@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,20 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@lru_cache(maxsize=32)
+def part_names(parts: int) -> np.ndarray:
+    """Names for parts such that a shuffle by name into as many partitions gives each partition one part.
+
+    Numbers 0, 1, 2... would share partitions by chance, some tasks with several parts and some with none.
+    """
+    spark = SparkSession.getActiveSession()
+    at = F.pmod(F.hash("id"), F.lit(parts))
+    first = spark.range(0, 40 * parts + 1000, 1, 1).groupBy(at.alias("at")).agg(F.min("id").alias("name")).collect()
+    names = {r["at"]: r["name"] for r in first}
+    rest = iter(range(10**9, 10**9 + parts))
+    return np.array([names.get(p, next(rest)) for p in range(parts)], np.int64)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return bounded(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 

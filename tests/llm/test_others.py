@@ -12,7 +12,7 @@ import plain
 import pytest
 
 from millrace.llm import decontaminate, langid, language_model, maxscore, mixing, pii, queries, warc
-from millrace.llm.shared import stored
+from millrace.llm.shared import part_names, stored
 from millrace.storage import shared_dir
 
 # --- language id
@@ -323,7 +323,7 @@ def spark_free_score(model, texts, context, word):
     p = 0.0
     if len(w):
         number, ctx, count = language_model.dishes(w, c)
-        for k, (t, root_c, root_t) in enumerate(model.seat(part * slices + cut, number, ctx, count)):
+        for k, (t, root_c, root_t) in enumerate(model.seat(int(part_names(parts)[part]) * slices + cut, number, ctx, count)):
             i = int(np.searchsorted(known, target)) if target in known else None
             hit = np.flatnonzero((number == i) & (ctx == at)) if i is not None else []
             own, tab = (int(count[hit[0]]), int(t[hit[0]])) if len(hit) else (0, 0)
@@ -358,6 +358,15 @@ def test_language_model_edges(spark):
 # --- shared
 
 
+def test_each_part_has_a_partition(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 4, 51, 211):
+        names = part_names(n)
+        df = spark.createDataFrame([(int(x),) for x in names], "part long").repartition(n, "part").select(F.spark_partition_id().alias("p"))
+        assert df.distinct().count() == n
+
+
 def test_stored_tables(spark):
     df = stored(spark.range(5))
     assert df.count() == 5 and df._stored_at.startswith(shared_dir(spark))
