@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, stored
+from .shared import documents, listed, stored
 
 #: Rows up to which the items' sketches, and with 24 bytes a row their size, are broadcast.
 BROADCAST_ROWS = 400_000
@@ -66,7 +66,8 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75)
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold an item."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(contained(docs, items).select("doc_id").distinct())
+    return docs.join(listed(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

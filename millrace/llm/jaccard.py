@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, part_names, shuffles, stored
+from .shared import documents, listed, part_names, shuffles, stored
 from .text import chunks, mix
 
 N = 5
@@ -414,19 +414,19 @@ def join(docs: DataFrame) -> DataFrame:
     about = stored(keyed.mapInArrow(describe, "doc_id long, doc long, n long, h1 long, h2 long"))
     classes = stored(about.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "doc")).alias("first")).select("n", "h1", "h2", F.col("first.doc_id").alias("first_id"), F.col("first.doc").alias("rep")))
     copies = stored(about.join(classes, ["n", "h1", "h2"]).filter("doc != rep").select("doc").distinct())
-    single = keyed.filter("doc_id is not null").select("doc", "text").join(copies, "doc", "left_anti")
+    single = keyed.filter("doc_id is not null").select("doc", "text").join(listed(copies), "doc", "left_anti")
     chosen = stored(counted(single, parts))
     # of a document with a link, 3 in 4 shingles at least are in another that is still in question
-    known = single.join(chosen.select("doc"), "doc")
+    known = single.join(listed(chosen.select("doc")), "doc")
     chosen = stored(counted(known, parts, single=True).withColumnRenamed("n", "common"))
 
-    def listed(batches):
+    def described(batches):
         for batch in batches:
             sets = list(sets_of(batch.column(1)))
             made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + made, names=["doc", "text", "mass", "common", "size", "shingles", "sketch"])
 
-    held = stored(single.join(chosen, "doc").select("doc", "text", "mass", "common").mapInArrow(listed, "doc long, text string, mass long, common long, size long, shingles binary, sketch binary"))
+    held = stored(single.join(listed(chosen), "doc").select("doc", "text", "mass", "common").mapInArrow(described, "doc long, text string, mass long, common long, size long, shingles binary, sketch binary"))
     sets = held.select("doc", "shingles")
     first = paired(held.withColumn("label", F.lit(0).cast("long")), pivot_pairs, parts)
     labels = components(stored(verified(first, sets)))
@@ -450,8 +450,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that have a smaller document in their component (of rows with one id, all or none)."""
-    gone = join(docs).filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(join(docs).filter("component_id != doc_id").select("doc_id").distinct())
+    return docs.join(listed(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 OP2_SQL = r"""

@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_substring_dedup": substring.OP1_SQL,
+    "op2_jaccard_join": jaccard.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_max_score": maxscore.OP7_SQL,

@@ -34,6 +34,15 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return out
 
 
+#: Rows up to which a list of keys with a number or two each (some 32 MB in memory) is broadcast.
+LIST_ROWS = 1_000_000
+
+
+def listed(df: DataFrame) -> DataFrame:
+    """A stored list of keys, marked for broadcast if it is short enough; else it is joined as it is, with a shuffle."""
+    return F.broadcast(df) if df.limit(LIST_ROWS + 1).count() <= LIST_ROWS else df
+
+
 def drop(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     spark, path = df.sparkSession, getattr(df, "_stored_at", None)
