@@ -1,15 +1,15 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The tree of restaurants: one for each of the most frequent words as context (`contexts` of them, and one for the start of a
-text), all with the root restaurant of single words as parent, whose base is uniform over the known words and one unknown.  A word
-after any other context sits in the root.  Customers are the training texts' words; seating is sampled by Gibbs: in each sweep the number of
+The tree of restaurants: one for each word of the training texts as context, and one for the start of a text,
+all with the root restaurant of single words as parent, whose base is uniform over the known words and one unknown.  There is one
+level of contexts.  After a word never seen in training the root decides.  Customers are the training texts' words; seating is sampled by Gibbs: in each sweep the number of
 tables of each dish in each restaurant is drawn given all the rest.  After `burn` sweeps, `samples` more are kept, and a word's
 probability is the mean of their predictive probabilities.
 
 The dishes are dealt out by word; a task holds all restaurants' tables of its words and draws them with the other tasks'
 share of a restaurant's tables estimated from its own.  The kept samples' totals are then summed over all tasks, so the probabilities of
-all words after a context sum to one.  Scoring deals the words of all texts out the same way, seats the training ones again with the same
-random numbers, and sums logarithms by document.  All words count; only a table of one row for each context is held by the driver.
+all words after a context sum to one.  Totals are a stored table, dealt out by context; each task is sent those of its words' contexts.  Scoring deals the words of all texts out the same way, seats the training ones again with the same
+random numbers, and sums logarithms by document.  All words count; the driver holds a few sums.
 
 Words are those of the lower-cased (A-Z) text, then one end.  Null texts are empty: one end.  A repeated row is learned from as often as it stands
 and scored each time; a null id is in the fold of the text ''.  An empty table gives no rows; other columns are ignored.
@@ -17,6 +17,7 @@ and scored each time; a null id is in the fold of the text ''.  An empty table g
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, fold, part_names, shuffles, stored
+from .shared import documents, drop, fold, part_names, shuffles, stored
 from .text import chunks
 
 END = np.uint64(0x0123456789ABCDEF)
+#: In place of a context: the root itself.
+ROOT = np.uint64(0xFEDCBA9876543210)
 #: Counts up to here are seated by exact conditionals.
 EXACT = 64
 
@@ -49,9 +52,7 @@ def entries(batch_column):
 
 
 #: Words that are dealt out at once, and slices of a part that a task works on one after the other.
-PIECE, SLICES = 300_000, 4
-#: Restaurants in a row of a task's totals.
-ROWS = 1024
+PIECE, SLICES = 600_000, 4
 
 
 def pieces(batches, at: int, keep: tuple = ()):
@@ -68,13 +69,11 @@ def pieces(batches, at: int, keep: tuple = ()):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def context_numbers(words: np.ndarray, first: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Number of the restaurant of each word: of the word before, len(heads) at a text's start, len(heads) + 1 for the root itself."""
-    before = np.concatenate([[END], words[:-1]]) if len(words) else words
-    if not len(heads):
-        return np.where(first, 0, 1).astype(np.uint16)
-    at = np.minimum(np.searchsorted(heads, before), len(heads) - 1)
-    return np.where(first, len(heads), np.where(heads[at] == before, at, len(heads) + 1)).astype(np.uint16)
+def context_numbers(words: np.ndarray, first: np.ndarray, heads: np.ndarray | None = None) -> np.ndarray:
+    """Key of the restaurant of each word: the word before, END at a text's start.  Where heads are given, ROOT after any other word."""
+    before = np.concatenate([np.array([END], np.uint64), words[:-1]])[: len(words)]
+    before[first] = END
+    return before if heads is None else np.where(first | np.isin(before, heads), before, ROOT)
 
 
 def starts_of(*columns: np.ndarray) -> np.ndarray:
@@ -85,7 +84,21 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def dealt(words: np.ndarray, names: np.ndarray, columns: list[np.ndarray], extra=None):
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers in few bytes: how many distinct values, these, and each entry's place among them; or 0 and 16 bits each."""
+    if not len(x) or x.max() < 1 << 16:
+        return np.int64(0).tobytes() + x.astype(np.uint16).tobytes()
+    values, at = np.unique(x, return_inverse=True)
+    return np.int64(len(values)).tobytes() + values.astype(np.uint64).tobytes() + at.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32).tobytes()
+
+
+def unsqueezed(x: bytes) -> np.ndarray:
+    n = int(np.frombuffer(x, np.int64, 1)[0])
+    rest = np.frombuffer(x, np.uint16 if n <= 1 << 16 else np.uint32, offset=8 + 8 * n)
+    return np.frombuffer(x, np.uint64, n, 8)[rest] if n else rest
+
+
+def dealt(words: np.ndarray, names: np.ndarray, columns: list[np.ndarray], extra=None, squeeze: bool = False):
     """A record batch: part (one of the names), w (distinct words), n (entries of each), and the columns' values, all as bytes."""
     to = (words % np.uint64(len(names))).astype(np.int64)
     order = np.lexsort((words, to))
@@ -94,15 +107,15 @@ def dealt(words: np.ndarray, names: np.ndarray, columns: list[np.ndarray], extra
     rows = []
     for a, z in zip(cut, np.append(cut[1:], len(to))):
         lo = starts_of(words[a:z])
-        rows.append((int(names[to[a]]), words[a:z][lo].tobytes(), np.diff(np.append(lo, z - a)).astype(np.uint32).tobytes(), *(c[a:z].tobytes() for c in columns), *(() if extra is None else (extra,))))
+        rows.append((int(names[to[a]]), words[a:z][lo].tobytes(), np.diff(np.append(lo, z - a)).astype(np.uint32).tobytes(), *(squeezed(c[a:z]) if squeeze else c[a:z].tobytes() for c in columns), *(() if extra is None else (extra,))))
     kinds = [pa.int64()] + [pa.binary()] * (len(rows[0]) - 1)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", *(f"c{i}" for i in range(len(kinds) - 1))])
 
 
 def sliced(pdf: pd.DataFrame, kinds: tuple, owned: bool = False):
-    """The rows of dealt(), slice by slice of the words' range: number, words (one for each entry), the columns of those kinds, and (owned) the row of each entry's blob."""
+    """The rows of dealt(), slice by slice of the words' range: number, words (one for each entry), the columns of those kinds (None: squeezed), and (owned) the row of each entry's blob."""
     words, n = [np.frombuffer(x, np.uint64) for x in pdf["c0"]], [np.frombuffer(x, np.uint32) for x in pdf["c1"]]
-    columns = [[np.frombuffer(x, kind) for x in pdf[f"c{i + 2}"]] for i, kind in enumerate(kinds)]
+    columns = [[np.frombuffer(x, kind) if kind else unsqueezed(x) for x in pdf[f"c{i + 2}"]] for i, kind in enumerate(kinds)]
     ends = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in n]
     edges = [int(k * 2**64 / SLICES) for k in range(1, SLICES)]
     cuts = [np.concatenate([[0], np.searchsorted(w, np.array(edges, np.uint64)), [len(w)]]) for w in words]
@@ -164,25 +177,42 @@ def tables(count: np.ndarray, pull: np.ndarray, discount: float, rng) -> np.ndar
 
 
 class Model:
-    """What all tasks know: the contexts' words, and customers and tables of each restaurant (of the root last) in each kept sample."""
+    """What all tasks know, and where the restaurants' totals are stored.
 
-    def __init__(self, heads: np.ndarray, counts: np.ndarray, tokens: int, kinds: int, discounts=(0.75, 0.8), strengths=(1.0, 1.0), burn: int = 2, samples: int = 3, seed: int = 5):
-        self.heads, self.counts, self.tokens, self.kinds = heads, counts, tokens, kinds
+    totals (part, u, sums): for the restaurants of a part, dealt out by context, their keys in order, and by rows customers and the tables of
+    each kept sample.  heads: the contexts that have restaurants, None for all.
+    """
+
+    def __init__(self, heads: np.ndarray | None, tokens: int, kinds: int, discounts=(0.75, 0.8), strengths=(1.0, 1.0), burn: int = 2, samples: int = 3, seed: int = 5):
+        self.heads, self.tokens, self.kinds = heads, tokens, kinds
         self.discounts, self.strengths, self.burn, self.samples, self.seed = discounts, strengths, burn, samples, seed
         self.root_customers = self.root_tables = None
-        self.context_customers = self.context_tables = None
+        self.totals = self.all = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"totals": None, "all": None}
 
-    def seat(self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray):
-        """Samples for the dishes of a task: word (a number from 0), context, count, by word, then context.
+    def of(self, context) -> np.ndarray:
+        """Totals of those contexts, out of the whole table (for a look at a small model; tasks are sent theirs)."""
+        if self.all is None:
+            self.all = gathered(self.totals.filter("part >= 0").toPandas(), self.samples + 1)
+        return found(np.asarray(context, np.uint64), *self.all)
+
+    def seat(self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, customers: np.ndarray | None = None):
+        """Samples for the dishes of a task: word (a number from 0), context, count, all customers of the context, by word, then context.
 
         Yields for each kept sample the tables of each dish in its context, and customers and tables of each word in the root.
         """
         rng = np.random.Generator(np.random.PCG64([self.seed, part]))
-        (d0, d1), (s0, s1), n = self.discounts, self.strengths, len(self.heads) + 1
+        (d0, d1), (s0, s1) = self.discounts, self.strengths
         words = int(word.max()) + 1
-        inner = context < n
+        inner = context != ROOT
+        customers = self.of(context)[0] if customers is None else customers
         direct = np.bincount(word[~inner], weights=count[~inner], minlength=words).astype(np.int64)
-        w, u, c = word[inner], context[inner].astype(np.int64), count[inner]
+        w, u, c = word[inner], np.unique(context[inner], return_inverse=True)[1], count[inner]
+        n = int(u.max()) + 1 if len(u) else 0
+        everywhere = np.zeros(n)
+        everywhere[u] = customers[inner]
         here = np.bincount(u, weights=c, minlength=n)
         share = self.tokens / count.sum()
         kinds = self.kinds / words
@@ -194,7 +224,7 @@ class Model:
             parent = (root_c - d0 * root_t + base) / (s0 + root_c.sum() * share)
             of_u = np.bincount(u, weights=t, minlength=n)
             # a restaurant's tables, as many to its customers as here
-            all_u = np.where(here > 0, of_u / np.maximum(here, 1), 0.5) * self.counts[:n]
+            all_u = of_u / here * everywhere
             t = tables(c, (s1 + d1 * all_u[u]) * parent[w], d1, rng)
             root_c = direct + np.bincount(w, weights=t, minlength=words).astype(np.int64)
             root_t = tables(root_c, np.full(words, base), d0, rng)
@@ -203,14 +233,60 @@ class Model:
                 full[inner] = t
                 yield full, root_c, root_t
 
-    def probability(self, k: int, context, count, t, root_c, root_t) -> np.ndarray:
-        """Predictive probability, in sample k, of words with those customers and tables in their context and in the root."""
-        (d0, d1), (s0, s1), n = self.discounts, self.strengths, len(self.heads) + 1
+    def probability(self, k: int, context, count, t, root_c, root_t, totals: np.ndarray | None = None) -> np.ndarray:
+        """Predictive probability, in sample k, of words with those customers and tables in their context, whose totals are given, and in the root."""
+        (d0, d1), (s0, s1) = self.discounts, self.strengths
+        totals = self.of(context) if totals is None else totals
         parent = (root_c - d0 * root_t + (s0 + d0 * self.root_tables[k]) / (self.kinds + 1)) / (s0 + self.root_customers[k])
-        inner = context < n
-        u = np.where(inner, context, 0).astype(np.int64)
-        own = (count - d1 * t + (s1 + d1 * self.context_tables[k][u]) * parent) / (s1 + self.context_customers[u])
-        return np.where(inner, own, parent)
+        own = (count - d1 * t + (s1 + d1 * totals[1 + k]) * parent) / (s1 + totals[0])
+        return np.where(context != ROOT, own, parent)
+
+
+# --- restaurants' totals
+
+
+def summed(u: np.ndarray, sums: np.ndarray):
+    """Distinct contexts in order, and the sums of their columns."""
+    if not len(u):
+        return u, sums
+    order = np.argsort(u, kind="stable")
+    lo = starts_of(u[order])
+    return u[order][lo], np.add.reduceat(sums[:, order], lo, axis=1)
+
+
+def gathered(pdf: pd.DataFrame, rows: int):
+    """Contexts in order and their totals, out of rows (u, sums)."""
+    if not len(pdf):
+        return np.zeros(0, np.uint64), np.zeros((rows, 0), np.int64)
+    return summed(blobs(pdf["u"], np.uint64), np.concatenate([np.frombuffer(x, np.int64).reshape(rows, -1) for x in pdf["sums"]], axis=1))
+
+
+def found(context: np.ndarray, u: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Totals of each context: 0 for those not in u."""
+    out = np.zeros((len(sums), len(context)), np.int64)
+    if len(u):
+        at = np.minimum(np.searchsorted(u, context), len(u) - 1)
+        known = u[at] == context
+        out[:, known] = sums[:, at[known]]
+    return out
+
+
+def totals_rows(to: np.ndarray, u: np.ndarray, sums: np.ndarray, names: np.ndarray) -> list[tuple]:
+    """Rows (part, u, sums), of contexts dealt out to the parts of those numbers."""
+    order = np.argsort(to, kind="stable")
+    to, u, sums = to[order], u[order], sums[:, order]
+    cut = starts_of(to)
+    return [(int(names[to[a]]), u[a:z].tobytes(), sums[:, a:z].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(to)))]
+
+
+TOTALS = "part long, u binary, sums binary"
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer in use."""
+    spark.range(1).count()  # Spark holds the last query until the next
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def word_table(train: DataFrame, parts: int) -> DataFrame:
@@ -233,8 +309,8 @@ def word_table(train: DataFrame, parts: int) -> DataFrame:
     return stored(sent.groupBy("part").applyInPandas(add, "part long, words binary, counts binary"))
 
 
-def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
-    """train (text) -> the model, but for the seating itself, which tasks repeat."""
+def learn(train: DataFrame, parts: int, contexts: int | None = None) -> Model:
+    """train (text) -> the model, but for the seating itself, which tasks repeat.  contexts: restaurants only for so many of the most frequent words."""
 
     def most(batches):
         for batch in batches:
@@ -251,48 +327,65 @@ def learn(train: DataFrame, parts: int, contexts: int = 8192) -> Model:
     spread = part_names(parts)
     table = word_table(train, parts)
     total = table.select("counts").mapInArrow(sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
-    end = int(END.view(np.int64))
-    top = table.select("words", "counts").mapInArrow(most, "w long, n long").filter(F.col("w") != end).orderBy(F.desc("n"), "w").limit(contexts).toPandas()
-    top["w"] = top["w"].to_numpy(np.int64).view(np.uint64)
-    top = top.sort_values("w")
-    heads = top["w"].to_numpy(np.uint64)
-    tokens, kinds = int(total["tokens"] or 0), int(total["kinds"] or 0)
-    texts = train.count()
-    model = Model(heads, np.append(top["n"].to_numpy(np.float64), texts), tokens, kinds)
+    heads = None
+    if contexts is not None:
+        end = int(END.view(np.int64))
+        top = table.select("words", "counts").mapInArrow(most, "w long, n long").filter(F.col("w") != end).orderBy(F.desc("n"), "w").limit(contexts).toPandas()
+        heads = np.sort(top["w"].to_numpy(np.int64).view(np.uint64))
+    drop(table)
+    free(train.sparkSession)
+    model = Model(heads, int(total["tokens"] or 0), int(total["kinds"] or 0))
     held = train.sparkSession.sparkContext.broadcast(model)
-    names = ["c", *(f"{x}{k}" for k in range(model.samples) for x in "tr")]
 
     def send(batches):
         for words, _, first in pieces(batches, 0):
-            yield dealt(words, spread, [context_numbers(words, first, held.value.heads)])
+            u = context_numbers(words, first, held.value.heads)
+            order = np.lexsort((words, u))
+            u, words = u[order], words[order]
+            lo = starts_of(u, words)
+            yield dealt(u[lo], spread, [words[lo], np.diff(np.append(lo, len(u))).astype(np.uint32)])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of all dishes of a part's restaurants: context, entries, and customers of the restaurant, dealt out by word."""
+        u, w, n = np.repeat(blobs(pdf["c0"], np.uint64), blobs(pdf["c1"], np.uint32)), blobs(pdf["c2"], np.uint64), blobs(pdf["c3"], np.uint32)
+        order = np.lexsort((w, u))
+        u, w, n = u[order], w[order], n[order].astype(np.int64)
+        lo = starts_of(u, w)
+        u, w, n = u[lo], w[lo], np.add.reduceat(n, lo)
+        cut = starts_of(u)
+        return dealt(w, spread, [u, n, np.repeat(np.add.reduceat(n, cut), np.diff(np.append(cut, len(u))))]).to_pandas()
 
     def seat(pdf: pd.DataFrame) -> pd.DataFrame:
         m, part = held.value, int(pdf["part"].iloc[0])
-        n = len(m.heads) + 1
-        out = {x: np.zeros(n + 1, np.int64) for x in names}  # the root last
-        for s, w, u in sliced(pdf, (np.uint16,)):
-            word, u, count = dishes(w, u)
-            inner = u < n
-            out["c"][:n] += np.bincount(u[inner], weights=count[inner], minlength=n).astype(np.int64)
-            for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, word, u, count)):
-                out[f"t{k}"] += np.append(np.bincount(u[inner], weights=t[inner], minlength=n), root_t.sum()).astype(np.int64)
-                out[f"r{k}"][n] += root_c.sum()
-        table = np.stack([out[x] for x in names])
-        return pd.DataFrame([{"block": lo // ROWS, "sums": table[:, lo : lo + ROWS].tobytes()} for lo in range(0, n + 1, ROWS)])
+        keys, found_sums = [], []
+        root = np.zeros((m.samples + 1, 2), np.int64)
+        for s, w, u, n, customers in sliced(pdf, (np.uint64, np.int64, np.int64)):
+            order = np.lexsort((u, w))
+            w, u, n, customers = w[order], u[order], n[order], customers[order]
+            word = np.cumsum(np.concatenate([[0], (w[1:] != w[:-1]).astype(np.int64)]))
+            inner = u != ROOT
+            kinds, at = np.unique(u[inner], return_inverse=True)
+            mine = np.zeros((m.samples + 1, len(kinds)), np.int64)
+            mine[0] = np.bincount(at, weights=n[inner], minlength=len(kinds))
+            for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, word, u, n, customers)):
+                mine[1 + k] = np.bincount(at, weights=t[inner], minlength=len(kinds))
+                root[1 + k] += root_t.sum(), root_c.sum()
+            keys.append(kinds)
+            found_sums.append(mine)
+        u, mine = summed(np.concatenate(keys), np.concatenate(found_sums, axis=1))
+        rows = totals_rows((u % np.uint64(parts)).astype(np.int64), u, mine, spread)
+        return pd.DataFrame([*rows, (-1, np.arange(2, dtype=np.uint64).tobytes(), root.tobytes())], columns=["part", "u", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.int64) for x in pdf["sums"]], axis=0)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "sums": [total.tobytes()]})
-
-    sent = train.select("text").mapInArrow(send, "part long, c0 binary, c1 binary, c2 binary")
-    kind = "block long, sums binary"
-    totals = sent.groupBy("part").applyInPandas(seat, kind).groupBy("block").applyInPandas(add, kind).toPandas().sort_values("block")
-    table = np.concatenate([np.frombuffer(x, np.int64).reshape(len(names), -1) for x in totals["sums"]], axis=1) if len(totals) else np.zeros((len(names), len(heads) + 2), np.int64)
-    sums = dict(zip(names, table.astype(np.float64)))
-    model.context_customers = sums["c"][:-1]
-    model.context_tables = [sums[f"t{k}"][:-1] for k in range(model.samples)]
-    model.root_tables = [float(sums[f"t{k}"][-1]) for k in range(model.samples)]
-    model.root_customers = [float(sums[f"r{k}"][-1]) for k in range(model.samples)]
+        u, mine = gathered(pdf, held.value.samples + 1)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "u": [u.tobytes()], "sums": [mine.tobytes()]})
+
+    pairs = train.select("text").mapInArrow(send, "part long, " + ", ".join(f"c{i} binary" for i in range(4)))
+    counted = pairs.groupBy("part").applyInPandas(count, "part long, " + ", ".join(f"c{i} binary" for i in range(5)))
+    model.totals = stored(counted.groupBy("part").applyInPandas(seat, TOTALS).groupBy("part").applyInPandas(add, TOTALS))
+    root = model.totals.filter("part = -1").toPandas()
+    root = gathered(root, model.samples + 1)[1] if len(root) else np.zeros((model.samples + 1, 2))
+    model.root_tables, model.root_customers = [[float(x) for x in root[1:, i]] for i in (0, 1)]
     return model
 
 
@@ -308,24 +401,58 @@ DOC = np.dtype([("key", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"),
 
 
 def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
-    """docs (key, learned, text) -> key, n_tokens, n_known, base_score, score; rows of one key must be alike."""
+    """docs (key, learned, text) -> key, n_tokens, n_known, base_score, score; rows of one key must be alike.
+
+    The words go in two rounds, the lower half of the hashes first: a round's shuffle files are deleted before the next.
+    """
     held, spread = docs.sparkSession.sparkContext.broadcast(model), part_names(parts)
 
-    def send(batches):
+    def send(batches, half: int):
         for words, row, first, keys, learned in pieces(batches, 2, (0, 1)):
-            about = keys.astype(np.int64).tobytes() + learned.astype(np.uint8).tobytes()
-            yield dealt(words, spread, [context_numbers(words, first, held.value.heads), row.astype(np.uint32)], about)
+            u, here = context_numbers(words, first, held.value.heads), words >> np.uint64(63) == half
+            if here.any():
+                about = keys.astype(np.int64).tobytes() + learned.astype(np.uint8).tobytes()
+                yield dealt(words[here], spread, [u[here], row[here]], about, squeeze=True)
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ask(batches, half: int):
+        """Contexts, dealt out like the totals, with the numbers of the parts that have words after them."""
+        for words, _, first in pieces(batches, 0):
+            here = words >> np.uint64(63) == half
+            if not here.any():
+                continue
+            u, to = context_numbers(words, first, held.value.heads)[here], (words[here] % np.uint64(parts)).astype(np.uint32)
+            order = np.lexsort((to, u))
+            u, to = u[order], to[order]
+            lo = starts_of(u, to)
+            yield dealt(u[lo], spread, [to[lo]], squeeze=True)
+
+    def reply(asked: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(asked) and len(totals):
+            u, to = np.repeat(blobs(asked["c0"], np.uint64), blobs(asked["c1"], np.uint32)), np.concatenate([unsqueezed(x) for x in asked["c2"]])
+            order = np.lexsort((u, to))
+            u, to = u[order], to[order]
+            lo = starts_of(to, u)
+            u, to = u[lo], to[lo].astype(np.int64)
+            sums = found(u, *gathered(totals, held.value.samples + 1))
+            seen = sums[0] > 0
+            if seen.any():
+                rows = totals_rows(to[seen], u[seen], sums[:, seen], spread)
+        return pd.DataFrame(rows, columns=["part", "u", "sums"])
+
+    def judge(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"part": [], "docs": []})
         m, part = held.value, int(pdf["part"].iloc[0])
+        known = gathered(replies, m.samples + 1)
         texts = np.array([len(x) // 9 for x in pdf["c4"]])
         key = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(pdf["c4"], texts)])
         learned = np.concatenate([np.frombuffer(x[8 * n :], np.uint8) for x, n in zip(pdf["c4"], texts)])
         shift = np.concatenate([[0], np.cumsum(texts)[:-1]])
         out = np.zeros(len(key), DOC)
         out["key"] = key
-        for s, w, u, row, blob in sliced(pdf, (np.uint16, np.uint32), owned=True):
-            row = (row + shift[blob]).astype(np.int32)
+        for s, w, u, row, blob in sliced(pdf, (None, None), owned=True):
+            u, row = u.astype(np.uint64), (row + shift[blob]).astype(np.int32)
             del blob
             order = np.lexsort((u, w))
             w, u, row = w[order], u[order], row[order]
@@ -335,16 +462,16 @@ def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
             w, u = w[lo], u[lo]
             word = np.cumsum(np.concatenate([[0], (w[1:] != w[:-1]).astype(np.int64)]))
             c = np.bincount(word, weights=count).astype(np.int64)
-            p, seen = np.zeros(len(lo)), count > 0
+            p, seen, totals = np.zeros(len(lo)), count > 0, found(u, *known)
             if seen.any():
                 own, number = np.unique(word[seen], return_inverse=True)
-                for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, number, u[seen], count[seen])):
+                for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, number, u[seen], count[seen], totals[0][seen])):
                     tt, rc, rt = np.zeros(len(lo), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
                     tt[seen], rc[own], rt[own] = t, root_c, root_t
-                    p += m.probability(k, u, count, tt, rc[word], rt[word])
+                    p += m.probability(k, u, count, tt, rc[word], rt[word], totals)
             else:
                 for k in range(m.samples):
-                    p += m.probability(k, u, count, 0, 0, 0)
+                    p += m.probability(k, u, count, 0, 0, 0, totals)
             n = len(out)
             out["n"] += np.bincount(row, minlength=n)
             out["known"] += np.bincount(row, weights=(c[word] > 0)[which], minlength=n).astype(np.int64)
@@ -363,8 +490,17 @@ def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
         lo = starts_of(x["key"])
         return pd.DataFrame({"key": x["key"][lo], "n_tokens": np.add.reduceat(x["n"], lo), "n_known": np.add.reduceat(x["known"], lo), "base_score": np.add.reduceat(x["base"], lo), "score": np.add.reduceat(x["score"], lo)})
 
-    sent = docs.select("key", "learned", "text").mapInArrow(send, "part long, " + ", ".join(f"c{i} binary" for i in range(5)))
-    return sent.groupBy("part").applyInPandas(judge, "part long, docs binary").groupBy("part").applyInPandas(gather, "key long, n_tokens long, n_known long, base_score double, score double")
+    def judged(half: int) -> DataFrame:
+        sent = docs.select("key", "learned", "text").mapInArrow(lambda x: send(x, half), "part long, " + ", ".join(f"c{i} binary" for i in range(5)))
+        asked = docs.select("text").mapInArrow(lambda x: ask(x, half), "part long, c0 binary, c1 binary, c2 binary")
+        replies = asked.groupBy("part").cogroup(model.totals.groupBy("part")).applyInPandas(reply, TOTALS)
+        return stored(sent.groupBy("part").cogroup(replies.groupBy("part")).applyInPandas(judge, "part long, docs binary"))
+
+    halves = []
+    for half in range(2):
+        halves.append(judged(half))
+        free(docs.sparkSession)
+    return halves[0].union(halves[1]).groupBy("part").applyInPandas(gather, "key long, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
@@ -372,11 +508,12 @@ def perplexity(scored: DataFrame) -> DataFrame:
     return scored.groupBy("held_out").agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"), F.pow(F.lit(10.0), -F.sum("base_score") / F.sum("n_tokens")).alias("base_perplexity"))
 
 
-def score_documents(docs: DataFrame, contexts: int = 8192) -> DataFrame:
+def score_documents(docs: DataFrame, contexts: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     parts = shuffles(docs.sparkSession)
     docs = docs.select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
     model = learn(docs.filter("not held_out"), parts, contexts)
+    free(docs.sparkSession)
     scored = score(docs.withColumn("learned", F.expr("if(held_out, 0L, 1L)")), model, parts)
     many = docs.groupBy("doc_id", "held_out", "key").agg(F.count("*").alias("rows"))
     out = many.join(scored, "key").withColumn("each", F.explode(F.expr("sequence(1L, rows)")))

@@ -304,6 +304,32 @@ def test_probabilities_sum_to_one(spark):
     assert pa
 
 
+def test_every_context_has_a_restaurant(spark):
+    # more contexts than 16-bit numbers could name, and far more than the 8192 most frequent
+    texts = [" ".join(f"c{i} d{i}" for i in range(lo, lo + 500)) for lo in range(0, 35000, 500)] * 2
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = language_model.learn(train, 3)
+    customers = {}
+    for r in model.totals.filter("part >= 0").collect():
+        u = np.frombuffer(r["u"], np.uint64)
+        customers |= dict(zip(u.tolist(), np.frombuffer(r["sums"], np.int64).reshape(-1, len(u))[0].tolist()))
+    assert len(customers) == 70001 and sum(customers.values()) == 2 * 70 * 1001
+    assert sorted(Counter(customers.values()).items()) == [(2, 70000), (140, 1)]
+    # each pair was seen twice: after its own context a word is far likelier than after another
+    probes = [f"c{i} d{i}" for i in range(0, 35000, 700)] + [f"c{i} d{i + 1}" for i in range(0, 34999, 700)]
+    rows = [(k, 0, t) for k, t in enumerate(probes)] + [(1000 + k, 1, t) for k, t in enumerate(texts[:70])] + [(2000 + k, 1, t) for k, t in enumerate(texts[70:])]
+    out = {r["key"]: r["score"] for r in language_model.score(spark.createDataFrame(rows, "key long, learned long, text string"), model, 3).collect()}
+    assert all(out[k] > out[50 + k] + 2 for k in range(50))
+
+
+def test_probabilities_sum_to_one_with_all_contexts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
+    model = language_model.learn(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+    for context in [*"abcdefg", "unseen"]:
+        assert abs(sum(spark_free_score(model, texts, context, w) for w in [*"abcdefg", "never", None]) - 1) < 1e-9
+
+
 def spark_free_score(model, texts, context, word):
     """Probability of a word after a context, worked out from the model's own seating, without Spark."""
     import pyarrow as pa
