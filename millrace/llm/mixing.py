@@ -2,8 +2,8 @@
 
 Each source's documents stand in a shuffled line of words, cut into blocks of equal length.  Slot i of the
 schedule takes point i of a golden-ratio sequence, held as a 64-bit fraction; the source in whose share of the
-cumulative targets the point falls gets the slot.  A source's r-th slot takes its block r modulo the number of its
-blocks, so a source is read in whole passes and every stretch of the mix is close to the target shares.
+cumulative targets the point falls gets the slot.  A source's r-th slot takes block r of its line, which starts anew at its
+end, within a block if need be: each slot holds as many words, the last of the last pass excepted, and every stretch of the mix is close to the target shares.
 
 Null text has size 0; a null source is a source of its own, after the others; an empty table gives no rows; equal
 doc_ids are separate documents.  Other columns are ignored.  The driver holds one row per source and no more.
@@ -109,22 +109,19 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0,
     sums = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("source_no", "bucket").orderBy("at", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = placed.join(sums, ["source_no", "bucket"]).withColumn("end", F.col("ahead") + F.sum("size").over(inside)).withColumn("start", F.col("end") - F.col("size"))
+    # the line as often as it may be read, one pass after the other
     pieces = (
         line.filter("size > 0")
+        .select("source_no", "row", "start", "end", F.explode(F.expr(f"transform(sequence(0, {int(most) - 1}), k -> k * source_size)")).alias("pass"))
+        .select("source_no", "row", (F.col("start") + F.col("pass")).alias("start"), (F.col("end") + F.col("pass")).alias("end"))
         .select("source_no", "row", "start", "end", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")).alias("block"))
         .select("source_no", "row", "block", F.expr(f"least(end, (block + 1) * {block}) - greatest(start, block * {block})").alias("words"))
     )
     total = sum(size.values())
     if total:
-        blocks = table.select("source_no", F.expr(f"(source_size + {block - 1}) div {block}").alias("blocks")).filter("blocks > 0")
         slots = schedule(spark, -(-total // block), [aims[s] for s in names]).withColumnRenamed("source", "source_no")
-        used = (
-            slots.join(F.broadcast(blocks), "source_no")  # one row per source, held by the driver already
-            .filter(F.col("rank") < F.col("blocks") * int(most))
-            .groupBy("source_no", F.expr("rank % blocks").alias("block"))
-            .agg(F.count("*").alias("times"))
-        )
-        taken = pieces.join(used, ["source_no", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        used = slots.select("source_no", F.col("rank").alias("block"))
+        taken = pieces.join(used.hint("merge"), ["source_no", "block"]).groupBy("row").agg(F.sum("words").alias("taken"))
     else:
         taken = spark.createDataFrame([], "row long, taken long")
     return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

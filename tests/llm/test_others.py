@@ -261,6 +261,15 @@ def test_mix_edges(spark):
     assert [r["taken"] for r in mixing.mix_sources(spark.createDataFrame([(1, "a", None, 1)], schema)).collect()] == [0]
 
 
+def test_small_sources_get_whole_slots(spark):
+    sizes = {"a": 100, "b": 5000, "c": 130, "d": 10, "e": 100, "f": 129, "g": 3000, "h": 257, "i": 1}
+    rows = [(i, s, "w " * n) for i, (s, n) in enumerate(sizes.items())]
+    got = {r["source"]: r["taken"] for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    aims, names = mixing.targets(sizes), sorted(sizes)
+    slots = Counter(names[r["source"]] for r in mixing.schedule(spark, -(-sum(sizes.values()) // 128), [aims[s] for s in names]).collect())
+    assert got == {s: min(128 * slots[s], 3 * n) for s, n in sizes.items()}
+
+
 # --- language model
 
 
