@@ -8,7 +8,8 @@ their shingles, with m one more than the shingles that an item of the partition'
 that holds an item holds one of its sketch: MinHash containment without false negatives.  Documents are matched
 with the sketches, and the pairs found are verified by counting the item's shingles in the document.
 
-Null and empty texts hold nothing and are held by nothing; repeated item ids with equal texts are one item, with different
+clean() also looks for items with a null item_id, each text by itself; contained() has no rows of null ids, and clean()
+keeps documents with a null doc_id.  Null and empty texts hold nothing and are held by nothing; repeated item ids with equal texts are one item, with different
 texts one item with the union of their shingles; repeated doc_ids are one document with the union of theirs;
 an empty table gives no rows.  Other columns are ignored.
 """
@@ -65,8 +66,9 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    gone = stored(contained(docs, items).select("doc_id").distinct())
+    """docs without those that hold an item, items with a null id included."""
+    keyed = items.select(F.xxhash64("item_id", F.expr("if(item_id is null, text, null)")).alias("item_id"), "text")
+    gone = stored(contained(docs, keyed).select("doc_id").distinct())
     return docs.join(listed(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -78,6 +78,13 @@ def test_partial_containment_and_edges(spark):
     assert decontaminate.clean(d, b).count() == len(rows) - len({i for i, _ in got})
 
 
+def test_clean_looks_for_items_without_id(spark):
+    items = [(None, "one two three four five six"), (None, "red green blue white black grey"), (1, "a b c d e f")]
+    rows = [(1, "x one two three four five six y"), (2, "x red green blue white black grey"), (3, "a b c d e f"), (4, "one two three red green blue")]
+    left = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r["doc_id"] for r in left.collect()] == [4]
+
+
 def test_decontamination_runs_no_python(spark, sf_dir):
     plan = queries.QUERIES["op4_decontaminate"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
