@@ -30,7 +30,7 @@ def letters() -> np.ndarray:
     """Of each code point its lower-case letter, or GAP."""
     if not _LETTER:
         table = np.zeros(0x110000, np.uint32)
-        for c in range(0x30000):
+        for c in range(len(table)):
             if chr(c).isalpha():
                 table[c] = ord(chr(c).lower()[0])
         _LETTER.append(table)

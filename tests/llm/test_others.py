@@ -38,6 +38,13 @@ def test_language_edges(spark):
     assert langid.learn(train.limit(0)) == {}
 
 
+def test_letters_of_the_highest_planes(spark):
+    assert langid.letters()[0x30000] == 0x30000 and langid.letters()[0x31350] == 0x31350
+    prototypes = langid.learn(spark.createDataFrame([("en", "the thing"), ("zh", "\U00030000\U00030001\U00031350" * 9)], "lang string, text string"))
+    got = langid.predict(spark.createDataFrame([(1, "\U00030000\U00030001\U00031350")], "doc_id long, text string"), prototypes).first()
+    assert got["lang_pred"] == "zh" and got["score"] > 0
+
+
 def test_binding():
     """The vector of a run is the product of permuted letter vectors; unlike runs are nearly orthogonal."""
     runs = langid.Runs()
