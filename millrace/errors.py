@@ -41,6 +41,10 @@ class StateCorruption(StateError):
     prefix = "State store corruption"
 
 
+class StateLocked(StateError):
+    prefix = "State store in use"
+
+
 class MigrationFailed(StateError):
     prefix = "Migration failed"
 

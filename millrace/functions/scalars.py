@@ -166,6 +166,11 @@ def quote_ident(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def identifier_ok(name: Column) -> Column:
+    """Letters and digits of any script, _ and . only, and at least one of them."""
+    return F.coalesce(name.rlike(r"^[\p{L}\p{N}_.]+$"), F.lit(False))
+
+
 def redacted_uri(uri: Column) -> Column:
     """A connection URI without its password."""
     return F.regexp_replace(uri, r"(://[^:/@]*):[^@]*@", "$1:****@")

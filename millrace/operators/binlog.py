@@ -97,12 +97,12 @@ def column_names(names: Column, count: Column) -> Column:
 def decode(events: DataFrame, partial_as: str = "u") -> DataFrame:
     """Row events (type, rows array<struct<before, after>>, source struct) -> change events, one for each row.
 
-    type: write, update, delete or partial_update; others (table maps, rotations, queries, commits) give none.  A partial update is an update;
-    partial_as="c" makes it a create without a before image.  An id is file:offset:transaction:row.
+    type: write, update, delete (also with _v1, the events of older servers, which hold the same rows) or partial_update; others (table maps, rotations,
+    queries, commits) give none.  A partial update is an update; partial_as="c" makes it a create without a before image.  An id is file:offset:transaction:row.
     """
-    kind, r = F.lower("type"), F.col("_r")
+    kind, r = F.regexp_replace(F.lower("type"), "_v1$", ""), F.col("_r")
     op = F.when(kind == "write", "c").when(kind == "update", "u").when(kind == "delete", "d").when(kind == "partial_update", partial_as)
-    one = events.filter(kind.isin("write", "update", "delete", "partial_update")).select(op.alias("op"), "source", F.posexplode("rows").alias("row", "_r"))
+    one = events.filter(op.isNotNull()).select(op.alias("op"), "source", F.posexplode("rows").alias("row", "_r"))
     s = F.col("source")
     return one.select(
         "op",
@@ -121,6 +121,7 @@ def with_table_map(rows: DataFrame, maps: DataFrame) -> DataFrame:
     return as_of(rows, maps, ["table_id"], "seq", "table_map").filter("table_map is not null")
 
 
+#: Settings that row capture needs, and what they must be.
 SETTING_RULES = (
     # name, test on the value, error or warning
     ("log_bin", "upper(value) IN ('ON', '1')", "error"),
@@ -140,3 +141,18 @@ def check_settings(settings: DataFrame) -> DataFrame:
         found = rule.join(settings, "name", "left").filter(~F.coalesce(F.expr(test), F.lit(False))).select("name", "value", "level")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+#: Privileges that following a binlog needs.
+PRIVILEGES = ("REPLICATION SLAVE", "REPLICATION CLIENT")
+
+
+def missing_privileges(grants: DataFrame, db: str) -> DataFrame:
+    """grants (user, grant: the server's text) -> user, privilege: what each user lacks for reading that database's log and tables."""
+    text = F.upper(F.array_join(F.collect_list("grant"), " "))
+    held = grants.groupBy("user").agg(text.alias("text"))
+    has = {name: F.contains("text", F.lit(name)) for name in PRIVILEGES}
+    has[f"SELECT on {db}"] = F.contains("text", F.lit(f"SELECT ON `{db.upper()}`")) | F.contains("text", F.lit("SELECT ON *.*"))
+    every = F.contains("text", F.lit("ALL PRIVILEGES ON *.*"))
+    lacking = F.array(*(F.when(~(every | ok), name) for name, ok in has.items()))
+    return held.select("user", F.explode(F.filter(lacking, lambda x: x.isNotNull())).alias("privilege"))

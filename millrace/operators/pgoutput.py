@@ -283,3 +283,15 @@ def delete(oid: int, old: list) -> bytes:
 
 def commit(lsn: int, us: int) -> bytes:
     return struct.pack(">cbqqq", b"C", 0, lsn, lsn, us)
+
+
+def type_name(oid: int, schema: str, name: str) -> bytes:
+    return struct.pack(">ci", b"Y", oid) + schema.encode() + b"\0" + name.encode() + b"\0"
+
+
+def origin(lsn: int, name: str) -> bytes:
+    return struct.pack(">cq", b"O", lsn) + name.encode() + b"\0"
+
+
+def truncate(*oids: int) -> bytes:
+    return struct.pack(f">cib{len(oids)}i", b"T", len(oids), 0, *oids)

@@ -50,20 +50,21 @@ def decode(payloads: DataFrame, db: str, payload: str = "payload", keep: list[st
         .when(F.coalesce(bad, F.lit(False)), "change without kind or table")
         .when(ts.isNull(), F.concat(F.lit("unable to parse timestamp: "), F.col("_t.timestamp")))
     )
+    # one pass: a transaction that can't be read is exploded like the others, into one row without a change
+    marked = F.transform(change, lambda c, i: F.struct(i.alias("idx"), c.alias("c")))
+    known = F.filter(marked, lambda x: x["c"]["kind"].isin(*KINDS))
     rows = rows.withColumns({"error": error, "_ts": ts})
-    good = rows.filter("error is null").select(*keep, "_t.xid", "_ts", F.posexplode("_t.change").alias("idx", "_c")).filter(F.col("_c.kind").isin(*KINDS))
-    c = F.col("_c")
+    rows = rows.select(*keep, "_t.xid", "_ts", "error", F.explode_outer(F.when(F.col("error").isNull(), known)).alias("_x")).filter("_x is not null or error is not null")
+    c, fine = F.col("_x.c"), F.col("error").isNull()
     op = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[c["kind"]]
-    unique = F.concat_ws(":", "xid", F.col("idx").cast("string")) if mode == "unique" else F.col("xid")
-    events = good.select(
+    unique = F.concat_ws(":", "xid", F.col("_x.idx").cast("string")) if mode == "unique" else F.col("xid")
+    return rows.select(
         op.alias("op"),
         F.when(op != "c", zipped(c["oldkeys"]["keynames"], c["oldkeys"]["keyvalues"])).alias("before"),
         F.when(op != "d", zipped(c["columnnames"], c["columnvalues"])).alias("after"),
-        source(db, c["table"], schema=F.coalesce(c["schema"], F.lit("public")), tx_id=F.coalesce("xid", F.lit("")), ts_ms=F.col("_ts")).alias("source"),
-        F.col("_ts").alias("ts_ms"),
-        F.when(F.col("xid").isNotNull(), unique).otherwise(F.uuid()).alias("id"),
+        F.when(fine, source(db, c["table"], schema=F.coalesce(c["schema"], F.lit("public")), tx_id=F.coalesce("xid", F.lit("")), ts_ms=F.col("_ts"))).alias("source"),
+        F.when(fine, F.col("_ts")).alias("ts_ms"),
+        F.when(fine, F.when(F.col("xid").isNotNull(), unique).otherwise(F.uuid())).alias("id"),
         *keep,
-        F.lit(None).cast("string").alias("error"),
+        "error",
     )
-    failed = rows.filter("error is not null").select(*(F.lit(None).cast(events.schema[n].dataType).alias(n) for n in ("op", "before", "after", "source", "ts_ms", "id")), *keep, "error")
-    return events.unionByName(failed)

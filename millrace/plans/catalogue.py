@@ -300,7 +300,15 @@ def mysql_datetime_format(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.mysql_datetime(F.col("o_orderdate")).alias("row_text"), S.mysql_snapshot_datetime(F.col("o_orderdate")).alias("snapshot_text"), S.mysql_time(F.pmod(k, F.lit(2)) == 1, *parts).alias("time_text"))
 
 
-@query("SELECT data_type, unsigned, column_type, CASE WHEN data_type = 'bigint' AND unsigned THEN 'string' ELSE target END AS json_target FROM (VALUES " + ", ".join(f"('{k}', '{t}', '{j}')" for k, (t, j) in binlog.COLUMN_TYPES.items()) + ", ('hyperspace', 'STRING', 'default')) AS v(data_type, column_type, target), (VALUES (true), (false)) AS u(unsigned)")
+@query("""WITH t(data_type, column_type, target) AS (VALUES
+  ('tinyint', 'TINY', 'number'), ('smallint', 'SHORT', 'number'), ('mediumint', 'INT24', 'number'), ('int', 'LONG', 'number'), ('integer', 'LONG', 'number'), ('bigint', 'LONGLONG', 'number'),
+  ('float', 'FLOAT', 'number'), ('double', 'DOUBLE', 'number'), ('decimal', 'NEWDECIMAL', 'string'), ('numeric', 'NEWDECIMAL', 'string'),
+  ('char', 'STRING', 'default'), ('varchar', 'VARCHAR', 'default'), ('binary', 'BLOB', 'default'), ('varbinary', 'VARCHAR', 'default'),
+  ('tinyblob', 'TINY_BLOB', 'default'), ('tinytext', 'TINY_BLOB', 'default'), ('blob', 'BLOB', 'default'), ('text', 'BLOB', 'default'),
+  ('mediumblob', 'MEDIUM_BLOB', 'default'), ('mediumtext', 'MEDIUM_BLOB', 'default'), ('longblob', 'LONG_BLOB', 'default'), ('longtext', 'LONG_BLOB', 'default'),
+  ('json', 'JSON', 'default'), ('enum', 'ENUM', 'default'), ('set', 'SET', 'default'), ('date', 'DATE', 'default'), ('time', 'TIME', 'default'), ('datetime', 'DATETIME', 'default'),
+  ('timestamp', 'TIMESTAMP', 'default'), ('year', 'YEAR', 'number'), ('bit', 'BIT', 'number'), ('geometry', 'GEOMETRY', 'default'), ('hyperspace', 'STRING', 'default'))
+SELECT data_type, unsigned, column_type, CASE WHEN data_type = 'bigint' AND unsigned THEN 'string' ELSE target END AS json_target FROM t, (VALUES (true), (false)) AS u(unsigned)""")
 def mysql_json_target(spark, sf):
     v = spark.createDataFrame([(k, u) for k in [*binlog.COLUMN_TYPES, "hyperspace"] for u in (True, False)], "data_type string, unsigned boolean")
     return v.select("data_type", "unsigned", binlog.column_type(F.col("data_type")).alias("column_type"), binlog.json_target(F.col("data_type"), F.col("unsigned")).alias("json_target"))
@@ -704,15 +712,6 @@ def sse_frames(spark, sf):
 # --- inspection
 
 
-@query()
-def json_schema_columns(spark, sf):
-    from .inspect import columns_of, json_schema
-
-    made = json_schema({t: columns_of(table(spark, sf, t).schema) for t in ("customer", "events", "orders", "region")})
-    rows = [(t, c, p["type"], p["description"]) for t, s in made.items() for c, p in s["properties"].items()]
-    return spark.createDataFrame(rows, "table_name string, column_name string, json_type string, description string")
-
-
 @query("SELECT name, ts FROM (VALUES ('integer', 'number'), ('double precision', 'number'), ('boolean', 'boolean'), ('text', 'string'), ('uuid', 'string'), ('jsonb', 'any'), ('ARRAY', 'unknown[]'), ('hstore', 'unknown')) AS v(name, ts)")
 def ts_type_map(spark, sf):
     from .inspect import ts_type

@@ -72,13 +72,19 @@ def wal2json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("xid").alias("seq"), text.alias("payload"))
 
 
-def pgoutput_payloads(spark: SparkSession, sf_dir: str, slots: int = 8) -> DataFrame:
-    """The change log as binary messages, a transaction a row: slot, seq, payload.  Transactions are dealt out to slots."""
+def pgoutput_payloads(spark: SparkSession, sf_dir: str, slots: int = 8, kind: str = "plain") -> DataFrame:
+    """The change log as binary messages, a transaction a row: slot, seq, payload.  Transactions are dealt out to slots.
+
+    kind: `extra` adds messages that are no events, and one of an unknown type at a transaction's end; `open` leaves out the commit of each slot's last
+    transaction; `bad` puts a change of an unknown relation into every fiftieth transaction.
+    """
     import pandas as pd
 
     from ..operators import pgoutput as pg
 
-    c = changes(spark, sf_dir).groupBy("xid").agg(F.first("lsn_num").alias("lsn"), F.array_sort(F.collect_list(F.struct("idx", "op", "event_id", "user_id", "value"))).alias("rows"))
+    c = changes(spark, sf_dir)
+    last = c.agg(F.max("xid")).first()[0] if kind == "open" else None
+    c = c.groupBy("xid").agg(F.first("lsn_num").alias("lsn"), F.array_sort(F.collect_list(F.struct("idx", "op", "event_id", "user_id", "value"))).alias("rows"))
     columns = [("event_id", 20), ("user_id", 20), ("value", 701)]
 
     def write(batches):
@@ -89,7 +95,14 @@ def pgoutput_payloads(spark: SparkSession, sf_dir: str, slots: int = 8) -> DataF
                 for r in rows:
                     new, old = [r["event_id"], r["user_id"], repr(float(r["value"]))], [r["event_id"], r["user_id"], None]
                     parts.append({"c": lambda: pg.insert(7, new), "u": lambda: pg.update(7, new, old), "d": lambda: pg.delete(7, old)}[r["op"]]())
-                parts.append(pg.commit(int(lsn), 0))
+                    if kind == "extra":
+                        parts += [pg.type_name(701, "pg_catalog", "float8"), pg.origin(int(lsn), "other"), pg.truncate(7, 8)]
+                if kind == "bad" and xid % 50 == 0:
+                    parts.append(pg.insert(99, [1]))
+                if kind != "open" or xid <= last - slots:
+                    parts.append(pg.commit(int(lsn), 0))
+                if kind == "extra":
+                    parts.append(b"?")
                 out.append((f"slot{int(xid) % slots}", int(xid), b"".join(parts)))
             yield pd.DataFrame(out, columns=["slot", "seq", "payload"])
 

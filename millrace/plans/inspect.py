@@ -8,13 +8,19 @@ from pyspark.sql import types as T
 
 #: The TypeScript type of catalog type names; others are unknown.
 TS_TYPES = {
-    "number": "integer int int4 smallint int2 bigint int8 smallserial serial bigserial serial8 real float4 float8 numeric decimal money oid".split() + ["double precision"],
+    "number": [
+        "integer", "int", "int4", "smallint", "int2", "bigint", "int8", "smallserial", "serial", "bigserial", "serial8",
+        "real", "float4", "double precision", "float8", "numeric", "decimal", "money", "oid",
+    ],
     "boolean": ["boolean", "bool"],
-    "string": "varchar character char text citext name bpchar timestamp timestamptz date time timetz interval uuid bytea inet cidr macaddr macaddr8 point line lseg box path polygon circle xml tsvector tsquery".split()
-    + ["character varying", "timestamp with time zone", "timestamp without time zone", "time with time zone", "time without time zone"],
+    "string": [
+        "character varying", "varchar", "character", "char", "text", "citext", "name", "bpchar",
+        "timestamp", "timestamp without time zone", "timestamp with time zone", "timestamptz", "date", "time", "time without time zone", "time with time zone", "timetz",
+        "interval", "uuid", "bytea", "inet", "cidr", "macaddr", "macaddr8", "point", "line", "lseg", "box", "path", "polygon", "circle", "xml", "tsvector", "tsquery",
+    ],
     "any": ["json", "jsonb"],
     "unknown[]": ["array"],
-}
+}
 _TS = {name: ts for ts, names in TS_TYPES.items() for name in names}
 
 #: The types that every generated file ends with.

@@ -84,18 +84,36 @@ def select_tables(names: list[str], known: list[str]) -> list[str]:
     return sorted(set(names or known))
 
 
-def read_chunk(spark: SparkSession, url: str, table: str, key: str, start: int | None, end: int | None, fetch_size: int = 1000, **options) -> DataFrame:
-    """A chunk over JDBC; the predicate runs in the database and rows come in batches."""
+def discovered(known: DataFrame, names: list[str] = ()) -> DataFrame:
+    """known (schema_name, table_name, ...) rows of a catalog or publication -> the tables to read, once each, by name: those named (schema.table, or table for any schema), or all."""
+    full = F.concat_ws(".", "schema_name", "table_name")
+    rows = known.filter(full.isin(*names) | F.col("table_name").isin(*names)) if names else known
+    return rows.select(full.alias("qualified"), "schema_name", "table_name").dropDuplicates(["qualified"]).orderBy("qualified")
+
+
+def missing_tables(known: DataFrame, names: list[str]) -> DataFrame:
+    """Of the names (schema.table) those that the catalog's rows don't have."""
+    asked = known.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], "qualified string")
+    return asked.join(known.select(F.concat_ws(".", "schema_name", "table_name").alias("qualified")), "qualified", "left_anti")
+
+
+def chunk_predicates(key: str, bounds: list[tuple[int | None, int | None]]) -> list[str]:
+    """SQL of each chunk's rows, as the database gets it."""
+    from ..functions.scalars import quote_ident
+
+    k = quote_ident(key)
+    return [" AND ".join(x for x in (f"{k} >= {a}" if a is not None else "", f"{k} < {b}" if b is not None else "") if x) or "1 = 1" for a, b in bounds]
+
+
+def read_chunk(spark: SparkSession, url: str, table: str, key: str, start: int | None, end: int | None, fetch_size: int = 1000, order: list[str] = (), **options) -> DataFrame:
+    """A chunk over JDBC; the predicate runs in the database and rows come in batches; `order` sorts them by those columns."""
     from .chunks import in_chunk
 
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=fetch_size, **options)
-    return reader.load().filter(in_chunk(F.col(key), start, end))
+    rows = reader.load().filter(in_chunk(F.col(key), start, end))
+    return rows.orderBy(*order) if order else rows
 
 
 def read_chunks(spark: SparkSession, url: str, table: str, key: str, bounds: list[tuple[int | None, int | None]], fetch_size: int = 1000, properties: dict | None = None) -> DataFrame:
     """All chunks of a table over JDBC, a partition each."""
-    from ..functions.scalars import quote_ident
-
-    k = quote_ident(key)
-    predicates = [" AND ".join(x for x in (f"{k} >= {a}" if a is not None else "", f"{k} < {b}" if b is not None else "") if x) or "1 = 1" for a, b in bounds]
-    return spark.read.jdbc(url, table, predicates=predicates, properties={"fetchsize": str(fetch_size)} | (properties or {}))
+    return spark.read.jdbc(url, table, predicates=chunk_predicates(key, bounds), properties={"fetchsize": str(fetch_size)} | (properties or {}))

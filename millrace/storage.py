@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from .errors import ConfigError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a temporary folder that is then set."""
+    """The folder of spark.checkpoint.dir; where it is unset and driver and executors are one process, a temporary folder that is then set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ConfigError(f"spark.checkpoint.dir is not set: with the master {master} it must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CaptureError
+from ..functions.scalars import lsn_parse
 from ..operators.transforms import Pipeline
-from .sinks import Delivered, to_callback, to_parquet
+from .sinks import Delivered, to_callback, to_log, to_parquet
 from .state import StateStore
 
 
@@ -37,17 +38,23 @@ class Capture:
         self.sinks.append(to_parquet(path))
         return self
 
-    def _deliver(self, batch: DataFrame) -> None:
+    def into_log(self, path: str) -> "Capture":
+        """Appends the events to an ordered log, which an EventServer sends on."""
+        self.sinks.append(to_log(path))
+        return self
+
+    def _deliver(self, batch: DataFrame, number: int = 0) -> None:
         live = self.pipeline.apply(batch) if self.pipeline else batch
         live = live.persist()
         try:
-            position = live.agg(F.count("*").alias("n"), F.max_by("source.lsn", "ts_ms").alias("lsn"), F.max_by("source.tx_id", "ts_ms").alias("tx"), F.max("ts_ms").alias("ts")).first()
+            position = live.agg(F.count("*").alias("n"), F.max_by(F.struct("source.lsn", "source.tx_id", "ts_ms"), place()).alias("last")).first()
             for sink in self.sinks:
-                sink(live)
+                sink(live, number)
             self.captured += position["n"]
             if self.store and position["n"]:
                 # after the sinks have taken the batch, never before
-                self.store.write_offset(position["lsn"] or "", position["tx"] or "", position["ts"] or 0, False, self.name)
+                last = position["last"]
+                self.store.write_offset(last["lsn"] or "", last["tx_id"] or "", last["ts_ms"] or 0, False, self.name)
         finally:
             live.unpersist()
 
@@ -111,10 +118,14 @@ class Capture:
         }
 
 
+def place() -> Column:
+    """Where an event stands in its log: by the value of its position, not by its text or by a clock; events without a position come first."""
+    s = F.col("source")
+    return F.struct(F.coalesce(lsn_parse(s["lsn"]), F.lit(-1).cast("decimal(20,0)")).alias("lsn"), F.coalesce(s["binlog_file"], F.lit("")).alias("file"), F.coalesce(s["binlog_offset"], F.lit(-1)).alias("offset"), F.coalesce("ts_ms", F.lit(0)).alias("ts_ms"), F.length("id").alias("digits"), F.col("id"))
+
+
 def after_snapshot(snapshot: DataFrame, stream: DataFrame, lsn: str) -> tuple[DataFrame, DataFrame]:
     """The snapshot's events, and of the stream those past the snapshot's position."""
-    from ..functions.scalars import lsn_parse
-
     return snapshot, stream.filter(lsn_parse(F.col("source.lsn")) > lsn_parse(F.lit(lsn)))
 
 
@@ -124,9 +135,16 @@ def deduplicated(stream: DataFrame, lateness: str = "10 minutes", time_column: s
 
 
 def dead_letters(events: DataFrame, store: StateStore, position: str = "seq") -> DataFrame:
-    """Events without an error; those with one are appended to the store's skipped positions and don't stop the rest."""
+    """Events without an error; those with one go to the store's skipped positions, once each, and don't stop the rest.
+
+    events should be persisted or stored: they are read once for each side.  A batch that is tried again adds nothing that is there already.
+    """
     now = time.time_ns() // 1_000_000
     bad = events.filter("error is not null")
     rows = bad.select(F.lit(now).alias("seq"), F.col(position).cast("string").alias("position"), F.coalesce(F.col("tx_id"), F.lit("")).alias("tx_id"), "error", F.lit(now).alias("skipped_at"))
-    rows.write.mode("append").parquet(f"{store.folder}/skipped_positions")
+    names = ["position", "tx_id", "error"]
+    rows = rows.dropDuplicates(names)
+    known = store.table("skipped_positions").select(*names)
+    same = [rows[n].eqNullSafe(known[n]) for n in names]
+    store.extend("skipped_positions", rows.join(known, same, "left_anti"))
     return events.filter("error is null")

@@ -1,4 +1,8 @@
-"""The binary log as a stream: a decoder for each slot, its state kept by Spark, so that a restart goes on where the last run ended."""
+"""The binary log as a stream: a decoder for each slot, its state kept by Spark, so that a restart goes on where the last run ended.
+
+A slot's messages are one sequence, so a slot is one task, and its messages of a micro-batch are sorted in that task's memory: bound a micro-batch
+with stream_payloads(files_per_trigger=...).  The state between batches is the relations and the open transaction.
+"""
 
 from __future__ import annotations
 

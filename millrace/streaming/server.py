@@ -1,7 +1,10 @@
-"""A small HTTP server over what a capture has written: /events as server-sent events, /health, /status.
+"""A small HTTP server over the log that a capture writes (Capture.into_log): /events as server-sent events, /health, /status.
 
-It is an edge, not part of the engine: it reads the output table as it grows, in order of (ts_ms, id), and holds a page of it at a time.
-A client that comes back with Last-Event-ID goes on behind that event.  With an API key all but /health ask for it.
+It is an edge, not part of the engine: it reads the log batch by batch, in order of (batch, place), and holds a page of it at a time.
+Batches are folders, so a poll reads only those behind the last one sent, and an event that comes late in its own time comes in a later batch
+and is sent all the same.  A client that comes back with Last-Event-ID goes on behind that event; an id that the log doesn't have gets an error frame,
+then the log from its beginning.  With `most_behind`, a client that many events behind is told how many it has missed and goes on nearer to the end;
+without, each client gets each event.  With an API key all but /health ask for it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_text import json_of_event
@@ -29,8 +34,8 @@ def allowed(headers, key: str | None) -> bool:
 
 
 class EventServer:
-    def __init__(self, spark, path: str, status=lambda: {}, host: str = "127.0.0.1", port: int = 0, api_key: str | None = None, heartbeat_s: float = 30.0, poll_s: float = 0.5):
-        self.spark, self.path, self.status, self.api_key, self.heartbeat_s, self.poll_s = spark, path, status, api_key, heartbeat_s, poll_s
+    def __init__(self, spark, path: str, status=lambda: {}, host: str = "127.0.0.1", port: int = 0, api_key: str | None = None, heartbeat_s: float = 30.0, poll_s: float = 0.5, most_behind: int | None = None):
+        self.spark, self.path, self.status, self.api_key, self.heartbeat_s, self.poll_s, self.most_behind = spark, path, status, api_key, heartbeat_s, poll_s, most_behind
         self.closing, outer = threading.Event(), self
 
         class Handler(BaseHTTPRequestHandler):
@@ -53,19 +58,44 @@ class EventServer:
         self.server.shutdown()
         self.server.server_close()
 
-    def page(self, after: tuple | None) -> list:
-        """The next events after a place, as (ts_ms, id, JSON text)."""
-        events = self.spark.read.parquet(self.path)
-        if after is not None:
-            events = events.filter((F.col("ts_ms") > after[0]) | ((F.col("ts_ms") == after[0]) & (F.col("id") > after[1])))
-        return [tuple(r) for r in events.orderBy("ts_ms", "id").select("ts_ms", "id", json_of_event()).limit(PAGE).collect()]
-
-    def place(self, event_id: str | None) -> tuple | None:
-        if not event_id:
+    def log(self, at: tuple[int, int] | None) -> DataFrame | None:
+        """Events behind a place; None while there is no log."""
+        try:
+            events = self.spark.read.parquet(self.path)
+        except AnalysisException:
             return None
-        row = self.spark.read.parquet(self.path).filter(F.col("id") == event_id).select("ts_ms", "id").first()
+        return events if at is None else events.filter((F.col("batch") > at[0]) | ((F.col("batch") == at[0]) & (F.col("place") > at[1])))
+
+    def page(self, at: tuple[int, int] | None) -> list:
+        """The next events behind a place, as (batch, place, id, JSON text)."""
+        events = self.log(at)
+        if events is None:
+            return []
+        return [tuple(r) for r in events.select("batch", "place", "id", json_of_event()).orderBy("batch", "place").limit(PAGE).collect()]
+
+    def place(self, event_id: str) -> tuple[int, int] | None:
+        """Where an event stands, the last time it does."""
+        events = self.log(None)
+        row = events.filter(F.col("id") == event_id).agg(F.max(F.struct("batch", "place")).alias("at")).first()["at"] if events is not None else None
         return row and tuple(row)
 
+    def skipped(self, at: tuple[int, int] | None) -> tuple[int, tuple[int, int] | None]:
+        """How many events a client at a place must leave out to be no more than `most_behind` behind, and where it goes on."""
+        events = self.log(at)
+        if self.most_behind is None or events is None:
+            return 0, at
+        sizes = sorted((r["batch"], r["n"]) for r in events.groupBy("batch").agg(F.count("*").alias("n")).collect())
+        over = sum(n for _, n in sizes) - self.most_behind
+        if over <= 0:
+            return 0, at
+        left = over
+        for batch, n in sizes:
+            if left <= n:
+                first = at[1] + 1 if at is not None and at[0] == batch else 0
+                return over, (batch, first + left - 1)
+            left -= n
+        return 0, at
+
     def handle(self, request) -> None:
         path = request.path.split("?")[0]
         if path != "/health" and not allowed(request.headers, self.api_key):
@@ -79,17 +109,24 @@ class EventServer:
         request.send_header("Content-Type", "text/event-stream")
         request.end_headers()
         try:
-            self._stream(request.wfile, self.place(request.headers.get("Last-Event-ID")))
+            asked = request.headers.get("Last-Event-ID")
+            at = self.place(asked) if asked else None
+            if asked and at is None:
+                request.wfile.write(b'event: error\ndata: {"code":"unknown_event_id"}\n\n')
+            self._stream(request.wfile, at)
         except (BrokenPipeError, ConnectionResetError):
             pass
 
     def _stream(self, out, at: tuple | None) -> None:
         beat = time.monotonic() + self.heartbeat_s
         while not self.closing.is_set():
+            missed, at = self.skipped(at)
+            if missed:
+                out.write(b'event: error\ndata: {"code":"lagged","skipped":%d}\n\n' % missed)
             rows = self.page(at)
-            for ts, id, text in rows:
+            for batch, place, id, text in rows:
                 out.write(f"event: change\nid: {id}\ndata: {text}\n\n".encode())
-                at = (ts, id)
+                at = (batch, place)
             if time.monotonic() >= beat:
                 out.write(b'event: heartbeat\ndata: {"ts_ms":%d}\n\n' % (time.time() * 1000))
                 beat = time.monotonic() + self.heartbeat_s

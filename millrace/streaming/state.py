@@ -9,14 +9,18 @@ from __future__ import annotations
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..errors import MigrationFailed, StateCorruption
+from ..errors import MigrationFailed, StateCorruption, StateLocked
 from ..operators import aggregates
 from ..sources import chunks
 
+#: The position before all others.
+BEGINNING = "0/0"
 #: Layout of the tables; a folder with a later one is refused.
 VERSION = 2
 TABLES = {
@@ -35,7 +39,7 @@ ADDED = {1: ("offsets", "snapshots", "schema_cache", "skipped_positions", "insta
 class StateStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._seq = 0
+        self._seq, self._owns = 0, False
         self.migrate()
 
     # --- tables
@@ -50,6 +54,35 @@ class StateStore:
     def append(self, name: str, *rows: tuple) -> None:
         self.spark.createDataFrame(list(rows), TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
 
+    def extend(self, name: str, rows: DataFrame) -> None:
+        """Appends a frame's rows, which have the table's columns."""
+        kinds = T._parse_datatype_string(TABLES[name])
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in kinds.fields)).write.mode("append").parquet(f"{self.folder}/{name}")
+
+    # --- one writer
+
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def lock(self, owner: str) -> "StateStore":
+        """Claims the folder for one writer; a folder that another holds raises.  The claim is a file that only one can create."""
+        fs, path = self._file("_writer")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            raise StateLocked(f"{self.folder} is in use by another capture: {path.toString()} exists") from e
+        out.write(bytearray(owner.encode()))
+        out.close()
+        self._owns = True
+        return self
+
+    def unlock(self) -> None:
+        if self._owns:
+            fs, path = self._file("_writer")
+            fs.delete(path, False)
+            self._owns = False
+
     def _next(self) -> int:
         """A number above all that this store gave out, also over restarts."""
         self._seq = max(self._seq + 1, time.time_ns() // 1000)
@@ -75,8 +108,8 @@ class StateStore:
                 raise StateCorruption(f"{name}: {str(e).splitlines()[0]}") from e
 
     def _clear(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._file(name)
+        fs.delete(path, True)
 
     # --- offsets
 
@@ -170,9 +203,19 @@ class StateStore:
 
 def start_position(asked: str | None, saved: str | None, snapshot: str | None = None) -> str:
     """Where to begin: at the snapshot's position if one was made, else where asked, else where the last run ended, else at the beginning."""
-    return snapshot or asked or saved or "0/0"
+    return snapshot or asked or saved or BEGINNING
 
 
 def checkpoint_position(committed: str | None, stream: str | None, first_event: str | None) -> str | None:
     """What to record after a batch."""
     return committed or stream or first_event
+
+
+def start_positions(asked: Column, saved: Column, snapshot: Column) -> Column:
+    """start_position() of columns; the empty text counts as none."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in (snapshot, asked, saved)), F.lit(BEGINNING))
+
+
+def checkpoint_positions(committed: Column, stream: Column, first_event: Column) -> Column:
+    """checkpoint_position() of columns; the empty text counts as none."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in (committed, stream, first_event)))

@@ -125,3 +125,27 @@ def test_lookups(spark):
     known, unknown = lookup.with_relation(changes, relations)
     assert sorted((r["v"], r["relation"]["name"]) for r in known.collect()) == [("x", "t1"), ("y", "t2")]
     assert sorted(r["v"] for r in unknown.collect()) == ["early", "none"]
+
+
+def test_as_of_over_stretches(spark):
+    """A busy key, cut into stretches, with announcements that lie many stretches back, ties and rows before any."""
+    import random
+
+    from millrace.operators.lookup import as_of
+
+    rng = random.Random(4)
+    log = [(1, rng.randrange(2000), i) for i in range(6)] + [(2, 5, 100), (2, 5, 100)]
+    rows = [(rng.choice((1, 1, 1, 2, 3)), rng.randrange(-50, 2000), i) for i in range(300)]
+    said = spark.createDataFrame(log, "k int, seq long, v int")
+    got = as_of(spark.createDataFrame(rows, "k int, seq long, n int"), said, ["k"], "seq", "found", stretch=64).collect()
+    assert len(got) == 300
+    for r in got:
+        before = [x for x in log if x[0] == r["k"] and x[1] <= r["seq"]]
+        assert (r["found"] and r["found"]["v"]) == (max(before, key=lambda x: x[1])[2] if before else None)
+
+
+def test_wal2json_reads_its_payloads_once(spark):
+    from millrace.operators import wal2json
+
+    plan = wal2json.decode(spark.createDataFrame([("{}",)], "payload string"), "db")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1

@@ -75,7 +75,7 @@ def test_errors_reach_the_handlers(spark, tmp_path):
 def test_a_delivered_batch_is_not_delivered_again(spark, tmp_path):
     store, n = StateStore(spark, str(tmp_path / "s")), []
     for number in (0, 1, 1, 0, 2):
-        sinks.Delivered(store, "x", lambda b: n.append(b.count()))(events(spark, 2), number)
+        sinks.Delivered(store, "x", lambda b, number: n.append(b.count()))(events(spark, 2), number)
     assert len(n) == 3
 
 
@@ -157,7 +157,7 @@ def test_server(spark, tmp_path):
 
     from millrace.streaming.server import EventServer
 
-    events(spark, 7).write.parquet(str(tmp_path / "out"))
+    sinks.to_log(str(tmp_path / "out"))(events(spark, 7), 0)
     server = EventServer(spark, str(tmp_path / "out"), lambda: {"status": "ok", "state": "streaming"}, api_key="k", poll_s=0.05).start()
     try:
 
@@ -188,3 +188,86 @@ def test_decoder_names(spark):
 
     with pytest.raises(Exception, match="needs a source"):
         built(bad).collect()
+
+
+def positioned(spark, *rows):
+    return spark.createDataFrame([("c", None, None, ("db", "public", "t", lsn, None, None, "x", ts, None), ts, id) for lsn, ts, id in rows], envelope())
+
+
+def test_recorded_position_is_the_greatest_by_value(spark, tmp_path):
+    """Neither clocks that step back nor equal times, nor positions as text, decide."""
+    positioned(spark, ("0/9", 50, "a"), ("0/10", 50, "b"), ("0/FFFFFFFF", 1, "c"), ("A/1", 3, "d"), ("9/FFFF", 70, "e")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store, seen = StateStore(spark, str(tmp_path / "s")), []
+    c = Capture(spark.readStream.schema(envelope()).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), store=store, name="pos", available_now=True).on_change(seen.extend)
+    c.start().wait()
+    assert store.last_offset()["lsn"] == "A/1" and store.last_offset()["ts_ms"] == 3
+    assert [e["id"] for e in seen] == ["a", "b", "c", "e", "d"]
+
+
+def test_late_events_are_sent_and_unknown_ids_told(spark, tmp_path):
+    from millrace.streaming.server import EventServer
+
+    path, log = str(tmp_path / "log"), sinks.to_log(str(tmp_path / "log"))
+    server = EventServer(spark, path, most_behind=3)
+    try:
+        assert server.page(None) == [] and server.place("a") is None
+        log(positioned(spark, ("0/1", 100, "a:10"), ("0/1", 100, "a:9")), 0)
+        at = server.place("a:10")
+        assert [r[2] for r in server.page(None)] == ["a:9", "a:10"]
+        log(positioned(spark, ("0/2", 5, "late")), 1)
+        log(positioned(spark, ("0/2", 5, "late")), 1)  # the batch is tried again
+        assert [r[2] for r in server.page(at)] == ["late"]
+        log(positioned(spark, *((f"0/{n}", n, f"e{n}") for n in range(3, 8))), 2)
+        missed, to = server.skipped(at)
+        assert missed == 3 and [r[2] for r in server.page(to)] == ["e5", "e6", "e7"]
+        assert server.skipped(to) == (0, to)
+        import io
+
+        out, polls = io.BytesIO(), []
+        server.poll_s = 0.01
+        server.closing.wait = lambda s: polls.append(s) or server.closing.set()
+        server._stream(out, at)
+        assert out.getvalue().startswith(b'event: error\ndata: {"code":"lagged","skipped":3}') and out.getvalue().count(b"event: change") == 3
+    finally:
+        server.server.server_close()
+
+
+def test_dead_letters_of_a_batch_that_is_tried_again(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "s"))
+    df = spark.createDataFrame([(1, "t", None), (2, None, "bad"), (2, None, "bad"), (None, "t", "worse")], "seq long, tx_id string, error string")
+    for _ in range(2):
+        dead_letters(df, store)
+    assert sorted(r["error"] for r in store.table("skipped_positions").collect()) == ["bad", "worse"]
+
+
+def test_one_writer(spark, tmp_path):
+    from millrace.errors import StateLocked
+
+    a = StateStore(spark, str(tmp_path / "s")).lock("a")
+    with pytest.raises(StateLocked):
+        StateStore(spark, str(tmp_path / "s")).lock("b")
+    a.unlock()
+    StateStore(spark, str(tmp_path / "s")).lock("b").unlock()
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from millrace.errors import ConfigError
+    from millrace.storage import shared_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ConfigError):
+        shared_dir(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ConfigError):
+        shared_dir(Session())
+    Context.master = "local[4]"
+    assert shared_dir(Session()).startswith("file://")
