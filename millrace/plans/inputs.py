@@ -23,6 +23,8 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "error", "d").otherwise("u")
     e = e.select("event_id", "user_id", "value", "props", "event_type", op.alias("op"), F.call_function("div", F.col("event_id"), F.lit(4)).alias("xid"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     e = e.withColumn("lsn_num", F.lit(16777216) + F.col("xid") * 256)
+    # dealt out to all cores: decoding and masking are costly for their bytes, by which alone Spark would put small logs into one task
+    e = e.repartition(spark.sparkContext.defaultParallelism, "xid")
     return ordinals(e, "xid", "event_id").withColumn("lsn", lsn_format_long(F.col("lsn_num")))
 
 
