@@ -1,15 +1,22 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The tree of restaurants: one for each word of the training texts as context, and one for the start of a text,
-all with the root restaurant of single words as parent, whose base is uniform over the known words and one unknown.  There is one
-level of contexts.  After a word never seen in training the root decides.  Customers are the training texts' words; seating is sampled by Gibbs: in each sweep the number of
-tables of each dish in each restaurant is drawn given all the rest.  After `burn` sweeps, `samples` more are kept, and a word's
-probability is the mean of their predictive probabilities.
+The tree of restaurants: one for each word of the training texts as context, and one for the start of a text, all with the root restaurant
+of single words as parent, whose base is uniform over the known words and one unknown.  There is one level of contexts; every context seen has
+its restaurant.  After a word never seen in training the root decides.  Customers are the training texts' words.
 
-The dishes are dealt out by word; a task holds all restaurants' tables of its words and draws them with the other tasks'
-share of a restaurant's tables estimated from its own.  The kept samples' totals are then summed over all tasks, so the probabilities of
-all words after a context sum to one.  Totals are a stored table, dealt out by context; each task is sent those of its words' contexts.  Scoring deals the words of all texts out the same way, seats the training ones again with the same
-random numbers, and sums logarithms by document.  All words count; the driver holds a few sums.
+Seating is sampled by Gibbs, over tables' counts: a sweep draws for every dish of every restaurant its number of tables from its conditional, given
+the totals of all restaurants and of the root as the sweep before left them.  These totals are exact sums over all tasks, carried between sweeps in
+stored tables.  A dish with one customer has one table and needs no drawing.  After `burn` sweeps, `samples` more are kept, and a word's
+probability is the mean of their predictive probabilities, which sum to one.  Random numbers are hashes of context, word and sweep, so the
+result is a function of the documents alone: neither the number of partitions nor a task's retry changes it.
+
+Dishes are dealt out by word; a word with more than a quarter of a part's share of all tokens is dealt out by word and context, and its totals are kept
+by the driver, which there are at most four of for each part.  Parts are as many as the texts' bytes ask for.  Scoring deals the words of all texts
+out the same way and sums logarithms by document.  All words count.
+
+The conditional of a dish's tables is worked out from generalised Stirling numbers: all of them for up to EXACT customers; for more, those of up to WIDE
+tables, beyond FAR customers carried on by the equation that their ratios obey.  Where about WIDE / 2 tables or more are expected of more than EXACT customers, the
+conditional is the normal distribution with its saddle point's mean and variance (tests bound the differences).
 
 Words are those of the lower-cased (A-Z) text, then one end.  Null texts are empty: one end.  A repeated row is learned from as often as it stands
 and scored each time; a null id is in the fold of the text ''.  An empty table gives no rows; other columns are ignored.
@@ -27,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, drop, fold, part_names, shuffles, stored
-from .text import chunks
+from .text import chunks, mix
 
 END = np.uint64(0x0123456789ABCDEF)
-#: In place of a context: the root itself.
-ROOT = np.uint64(0xFEDCBA9876543210)
-#: Counts up to here are seated by exact conditionals.
-EXACT = 64
+#: Customers up to which all Stirling numbers are held; tables that are held for more customers, and customers up to which these are exact.
+EXACT, WIDE, FAR = 256, 96, 1 << 14
+#: Bytes of text in a part.
+PART_BYTES = 24 << 20
+#: A word is common from so many times the tokens of a part.
+COMMON = 0.25
 
 
 def entries(batch_column):
@@ -69,11 +78,11 @@ def pieces(batches, at: int, keep: tuple = ()):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def context_numbers(words: np.ndarray, first: np.ndarray, heads: np.ndarray | None = None) -> np.ndarray:
-    """Key of the restaurant of each word: the word before, END at a text's start.  Where heads are given, ROOT after any other word."""
+def contexts_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The restaurant of each word: the word before, END at a text's start."""
     before = np.concatenate([np.array([END], np.uint64), words[:-1]])[: len(words)]
     before[first] = END
-    return before if heads is None else np.where(first | np.isin(before, heads), before, ROOT)
+    return before
 
 
 def starts_of(*columns: np.ndarray) -> np.ndarray:
@@ -98,9 +107,9 @@ def unsqueezed(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint64, n, 8)[rest] if n else rest
 
 
-def dealt(words: np.ndarray, names: np.ndarray, columns: list[np.ndarray], extra=None, squeeze: bool = False):
-    """A record batch: part (one of the names), w (distinct words), n (entries of each), and the columns' values, all as bytes."""
-    to = (words % np.uint64(len(names))).astype(np.int64)
+def dealt(words: np.ndarray, names: np.ndarray, columns: list[np.ndarray], extra=None, squeeze: bool = False, to: np.ndarray | None = None):
+    """A record batch: part (one of the names), w (distinct words), n (entries of each), and the columns' values, all as bytes.  to: the number of each entry's part (by word if not given)."""
+    to = (words % np.uint64(len(names))).astype(np.int64) if to is None else to
     order = np.lexsort((words, to))
     words, to, columns = words[order], to[order], [c[order] for c in columns]
     cut = starts_of(to)
@@ -136,110 +145,170 @@ def blobs(column, dtype) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def stirling(discount: float) -> np.ndarray:
-    """log S(c, t), generalised Stirling numbers of that discount, for c up to EXACT."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
+def stirling(discount: float, customers: int = EXACT, width: int = EXACT) -> np.ndarray:
+    """log S(c, t), generalised Stirling numbers of that discount, for c up to customers and t up to width."""
+    s = np.full((customers + 1, width + 1), -np.inf)
     s[1, 1] = 0
-    with np.errstate(divide="ignore"):
-        for c in range(1, EXACT):
-            t = np.arange(1, c + 2)
-            s[c + 1, t] = np.logaddexp(s[c, t - 1], s[c, t] + np.log(np.maximum(c - discount * t, 0)))
+    t = np.arange(1, width + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, customers):
+            s[c + 1, 1:] = np.logaddexp(s[c, :-1], s[c, 1:] + np.log(np.maximum(c - discount * t, 0)))
     return s
 
 
-def tables(count: np.ndarray, pull: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables drawn for dishes with `count` customers, where a new table's weight is `pull`.
+#: Steps of the logarithm of customers in far().
+STEP_OF_LOG = 0.02
 
-    Up to EXACT customers from the conditional pull**t S(count, t); further customers are seated in blocks, each opening a binomial number of tables.
+
+@lru_cache(maxsize=4)
+def far(discount: float) -> np.ndarray:
+    """log S(c, t) - log S(c, 1) for c = FAR * exp(STEP_OF_LOG * row), t up to WIDE.
+
+    Q(t) = S(c, t) / S(c, 1) * (t - 1)! * discount ** (t - 1) obeys dQ(t) / d log c = discount * (t - 1) * (Q(t - 1) - Q(t)) for c far above t.
+    """
+    t = np.arange(1, WIDE + 1)
+    scale = np.cumsum(np.log(np.maximum(t - 1, 1) * np.where(t > 1, discount, 1)))
+    row = stirling(discount, FAR, WIDE)[FAR, 1:]
+    q, out = np.exp(row - row[0] + scale), []
+
+    def slope(x):
+        return discount * (t - 1) * (np.concatenate([[0], x[:-1]]) - x)
+
+    for _ in range(2000):
+        out.append(np.log(q) - scale)
+        a = slope(q)
+        b = slope(q + STEP_OF_LOG / 2 * a)
+        c = slope(q + STEP_OF_LOG / 2 * b)
+        q = q + STEP_OF_LOG / 6 * (a + 2 * b + 2 * c + slope(q + STEP_OF_LOG * c))
+    return np.array(out)
+
+
+def expected(count, pull, discount: float) -> np.ndarray:
+    """Tables expected of many customers where a new table has the weight pull: at the saddle point of the tables' generating function."""
+    lo, hi = np.full(len(count), -700.0), np.zeros(len(count))  # log y, with pull * y ** (discount - 1) * (1 - y) = count
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        above = np.log(pull) + (discount - 1) * mid + np.log1p(-np.exp(np.minimum(mid, -1e-16))) > np.log(count)
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return 1 + pull / discount * -np.expm1(discount * lo)
+
+
+def uniform(key: np.ndarray, draw: int) -> np.ndarray:
+    """A number of [0, 1) for each key, another one for each draw."""
+    with np.errstate(over="ignore"):
+        return (mix(key + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) * 2.0**-53
+
+
+def tables(count: np.ndarray, rest: np.ndarray, weight: np.ndarray, strength: float, discount: float, key: np.ndarray, draw: int) -> np.ndarray:
+    """Tables drawn for dishes with `count` customers in a restaurant with `rest` tables of other dishes, whose parent serves the dish with probability `weight`.
+
+    The chance of t tables goes as S(count, t) times the weights of opening them: (strength + discount * (rest + i)) * weight for i under t.
     """
     out = np.minimum(count, 1).astype(np.int64)
     head = np.minimum(count, EXACT)
-    s, log_pull = stirling(discount), np.log(np.maximum(pull, 1e-300))
+    s, log_weight, chance = stirling(discount), np.log(np.maximum(weight, 1e-300)), uniform(key, draw)
     order = np.argsort(head, kind="stable")
     cuts = np.searchsorted(head[order], np.arange(2, EXACT + 2))
     for c in range(2, EXACT + 1):
-        rows = order[cuts[c - 2] : cuts[c - 1]]
-        if len(rows):
-            t = np.arange(1, c + 1)
-            weights = log_pull[rows, None] * t + s[c, 1 : c + 1]
+        every = order[cuts[c - 2] : cuts[c - 1]]
+        for lo in range(0, len(every), (1 << 20) // c):
+            rows = every[lo : lo + (1 << 20) // c]
+            opened = np.log(strength + discount * (rest[rows, None] + np.arange(c))) + log_weight[rows, None]
+            weights = np.cumsum(opened, axis=1) + s[c, 1 : c + 1]
             weights = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
-            out[rows] = 1 + (weights < (rng.random(len(rows)) * weights[:, -1])[:, None]).sum(axis=1)
+            out[rows] = 1 + (weights < (chance[rows] * weights[:, -1])[:, None]).sum(axis=1)
     big = np.flatnonzero(count > EXACT)
-    seated = np.full(len(big), EXACT)
-    while len(big):
-        step = np.minimum(np.maximum(1, seated // 10), count[big] - seated)
-        p = pull[big] / (pull[big] + np.maximum(seated - discount * out[big], 1e-9))
-        out[big] += rng.binomial(step, np.clip(p, 0, 1))
-        seated = seated + step
-        more = seated < count[big]
-        big, seated = big[more], seated[more]
+    if not len(big):
+        return out
+    c, r, w = count[big].astype(float), rest[big], weight[big]
+
+    def opening(t):
+        return (strength + discount * (r + t)) * w
+
+    mean = np.ones(len(big))
+    for _ in range(25):
+        mean = np.minimum(expected(c, opening(mean), discount), c)
+    many = mean > WIDE / 2
+    few = np.flatnonzero(~many)
+    near, beyond = (stirling(discount, FAR, WIDE), far(discount)) if len(few) else (None, None)
+    for lo in range(0, len(few), 8192):
+        at = few[lo : lo + 8192]
+        held = np.where((c[at] <= FAR)[:, None], near[np.minimum(c[at], FAR).astype(np.int64), 1:], beyond[np.clip(np.rint(np.log(c[at] / FAR) / STEP_OF_LOG), 0, len(beyond) - 1).astype(np.int64)])
+        weights = np.cumsum(np.log(strength + discount * (r[at, None] + np.arange(WIDE))) + np.log(np.maximum(w[at], 1e-300))[:, None], axis=1) + held
+        weights = np.cumsum(np.exp(weights - weights.max(axis=1, keepdims=True)), axis=1)
+        out[big[at]] = 1 + (weights < (chance[big[at]] * weights[:, -1])[:, None]).sum(axis=1)
+    if many.any():
+        c, r, w, mean = c[many], r[many], w[many], mean[many]
+        spread = (expected(c, opening(mean) * 1.01, discount) - expected(c, opening(mean) * 0.99, discount)) / 0.02
+        spread = 1 / np.maximum(1 / np.maximum(spread, 1e-9) - discount * w / opening(mean), 1e-9)
+        normal = np.sqrt(-2 * np.log1p(-chance[big[many]])) * np.cos(2 * np.pi * uniform(key[big[many]], draw + 1))
+        out[big[many]] = np.clip(np.rint(mean + normal * np.sqrt(spread)), 1, c).astype(np.int64)
     return out
 
 
+def dish_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(words) + contexts)
+
+
+#: Draws that a sweep may take for a dish, and from where on the root's are.
+DRAWS, ROOT_DRAWS = 4, 1 << 40
+
+
 class Model:
-    """What all tasks know, and where the restaurants' totals are stored.
+    """What all tasks know.  totals (part, u, sums): of the contexts of a part, in order, and by rows, customers and the tables of each kept sample.
 
-    totals (part, u, sums): for the restaurants of a part, dealt out by context, their keys in order, and by rows customers and the tables of
-    each kept sample.  heads: the contexts that have restaurants, None for all.
+    common: words dealt out by context too, in order, with the number of their shares and their counts; of these the model holds what other words' tasks hold.
+    root_tables, root_customers: of each state of the seating, the first with one table for each dish.  kept: the states that are averaged.
     """
 
-    def __init__(self, heads: np.ndarray | None, tokens: int, kinds: int, discounts=(0.75, 0.8), strengths=(1.0, 1.0), burn: int = 2, samples: int = 3, seed: int = 5):
-        self.heads, self.tokens, self.kinds = heads, tokens, kinds
-        self.discounts, self.strengths, self.burn, self.samples, self.seed = discounts, strengths, burn, samples, seed
-        self.root_customers = self.root_tables = None
-        self.totals = self.all = None
+    def __init__(self, parts: int, tokens: int, kinds: int, common: np.ndarray, counts: np.ndarray, discounts=(0.75, 0.8), strengths=(1.0, 1.0), burn: int = 2, samples: int = 3, seed: int = 5):
+        self.parts, self.tokens, self.kinds, self.common, self.counts = parts, tokens, kinds, common, counts
+        self.shares = np.maximum(1, np.ceil(counts / max(1.0, COMMON * tokens / parts))).astype(np.uint64)
+        self.discounts, self.strengths, self.samples, self.seed = discounts, strengths, samples, seed
+        self.kept = list(range(burn + 1, burn + samples + 1))
+        self.root_tables, self.root_customers = [], []
+        #: Of common words, by state: customers and tables in the root, and tables of their own restaurants.
+        self.customers, self.tables, self.opened = [], [], []
+        self.totals = self.seats = None
 
     def __getstate__(self):
-        return self.__dict__ | {"totals": None, "all": None}
-
-    def of(self, context) -> np.ndarray:
-        """Totals of those contexts, out of the whole table (for a look at a small model; tasks are sent theirs)."""
-        if self.all is None:
-            self.all = gathered(self.totals.filter("part >= 0").toPandas(), self.samples + 1)
-        return found(np.asarray(context, np.uint64), *self.all)
-
-    def seat(self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, customers: np.ndarray | None = None):
-        """Samples for the dishes of a task: word (a number from 0), context, count, all customers of the context, by word, then context.
-
-        Yields for each kept sample the tables of each dish in its context, and customers and tables of each word in the root.
-        """
-        rng = np.random.Generator(np.random.PCG64([self.seed, part]))
-        (d0, d1), (s0, s1) = self.discounts, self.strengths
-        words = int(word.max()) + 1
-        inner = context != ROOT
-        customers = self.of(context)[0] if customers is None else customers
-        direct = np.bincount(word[~inner], weights=count[~inner], minlength=words).astype(np.int64)
-        w, u, c = word[inner], np.unique(context[inner], return_inverse=True)[1], count[inner]
-        n = int(u.max()) + 1 if len(u) else 0
-        everywhere = np.zeros(n)
-        everywhere[u] = customers[inner]
-        here = np.bincount(u, weights=c, minlength=n)
-        share = self.tokens / count.sum()
-        kinds = self.kinds / words
-        t = np.ones(len(w), np.int64)
-        root_t = np.ones(words, np.int64)
-        for sweep in range(self.burn + self.samples):
-            root_c = direct + np.bincount(w, weights=t, minlength=words).astype(np.int64)
-            base = (s0 + d0 * root_t.sum() * kinds) / (self.kinds + 1)
-            parent = (root_c - d0 * root_t + base) / (s0 + root_c.sum() * share)
-            of_u = np.bincount(u, weights=t, minlength=n)
-            # a restaurant's tables, as many to its customers as here
-            all_u = of_u / here * everywhere
-            t = tables(c, (s1 + d1 * all_u[u]) * parent[w], d1, rng)
-            root_c = direct + np.bincount(w, weights=t, minlength=words).astype(np.int64)
-            root_t = tables(root_c, np.full(words, base), d0, rng)
-            if sweep >= self.burn:
-                full = np.zeros(len(word), np.int64)
-                full[inner] = t
-                yield full, root_c, root_t
-
-    def probability(self, k: int, context, count, t, root_c, root_t, totals: np.ndarray | None = None) -> np.ndarray:
-        """Predictive probability, in sample k, of words with those customers and tables in their context, whose totals are given, and in the root."""
-        (d0, d1), (s0, s1) = self.discounts, self.strengths
-        totals = self.of(context) if totals is None else totals
-        parent = (root_c - d0 * root_t + (s0 + d0 * self.root_tables[k]) / (self.kinds + 1)) / (s0 + self.root_customers[k])
-        own = (count - d1 * t + (s1 + d1 * totals[1 + k]) * parent) / (s1 + totals[0])
-        return np.where(context != ROOT, own, parent)
+        return self.__dict__ | {"totals": None, "seats": None}
+
+    def is_common(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether words are common, and their places among the common."""
+        at = np.minimum(np.searchsorted(self.common, words), max(0, len(self.common) - 1))
+        return (self.common[at] == words if len(self.common) else np.zeros(len(words), bool)), at
+
+    def part_of(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        to = words % np.uint64(self.parts)
+        hit, at = self.is_common(words)
+        if hit.any():
+            with np.errstate(over="ignore"):
+                to[hit] = mix(words[hit] + mix(contexts[hit]) % self.shares[at[hit]] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.parts)
+        return to.astype(np.int64)
+
+    def seat_root(self, state: int, words: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """Tables of words in the root in a state, given those of all words in the state before."""
+        before = self.root_tables[state - 1] if state else self.kinds
+        n = len(words)
+        return tables(customers, np.full(n, float(before)), np.full(n, 1 / (self.kinds + 1)), self.strengths[0], self.discounts[0], mix(words + np.uint64(self.seed)), ROOT_DRAWS + state * DRAWS)
+
+    def parent(self, state: int, customers, opened) -> np.ndarray:
+        """Probability of words in the root, with those customers and tables there."""
+        d, s = self.discounts[0], self.strengths[0]
+        return (customers - d * opened + (s + d * self.root_tables[state]) / (self.kinds + 1)) / (s + self.root_customers[state])
+
+    def seat(self, state: int, words, contexts, count, before, all_before, parent) -> np.ndarray:
+        """Tables of dishes in the next state: of their tables, their restaurants' tables and their parents' probabilities in this one."""
+        with np.errstate(over="ignore"):
+            key = dish_keys(words, contexts) + np.uint64(self.seed)
+        return tables(count, (all_before - before).astype(float), parent, self.strengths[1], self.discounts[1], key, (state + 1) * DRAWS)
+
+    def probability(self, k: int, count, opened, totals, parent) -> np.ndarray:
+        """Predictive probability, in kept sample k, of words with those customers and tables in a context of those totals."""
+        d, s = self.discounts[1], self.strengths[1]
+        return (count - d * opened + (s + d * totals[1 + k]) * parent) / (s + totals[0])
 
 
 # --- restaurants' totals
@@ -309,118 +378,262 @@ def word_table(train: DataFrame, parts: int) -> DataFrame:
     return stored(sent.groupBy("part").applyInPandas(add, "part long, words binary, counts binary"))
 
 
-def learn(train: DataFrame, parts: int, contexts: int | None = None) -> Model:
-    """train (text) -> the model, but for the seating itself, which tasks repeat.  contexts: restaurants only for so many of the most frequent words."""
+#: Rows between the steps of learning: kind says what the bytes are.
+STEP = "part long, kind int, n long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary"
+STATIC, SEATS, CONTEXTS, WORDS, ANSWERS, SINGLES, ROOT, SUMS, TOTAL = range(9)
+
+
+def step_row(part: int, kind: int, n: int = 0, *blobs_: bytes) -> tuple:
+    return (part, kind, n, *blobs_, *[None] * (5 - len(blobs_)))
 
-    def most(batches):
-        for batch in batches:
-            for words, counts in zip(batch.column(0), batch.column(1)):
-                w, n = np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
-                top = np.lexsort((w, -n))[:contexts]
-                yield pa.RecordBatch.from_arrays([pa.array(w[top].view(np.int64)), pa.array(n[top])], names=["w", "n"])
+
+def steps(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["part", "kind", "n", "b0", "b1", "b2", "b3", "b4"])
+
+
+def sent(kind: int, origin: int, keys: np.ndarray, values: np.ndarray, names: np.ndarray) -> list[tuple]:
+    """Rows that carry values of contexts or words to where they are summed, with the part that they come from."""
+    to = (keys % np.uint64(len(names))).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to, keys, values = to[order], keys[order], values[order]
+    cut = starts_of(to)
+    return [step_row(int(names[to[x]]), kind, origin, keys[x:y].tobytes(), squeezed(values[x:y])) for x, y in zip(cut, np.append(cut[1:], len(to)))]
+
+
+class Dishes:
+    """Of a part: words, how many contexts they have stood in once, and their dishes with several customers: word (its place), context, count."""
+
+    def __init__(self, words: np.ndarray, singles: np.ndarray, several: np.ndarray, contexts: np.ndarray, count: np.ndarray):
+        self.words, self.singles, self.several, self.contexts, self.count = words, singles.astype(np.int64), several.astype(np.int64), contexts, count.astype(np.int64)
+        self.word = np.repeat(np.arange(len(words)), self.several)
+
+    def blobs(self) -> tuple:
+        return self.words.tobytes(), squeezed(self.singles), squeezed(self.several), self.contexts.tobytes(), squeezed(self.count)
+
+    @classmethod
+    def read(cls, row) -> "Dishes":
+        return cls(np.frombuffer(row.b0, np.uint64), unsqueezed(row.b1), unsqueezed(row.b2), np.frombuffer(row.b3, np.uint64), unsqueezed(row.b4))
+
+    def customers(self, seats: np.ndarray) -> np.ndarray:
+        return self.singles + np.bincount(self.word, weights=seats, minlength=len(self.words)).astype(np.int64)
+
+    def report(self, m: Model, part: int, state: int, seats: np.ndarray, names: np.ndarray) -> list[tuple]:
+        """Rows that say how a state of the seating is: the seats by slices, tables of contexts, customers of common words, sums of the root's others."""
+        w = self.words[self.word]
+        edges = [*np.searchsorted(w, np.array([int(k * 2**64 / SLICES) for k in range(SLICES)], np.uint64)), len(w)]
+        rows = [step_row(part, SEATS, k, squeezed(seats[x:y])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:]))]
+        u, at = np.unique(self.contexts, return_inverse=True)
+        rows += sent(CONTEXTS, part, u, np.bincount(at, weights=seats, minlength=len(u)).astype(np.int64), names) if len(u) else []
+        customers, (common, _) = self.customers(seats), m.is_common(self.words)
+        rows += sent(WORDS, part, self.words[common], customers[common], names) if common.any() else []
+        opened = m.seat_root(state, self.words[~common], customers[~common])
+        return [*rows, step_row(part, ROOT, 0, np.array([opened.sum(), customers[~common].sum()], np.int64).tobytes())]
+
+
+def learn(train: DataFrame, parts: int, **settings) -> Model:
+    """train (text) -> the model."""
 
     def sums(batches):
         for batch in batches:
             n = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([x.sum() for x in n], pa.int64()), pa.array([len(x) for x in n], pa.int64())], names=["tokens", "kinds"])
 
-    spread = part_names(parts)
+    spark, spread = train.sparkSession, part_names(parts)
     table = word_table(train, parts)
     total = table.select("counts").mapInArrow(sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
-    heads = None
-    if contexts is not None:
-        end = int(END.view(np.int64))
-        top = table.select("words", "counts").mapInArrow(most, "w long, n long").filter(F.col("w") != end).orderBy(F.desc("n"), "w").limit(contexts).toPandas()
-        heads = np.sort(top["w"].to_numpy(np.int64).view(np.uint64))
-    drop(table)
-    free(train.sparkSession)
-    model = Model(heads, int(total["tokens"] or 0), int(total["kinds"] or 0))
-    held = train.sparkSession.sparkContext.broadcast(model)
+    tokens, kinds = int(total["tokens"] or 0), int(total["kinds"] or 0)
+    least = max(2.0, COMMON * tokens / parts)
+
+    def frequent(batches):
+        for batch in batches:
+            for words, counts in zip(batch.column(0), batch.column(1)):
+                w, n = np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(w[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["w", "n"])
+
+    # at most parts / COMMON words have so many of all tokens
+    top = table.select("words", "counts").mapInArrow(frequent, "w long, n long").toPandas()
+    common = top["w"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(common)
+    m = Model(parts, tokens, kinds, common[order], top["n"].to_numpy(np.int64)[order], **settings)
 
     def send(batches):
         for words, _, first in pieces(batches, 0):
-            u = context_numbers(words, first, held.value.heads)
-            order = np.lexsort((words, u))
+            u = contexts_of(words, first)
+            order = np.lexsort((u, words))
             u, words = u[order], words[order]
-            lo = starts_of(u, words)
-            yield dealt(u[lo], spread, [words[lo], np.diff(np.append(lo, len(u))).astype(np.uint32)])
+            lo = starts_of(words, u)
+            n = np.diff(np.append(lo, len(u)))
+            u, words = u[lo], words[lo]
+            yield dealt(words, spread, [u, n], squeeze=True, to=start.value.part_of(words, u))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of all dishes of a part's restaurants: context, entries, and customers of the restaurant, dealt out by word."""
-        u, w, n = np.repeat(blobs(pdf["c0"], np.uint64), blobs(pdf["c1"], np.uint32)), blobs(pdf["c2"], np.uint64), blobs(pdf["c3"], np.uint32)
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order].astype(np.int64)
-        lo = starts_of(u, w)
-        u, w, n = u[lo], w[lo], np.add.reduceat(n, lo)
-        cut = starts_of(u)
-        return dealt(w, spread, [u, n, np.repeat(np.add.reduceat(n, cut), np.diff(np.append(cut, len(u))))]).to_pandas()
-
-    def seat(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, part = held.value, int(pdf["part"].iloc[0])
-        keys, found_sums = [], []
-        root = np.zeros((m.samples + 1, 2), np.int64)
-        for s, w, u, n, customers in sliced(pdf, (np.uint64, np.int64, np.int64)):
+        m, part = start.value, int(pdf["part"].iloc[0])
+        made = []
+        for _, w, u, n in sliced(pdf, (None, None)):
+            u = u.astype(np.uint64)
             order = np.lexsort((u, w))
-            w, u, n, customers = w[order], u[order], n[order], customers[order]
-            word = np.cumsum(np.concatenate([[0], (w[1:] != w[:-1]).astype(np.int64)]))
-            inner = u != ROOT
-            kinds, at = np.unique(u[inner], return_inverse=True)
-            mine = np.zeros((m.samples + 1, len(kinds)), np.int64)
-            mine[0] = np.bincount(at, weights=n[inner], minlength=len(kinds))
-            for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, word, u, n, customers)):
-                mine[1 + k] = np.bincount(at, weights=t[inner], minlength=len(kinds))
-                root[1 + k] += root_t.sum(), root_c.sum()
-            keys.append(kinds)
-            found_sums.append(mine)
-        u, mine = summed(np.concatenate(keys), np.concatenate(found_sums, axis=1))
-        rows = totals_rows((u % np.uint64(parts)).astype(np.int64), u, mine, spread)
-        return pd.DataFrame([*rows, (-1, np.arange(2, dtype=np.uint64).tobytes(), root.tobytes())], columns=["part", "u", "sums"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, mine = gathered(pdf, held.value.samples + 1)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "u": [u.tobytes()], "sums": [mine.tobytes()]})
-
+            w, u, n = w[order], u[order], n[order].astype(np.int64)
+            lo = starts_of(w, u)
+            w, u, n = w[lo], u[lo], np.add.reduceat(n, lo)
+            at = starts_of(w)
+            size = np.diff(np.append(at, len(w)))
+            several = n > 1
+            most = np.add.reduceat(several.astype(np.int64), at)
+            made.append((w[at], size - most, most, u[several], n[several], *np.unique(u[~several], return_counts=True)))
+        dishes = Dishes(*(np.concatenate([x[k] for x in made]) for k in range(5)))
+        alone, times = summed(np.concatenate([x[5] for x in made]), np.concatenate([x[6] for x in made])[None, :])
+        rows = [step_row(part, STATIC, 0, *dishes.blobs())]
+        rows += sent(SINGLES, part, alone, times[0], spread) if len(alone) else []
+        return steps(rows + dishes.report(m, part, 0, np.ones(len(dishes.count), np.int64), spread))
+
+    def sweep(state: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            m, part = held.value, int(pdf["part"].iloc[0])
+            by = {k: list(x.sort_values("n").itertuples()) for k, x in pdf.groupby("kind")}
+            if STATIC not in by:
+                return steps([])
+            dishes = Dishes.read(by[STATIC][0])
+            seats = np.concatenate([unsqueezed(x.b0) for x in by[SEATS]]).astype(np.int64)
+            customers, (common, at) = dishes.customers(seats), m.is_common(dishes.words)
+            opened = np.zeros(len(customers), np.int64)
+            opened[~common] = m.seat_root(state, dishes.words[~common], customers[~common])
+            customers[common], opened[common] = m.customers[state][at[common]], m.tables[state][at[common]]
+            parent = m.parent(state, customers, opened)
+            told = by.get(ANSWERS, [])
+            u = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.b0, np.uint64) for x in told)])
+            sums = np.concatenate([np.zeros(0, np.int64), *(unsqueezed(x.b1).astype(np.int64) for x in told)])
+            order = np.argsort(u)
+            every = found(dishes.contexts, u[order], sums[order][None, :])[0]
+            common, at = m.is_common(dishes.contexts)
+            every[common] = m.opened[state][at[common]]
+            after = m.seat(state, dishes.words[dishes.word], dishes.contexts, dishes.count, seats, every, parent[dishes.word])
+            return steps(dishes.report(m, part, state + 1, after, spread))
+
+        return run
+
+    def node(keep: bool):
+        """Sums what parts say of contexts and common words, answers each part's contexts, and hands the common ones to the driver."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            m, part = held.value, int(pdf["part"].iloc[0])
+            by = {k: list(x.itertuples()) for k, x in pdf.groupby("kind")}
+            rows = []
+            for kind in (CONTEXTS, WORDS):
+                said = by.get(kind, [])
+                given = by.get(TOTAL, []) if kind == CONTEXTS else []
+                if not said and not given:
+                    continue
+                keys = [np.frombuffer(x.b0, np.uint64) for x in said]
+                u, sums = summed(np.concatenate([*keys, *(np.frombuffer(x.b0, np.uint64) for x in given)]), np.concatenate([*(unsqueezed(x.b1).astype(np.int64) for x in said), *(unsqueezed(x.b1).astype(np.int64) for x in given)])[None, :])
+                common, _ = m.is_common(u)
+                if common.any():
+                    rows.append(step_row(-1, SUMS, kind, u[common].tobytes(), sums[0][common].tobytes()))
+                if kind == CONTEXTS:
+                    for x, mine in zip(said, keys):
+                        mine = mine[~m.is_common(mine)[0]]
+                        if len(mine):
+                            rows.append(step_row(int(x.n), ANSWERS, part, mine.tobytes(), squeezed(found(mine, u, sums)[0])))
+                    if keep:
+                        rows.append(step_row(part, TOTAL, 0, u.tobytes(), squeezed(sums[0])))
+            return steps(rows)
+
+        return run
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Tables of dishes with one customer, by context; every context of the part is in."""
+        u, n = blobs(pdf["b0"], np.uint64), np.concatenate([unsqueezed(x).astype(np.int64) for x in pdf["b1"]])
+        u, n = summed(u, n[None, :])
+        return steps([step_row(int(pdf["part"].iloc[0]), TOTAL, 0, u.tobytes(), squeezed(n[0]))])
+
+    start = spark.sparkContext.broadcast(m)
     pairs = train.select("text").mapInArrow(send, "part long, " + ", ".join(f"c{i} binary" for i in range(4)))
-    counted = pairs.groupBy("part").applyInPandas(count, "part long, " + ", ".join(f"c{i} binary" for i in range(5)))
-    model.totals = stored(counted.groupBy("part").applyInPandas(seat, TOTALS).groupBy("part").applyInPandas(add, TOTALS))
-    root = model.totals.filter("part = -1").toPandas()
-    root = gathered(root, model.samples + 1)[1] if len(root) else np.zeros((model.samples + 1, 2))
-    model.root_tables, model.root_customers = [[float(x) for x in root[1:, i]] for i in (0, 1)]
-    return model
-
-
-def dishes(words: np.ndarray, contexts: np.ndarray):
-    """Of each distinct (word, context), sorted: number of the word, context, entries."""
-    order = np.lexsort((contexts, words))
-    w, u = words[order], contexts[order]
-    lo = starts_of(w, u)
-    return np.unique(w[lo], return_inverse=True)[1], u[lo], np.diff(np.append(lo, len(w)))
+    told = stored(pairs.groupBy("part").applyInPandas(count, STEP))
+    free(spark)
+    static, singles = told.filter(F.col("kind") == STATIC), stored(told.filter(F.col("kind") == SINGLES).groupBy("part").applyInPandas(alone, STEP))
+    first, seats, totals, said, spent = told, [], [], None, [table, told, singles]
+    for state in range(m.kept[-1] + 1):
+        root = told.filter(F.col("kind") == ROOT).select("b0").toPandas()["b0"]
+        inner = sum((np.frombuffer(x, np.int64) for x in root), np.zeros(2, np.int64))
+        held = spark.sparkContext.broadcast(m)
+        before, said = said, stored(told.filter(F.col("kind").isin(CONTEXTS, WORDS)).unionByName(singles).groupBy("part").applyInPandas(node(state in m.kept), STEP))
+        both = {CONTEXTS: np.zeros(len(m.common), np.int64), WORDS: np.zeros(len(m.common), np.int64)}
+        for row in said.filter(F.col("kind") == SUMS).select("n", "b0", "b1").collect():
+            both[row["n"]][m.is_common(np.frombuffer(row["b0"], np.uint64))[1]] = np.frombuffer(row["b1"], np.int64)
+        m.customers.append(both[WORDS])
+        m.opened.append(both[CONTEXTS])
+        m.tables.append(m.seat_root(state, m.common, both[WORDS]))
+        m.root_tables.append(float(inner[0] + m.tables[-1].sum()))
+        m.root_customers.append(float(inner[1] + both[WORDS].sum()))
+        if before is not None and state - 1 not in m.kept:
+            drop(before)
+        if state in m.kept:
+            spent += [told, said]
+            seats.append(told.filter(F.col("kind") == SEATS).withColumn("n", F.col("n") + (len(seats) + 1) * SLICES))
+            totals.append(said.filter(F.col("kind") == TOTAL).withColumn("n", F.lit(len(totals) + 1).cast("long")))
+        if state < m.kept[-1]:
+            held.unpersist()
+            held = spark.sparkContext.broadcast(m)
+            seated = static.unionByName(told.filter(F.col("kind") == SEATS)).unionByName(said.filter(F.col("kind") == ANSWERS))
+            told, last = stored(seated.groupBy("part").applyInPandas(sweep(state), STEP)), told
+            if last is not first and state not in m.kept:
+                drop(last)
+            free(spark)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A part's contexts with their customers (a context has as many as the word stands in the texts) and the tables of each kept sample."""
+        rows = list(pdf.sort_values("n").itertuples())
+        if rows[0].n:
+            return pd.DataFrame({"part": [], "u": [], "sums": []})
+        u, counts = np.frombuffer(rows[0].b0, np.uint64), np.frombuffer(rows[0].b1, np.int64)
+        out = np.zeros((m.samples + 1, len(u)), np.int64)
+        out[0] = counts
+        for x in rows[1:]:
+            out[x.n] = found(u, np.frombuffer(x.b0, np.uint64), unsqueezed(x.b1).astype(np.int64)[None, :])[0]
+        return pd.DataFrame({"part": [rows[0].part], "u": [u.tobytes()], "sums": [out.tobytes()]})
+
+    counted = table.select("part", F.lit(0).cast("long").alias("n"), F.col("words").alias("b0"), F.col("counts").alias("b1"))
+    for x in totals:
+        counted = counted.unionByName(x.select("part", "n", "b0", "b1"))
+    m.totals = stored(counted.groupBy("part").applyInPandas(whole, TOTALS))
+    every = None
+    for x in seats:
+        x = x.select("part", "n", F.col("b0").alias("u"), F.lit(None).cast("binary").alias("sums"))
+        every = x if every is None else every.unionByName(x)
+    m.seats = stored(every)
+    for x in spent:
+        drop(x)
+    return m
 
 
 DOC = np.dtype([("key", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 
-def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (key, learned, text) -> key, n_tokens, n_known, base_score, score; rows of one key must be alike.
 
     The words go in two rounds, the lower half of the hashes first: a round's shuffle files are deleted before the next.
     """
+    parts = model.parts
     held, spread = docs.sparkSession.sparkContext.broadcast(model), part_names(parts)
 
     def send(batches, half: int):
         for words, row, first, keys, learned in pieces(batches, 2, (0, 1)):
-            u, here = context_numbers(words, first, held.value.heads), words >> np.uint64(63) == half
+            u, here = contexts_of(words, first), words >> np.uint64(63) == half
             if here.any():
                 about = keys.astype(np.int64).tobytes() + learned.astype(np.uint8).tobytes()
-                yield dealt(words[here], spread, [u[here], row[here]], about, squeeze=True)
+                w, u = words[here], u[here]
+                yield dealt(w, spread, [u, row[here]], about, squeeze=True, to=held.value.part_of(w, u))
 
     def ask(batches, half: int):
-        """Contexts, dealt out like the totals, with the numbers of the parts that have words after them."""
+        """Contexts, dealt out like the totals, with the numbers of the parts that have words after them; the model has those of common words."""
         for words, _, first in pieces(batches, 0):
             here = words >> np.uint64(63) == half
-            if not here.any():
+            w, u = words[here], contexts_of(words, first)[here]
+            rare = ~held.value.is_common(u)[0]
+            w, u = w[rare], u[rare]
+            if not len(u):
                 continue
-            u, to = context_numbers(words, first, held.value.heads)[here], (words[here] % np.uint64(parts)).astype(np.uint32)
+            to = held.value.part_of(w, u).astype(np.uint32)
             order = np.lexsort((to, u))
             u, to = u[order], to[order]
             lo = starts_of(u, to)
@@ -438,13 +651,15 @@ def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
             seen = sums[0] > 0
             if seen.any():
                 rows = totals_rows(to[seen], u[seen], sums[:, seen], spread)
-        return pd.DataFrame(rows, columns=["part", "u", "sums"])
+        return pd.DataFrame([(p, 0, u, x) for p, u, x in rows], columns=["part", "n", "u", "sums"])
 
-    def judge(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def judge(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """told: answers on contexts (n = 0), and the seats of kept samples by slices (n = sample * SLICES + slice, from SLICES on)."""
         if not len(pdf):
             return pd.DataFrame({"part": [], "docs": []})
-        m, part = held.value, int(pdf["part"].iloc[0])
-        known = gathered(replies, m.samples + 1)
+        m = held.value
+        known = gathered(told[told["n"] == 0], m.samples + 1)
+        seats = {int(n): x for n, x in zip(told["n"], told["u"]) if n}
         texts = np.array([len(x) // 9 for x in pdf["c4"]])
         key = np.concatenate([np.frombuffer(x[: 8 * n], np.int64) for x, n in zip(pdf["c4"], texts)])
         learned = np.concatenate([np.frombuffer(x[8 * n :], np.uint8) for x, n in zip(pdf["c4"], texts)])
@@ -460,18 +675,27 @@ def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
             which = np.repeat(np.arange(len(lo), dtype=np.int32), np.diff(np.append(lo, len(w))))
             count = np.add.reduceat(learned[row].astype(np.int64), lo)
             w, u = w[lo], u[lo]
-            word = np.cumsum(np.concatenate([[0], (w[1:] != w[:-1]).astype(np.int64)]))
-            c = np.bincount(word, weights=count).astype(np.int64)
-            p, seen, totals = np.zeros(len(lo)), count > 0, found(u, *known)
-            if seen.any():
-                own, number = np.unique(word[seen], return_inverse=True)
-                for k, (t, root_c, root_t) in enumerate(m.seat(part * SLICES + s, number, u[seen], count[seen], totals[0][seen])):
-                    tt, rc, rt = np.zeros(len(lo), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
-                    tt[seen], rc[own], rt[own] = t, root_c, root_t
-                    p += m.probability(k, u, count, tt, rc[word], rt[word], totals)
-            else:
-                for k in range(m.samples):
-                    p += m.probability(k, u, count, 0, 0, 0, totals)
+            at_word = starts_of(w)
+            word = np.repeat(np.arange(len(at_word)), np.diff(np.append(at_word, len(w))))
+            kinds, c = w[at_word], np.add.reduceat(count, at_word)
+            common, place = m.is_common(kinds)
+            c[common] = m.counts[place[common]]
+            totals, (hot, at) = found(u, *known), m.is_common(u)
+            totals[0, hot] = m.counts[at[hot]]
+            several, seen = count > 1, np.flatnonzero((c > 0) & ~common)
+            singles, p = np.bincount(word, weights=count == 1, minlength=len(kinds)).astype(np.int64), np.zeros(len(w))
+            for k, state in enumerate(m.kept):
+                seated = unsqueezed(seats[(k + 1) * SLICES + s]).astype(np.int64) if several.any() else np.zeros(0, np.int64)
+                if len(seated) != several.sum():
+                    raise ValueError(f"{len(seated)} dishes were seated, {several.sum()} are scored")
+                opened = np.minimum(count, 1)
+                opened[several] = seated
+                customers = singles + np.bincount(word[several], weights=seated, minlength=len(kinds)).astype(np.int64)
+                in_root = np.zeros(len(kinds), np.int64)
+                in_root[seen] = m.seat_root(state, kinds[seen], customers[seen])
+                customers[common], in_root[common] = m.customers[state][place[common]], m.tables[state][place[common]]
+                totals[1 + k, hot] = m.opened[state][at[hot]]
+                p += m.probability(k, count, opened, totals, m.parent(state, customers, in_root)[word])
             n = len(out)
             out["n"] += np.bincount(row, minlength=n)
             out["known"] += np.bincount(row, weights=(c[word] > 0)[which], minlength=n).astype(np.int64)
@@ -486,15 +710,18 @@ def score(docs: DataFrame, model: Model, parts: int) -> DataFrame:
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         x = blobs(pdf["docs"], DOC)
-        x = x[np.argsort(x["key"], kind="stable")]
+        # logarithms are added in one order, whatever the order of the parts
+        x = x[np.lexsort((x["score"], x["n"], x["key"]))]
         lo = starts_of(x["key"])
         return pd.DataFrame({"key": x["key"][lo], "n_tokens": np.add.reduceat(x["n"], lo), "n_known": np.add.reduceat(x["known"], lo), "base_score": np.add.reduceat(x["base"], lo), "score": np.add.reduceat(x["score"], lo)})
 
     def judged(half: int) -> DataFrame:
         sent = docs.select("key", "learned", "text").mapInArrow(lambda x: send(x, half), "part long, " + ", ".join(f"c{i} binary" for i in range(5)))
         asked = docs.select("text").mapInArrow(lambda x: ask(x, half), "part long, c0 binary, c1 binary, c2 binary")
-        replies = asked.groupBy("part").cogroup(model.totals.groupBy("part")).applyInPandas(reply, TOTALS)
-        return stored(sent.groupBy("part").cogroup(replies.groupBy("part")).applyInPandas(judge, "part long, docs binary"))
+        replies = asked.groupBy("part").cogroup(model.totals.groupBy("part")).applyInPandas(reply, "part long, n long, u binary, sums binary")
+        mine = F.floor(F.pmod("n", F.lit(SLICES)) * 2 / F.lit(SLICES)) == half
+        told = replies.unionByName(model.seats.filter(mine))
+        return stored(sent.groupBy("part").cogroup(told.groupBy("part")).applyInPandas(judge, "part long, docs binary"))
 
     halves = []
     for half in range(2):
@@ -508,13 +735,19 @@ def perplexity(scored: DataFrame) -> DataFrame:
     return scored.groupBy("held_out").agg(F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"), F.pow(F.lit(10.0), -F.sum("base_score") / F.sum("n_tokens")).alias("base_perplexity"))
 
 
-def score_documents(docs: DataFrame, contexts: int | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    parts = shuffles(docs.sparkSession)
+def part_count(docs: DataFrame) -> int:
+    """Parts for the texts: as many as Spark's shuffles have partitions, or a multiple, so that a part holds no more than PART_BYTES or so."""
+    n, size = shuffles(docs.sparkSession), docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return n * max(1, -(-size // (PART_BYTES * n)))
+
+
+def score_documents(docs: DataFrame, parts: int | None = None, **settings) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  parts: of the work; the result doesn't depend on it."""
+    parts = parts or part_count(docs)
     docs = docs.select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
-    model = learn(docs.filter("not held_out"), parts, contexts)
+    model = learn(docs.filter("not held_out"), parts, **settings)
     free(docs.sparkSession)
-    scored = score(docs.withColumn("learned", F.expr("if(held_out, 0L, 1L)")), model, parts)
+    scored = score(docs.withColumn("learned", F.expr("if(held_out, 0L, 1L)")), model)
     many = docs.groupBy("doc_id", "held_out", "key").agg(F.count("*").alias("rows"))
     out = many.join(scored, "key").withColumn("each", F.explode(F.expr("sequence(1L, rows)")))
     whole = {c: F.expr(f"cast({c} div rows as long)") for c in ("n_tokens", "n_known")}

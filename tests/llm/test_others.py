@@ -303,37 +303,100 @@ def test_scores(spark, sf_dir, docs):
     assert p[True]["perplexity"] < 0.9 * p[True]["base_perplexity"]
 
 
-def test_probabilities_sum_to_one(spark):
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = language_model.learn(train, 3, contexts=4)
+def words_and_contexts(texts):
     import pyarrow as pa
 
-    vocabulary = sorted({w for t in texts for w in t.split()})
-    for context in [*vocabulary, "unseen"]:
-        probes = [f"{context} {w}" for w in [*vocabulary, "never"]] + [context]
-        rows = [(k, 0, t) for k, t in enumerate(probes)] + [(1000 + k, 1, t) for k, t in enumerate(texts)]
-        out = {r["key"]: r["score"] for r in language_model.score(spark.createDataFrame(rows, "key long, learned long, text string"), model, 3).collect()}
-        # of "c w" take away the parts of c after the start, and of the end after w
-        first = {}
-        for w in [*vocabulary, "never"]:
-            alone = spark_free_score(model, texts, context, w)
-            first[w] = alone
-        total = sum(first.values()) + spark_free_score(model, texts, context, None)
-        assert abs(total - 1) < 1e-9, (context, total)
-        assert all(v <= 0 for v in out.values())
-        break
-    assert pa
+    parts = list(language_model.pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])], 0))
+    return [np.concatenate(x) for x in zip(*((w, language_model.contexts_of(w, f), r) for w, r, f in parts))]
+
+
+class PlainModel:
+    """The seating of a learned model, gathered in dictionaries, and its predictions worked out pair by pair."""
+
+    def __init__(self, model, texts):
+        w, u, _ = words_and_contexts(texts)
+        self.m, self.count, self.counts = model, Counter(zip(u.tolist(), w.tolist())), Counter(w.tolist())
+        several = sorted((int(model.part_of(np.array([b], np.uint64), np.array([a], np.uint64))[0]), b >> 62, b, a) for (a, b), n in self.count.items() if n > 1)
+        names, seats = part_names(model.parts), {(r["part"], r["n"]): language_model.unsqueezed(bytes(r["u"])).tolist() for r in model.seats.collect()}
+        self.tables, self.of, self.customers, self.opened = [], [], [], []
+        for k, state in enumerate(model.kept):
+            t = {pair: 1 for pair in self.count}
+            for part, slice in sorted({x[:2] for x in several}):
+                mine = [x[2:] for x in several if x[:2] == (part, slice)]
+                got = seats[int(names[part]), (k + 1) * language_model.SLICES + slice]
+                assert len(got) == len(mine)
+                t |= {(a, b): n for (b, a), n in zip(mine, got)}
+            assert all(1 <= t[x] <= self.count[x] for x in t)
+            of, customers = Counter(), Counter()
+            for (a, b), n in t.items():
+                of[a] += n
+                customers[b] += n
+            known = sorted(customers)
+            opened = dict(zip(known, model.seat_root(state, np.array(known, np.uint64), np.array([customers[b] for b in known])).tolist())) if known else {}
+            assert model.root_customers[state] == sum(customers.values()) and model.root_tables[state] == sum(opened.values())
+            self.tables.append(t)
+            self.of.append(of)
+            self.customers.append(customers)
+            self.opened.append(opened)
+
+    def probability(self, u, w):
+        (d0, d1), (s0, s1), m, p = self.m.discounts, self.m.strengths, self.m, 0
+        for k, state in enumerate(m.kept):
+            parent = (self.customers[k].get(w, 0) - d0 * self.opened[k].get(w, 0) + (s0 + d0 * m.root_tables[state]) / (m.kinds + 1)) / (s0 + m.root_customers[state])
+            own = self.count.get((u, w), 0) - d1 * self.tables[k].get((u, w), 0)
+            p += (own + (s1 + d1 * self.of[k].get(u, 0)) * parent) / (s1 + self.counts.get(u, 0))
+        return p / m.samples
+
+
+def some_texts(seed, n=60, words="abcdefg"):
+    rng = random.Random(seed)
+    return ["the " * rng.randrange(0, 400) + " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))) for _ in range(n)]
+
+
+def test_scores_against_a_plain_model(spark):
+    """Probabilities sum to one after every context, and what Spark sums for a text are their logarithms."""
+    texts = [*some_texts(2), None, ""]
+    model = language_model.learn(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+    assert len(model.common)
+    plain_model = PlainModel(model, texts)
+    assert max(plain_model.count.values()) > language_model.EXACT
+    end, unseen = int(language_model.END), 12345
+    for u in {*plain_model.counts, unseen}:
+        assert abs(sum(plain_model.probability(u, w) for w in [*plain_model.counts, unseen]) - 1) < 1e-9
+    probes = ["", "a", "a b", "never a never never b the", "the the", "g f e d c b a", "new words only"]
+    rows = [(k, 0, t) for k, t in enumerate(probes)] + [(1000 + k, 1, t) for k, t in enumerate(texts)]
+    out = {r["key"]: r["score"] for r in language_model.score(spark.createDataFrame(rows, "key long, learned long, text string"), model).collect()}
+    for k, _, t in rows:
+        w, u, _ = words_and_contexts([t])
+        want = sum(math.log10(plain_model.probability(a, b)) for a, b in zip(u.tolist(), w.tolist()))
+        assert math.isclose(out[k], want, rel_tol=1e-9), (k, t)
+    assert end in plain_model.counts
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(i, t) for i, t in enumerate(some_texts(3, 80, "abcdefghijklmnopqrstuvwxyz"))] + [(500, "x y z"), (501, "unheard of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in language_model.score_documents(docs.repartition(n), parts=parts).collect()} for n, parts in ((1, 4), (5, 16), (3, 211))]
+    for other in got[1:]:
+        for i, (score, base, known) in got[0].items():
+            assert math.isclose(other[i][0], score, rel_tol=1e-9) and math.isclose(other[i][1], base, rel_tol=1e-9) and other[i][2] == known
+
+
+def test_common_words_are_dealt_out_by_context():
+    m = language_model.Model(8, 8000, 10, np.array([7], np.uint64), np.array([6000]))
+    u = np.arange(1000, dtype=np.uint64)
+    parts = m.part_of(np.full(1000, 7, np.uint64), u)
+    assert m.shares[0] == 24 and len(set(parts.tolist())) > 4 and (parts == m.part_of(np.full(1000, 7, np.uint64), u)).all()
+    assert set(m.part_of(np.full(1000, 9, np.uint64), u).tolist()) == {1}
 
 
 def test_every_context_has_a_restaurant(spark):
-    # more contexts than 16-bit numbers could name, and far more than the 8192 most frequent
+    # more contexts than 16-bit numbers could name
     texts = [" ".join(f"c{i} d{i}" for i in range(lo, lo + 500)) for lo in range(0, 35000, 500)] * 2
     train = spark.createDataFrame([(t,) for t in texts], "text string")
     model = language_model.learn(train, 3)
     customers = {}
-    for r in model.totals.filter("part >= 0").collect():
+    for r in model.totals.collect():
         u = np.frombuffer(r["u"], np.uint64)
         customers |= dict(zip(u.tolist(), np.frombuffer(r["sums"], np.int64).reshape(-1, len(u))[0].tolist()))
     assert len(customers) == 70001 and sum(customers.values()) == 2 * 70 * 1001
@@ -341,56 +404,51 @@ def test_every_context_has_a_restaurant(spark):
     # each pair was seen twice: after its own context a word is far likelier than after another
     probes = [f"c{i} d{i}" for i in range(0, 35000, 700)] + [f"c{i} d{i + 1}" for i in range(0, 34999, 700)]
     rows = [(k, 0, t) for k, t in enumerate(probes)] + [(1000 + k, 1, t) for k, t in enumerate(texts[:70])] + [(2000 + k, 1, t) for k, t in enumerate(texts[70:])]
-    out = {r["key"]: r["score"] for r in language_model.score(spark.createDataFrame(rows, "key long, learned long, text string"), model, 3).collect()}
+    out = {r["key"]: r["score"] for r in language_model.score(spark.createDataFrame(rows, "key long, learned long, text string"), model).collect()}
     assert all(out[k] > out[50 + k] + 2 for k in range(50))
 
 
-def test_probabilities_sum_to_one_with_all_contexts(spark):
-    rng = random.Random(3)
-    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 30))) for _ in range(60)]
-    model = language_model.learn(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
-    for context in [*"abcdefg", "unseen"]:
-        assert abs(sum(spark_free_score(model, texts, context, w) for w in [*"abcdefg", "never", None]) - 1) < 1e-9
-
-
-def spark_free_score(model, texts, context, word):
-    """Probability of a word after a context, worked out from the model's own seating, without Spark."""
-    import pyarrow as pa
-
-    parts, slices = 3, language_model.SLICES
-    column = pa.array(texts)
-    words, _, first = next(language_model.pieces([pa.RecordBatch.from_arrays([column], names=["t"])], 0))
-    u = language_model.context_numbers(words, first, model.heads)
-    probe = [context] + ([word] if word is not None else [])
-    pw, _, pf = next(language_model.pieces([pa.RecordBatch.from_arrays([pa.array([" ".join(probe)])], names=["t"])], 0))
-    pu = language_model.context_numbers(pw, pf, model.heads)
-    target, at = pw[1], pu[1]
-    part, cut = int(target % np.uint64(parts)), int(target >> np.uint64(62)) if slices == 4 else 0
-    here = (words % np.uint64(parts) == np.uint64(part)) & ((words >> np.uint64(62)) == np.uint64(cut))
-    w, c = words[here], u[here]
-    known = np.unique(w)
-    p = 0.0
-    if len(w):
-        number, ctx, count = language_model.dishes(w, c)
-        for k, (t, root_c, root_t) in enumerate(model.seat(int(part_names(parts)[part]) * slices + cut, number, ctx, count)):
-            i = int(np.searchsorted(known, target)) if target in known else None
-            hit = np.flatnonzero((number == i) & (ctx == at)) if i is not None else []
-            own, tab = (int(count[hit[0]]), int(t[hit[0]])) if len(hit) else (0, 0)
-            rc, rt = (int(root_c[i]), int(root_t[i])) if i is not None else (0, 0)
-            p += float(model.probability(k, np.array([at]), np.array([own]), np.array([tab]), np.array([rc]), np.array([rt]))[0])
-    else:
-        p = sum(float(model.probability(k, np.array([at]), 0, 0, 0, 0)[0]) for k in range(model.samples))
-    return p / model.samples
+def drawn(count, weight, rest=0.0, strength=1.0, discount=0.8, n=40000):
+    key = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return language_model.tables(np.full(n, count), np.full(n, rest), np.full(n, weight), strength, discount, key, 7)
 
 
 def test_seating():
-    rng = np.random.default_rng(1)
-    count = np.array([0, 1, 2, 5, 64, 65, 5000])
-    low, high = language_model.tables(count, np.full(7, 1e-12), 0.8, rng), language_model.tables(count, np.full(7, 1e12), 0.8, rng)
-    assert low.tolist() == [0, 1, 1, 1, 1, 1, 1] and high.tolist() == count.tolist()
-    # two customers sit apart with probability pull / (pull + 1 - discount)
-    t = language_model.tables(np.full(40000, 2), np.full(40000, 0.3), 0.5, rng)
-    assert abs((t == 2).mean() - 0.3 / 0.8) < 0.02
+    count = np.array([0, 1, 2, 5, 256, 257, 5000, 10**7])
+    key, rest = np.arange(8, dtype=np.uint64), np.zeros(8)
+    low, high = (language_model.tables(count, rest, np.full(8, w), 1.0, 0.8, key, 1) for w in (1e-12, 1e15))
+    assert low.tolist() == [0, 1, 1, 1, 1, 1, 1, 1] and high.tolist() == count.tolist()
+    # two customers: apart with weight (s + d) * w against 1 - d
+    t = drawn(2, 0.3, strength=0.7, discount=0.5)
+    assert abs((t == 2).mean() - 0.36 / (0.36 + 0.5)) < 0.01
+    # a few customers: all ways to seat them, by hand: the first table's opening is common to all ways
+    s, d, w = 1.5, 0.4, 0.2
+    ways = {1: (1 - d) * (2 - d), 2: 3 * (1 - d) * (s + d) * w, 3: (s + d) * w * (s + 2 * d) * w}
+    t = drawn(3, w, strength=s, discount=d)
+    for k, x in ways.items():
+        assert abs((t == k).mean() - x / sum(ways.values())) < 0.01
+    # tables of other dishes add to the weight of opening one
+    t = drawn(2, 0.01, rest=50.0)
+    assert abs((t == 2).mean() - 0.01 * (1 + 0.8 * 51) / (0.01 * (1 + 0.8 * 51) + 0.2)) < 0.01
+
+
+@pytest.mark.parametrize("count", [200, 250])
+@pytest.mark.parametrize("weight", [0.0005, 0.01, 0.2, 5.0])
+def test_seating_of_many_customers_is_close_to_the_exact_conditional(monkeypatch, weight, count):
+    """Means of the tables, with all Stirling numbers and by each of the other ways, differ by less than 3 %."""
+    exact = drawn(count, weight, rest=20.0, n=20000)
+    monkeypatch.setattr(language_model, "EXACT", 64)
+    other = drawn(count, weight, rest=20.0, n=20000)
+    assert abs(other.mean() / exact.mean() - 1) < 0.03
+    if exact.mean() > 2:
+        assert abs(other.std() / exact.std() - 1) < 0.1
+
+
+def test_ratios_of_stirling_numbers_beyond_the_table(monkeypatch):
+    far = language_model.far(0.8)
+    rows = int(round(math.log(4) / language_model.STEP_OF_LOG))
+    exact = language_model.stirling(0.8, 4 * language_model.FAR, 40)[4 * language_model.FAR, 1:]
+    assert np.allclose(far[rows, :40], exact - exact[0], atol=0.05)
 
 
 def test_language_model_edges(spark):
