@@ -225,6 +225,40 @@ def test_top_k(spark, shard_rows):
     assert maxscore.top_k(few, few, 5).count() == 2
 
 
+def test_essential_terms(monkeypatch):
+    """Against all scores, with ties; non-essential postings of vectors that can't win are not probed."""
+    monkeypatch.setattr(maxscore, "MEET", 50)
+    rng = np.random.default_rng(5)
+    skew = rng.integers(-2, 3, (1500, 24)).astype(float)
+    skew[:, :4] = rng.integers(-300, 300, (1500, 4))
+    for vectors in (skew, rng.integers(-3, 4, (400, 8)).astype(float), np.zeros((60, 5)), np.ones((5, 3))):
+        owners = np.sort(rng.integers(0, 2000, len(vectors)))
+        shard = maxscore.Shard(vectors, owners)
+        for q in [*vectors[:20], -vectors[1] * 3]:
+            ids, scores = shard.top(q, owners[3], 10)
+            every = sorted((-int(v @ q), int(i)) for v, i in zip(vectors, owners) if i != owners[3])[:10]
+            assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == every
+        assert [x.tolist() for x in shard.whole(vectors[0], owners[3], 10)] == [x.tolist() for x in shard.top(vectors[0], owners[3], 10)]
+        if vectors is skew:
+            assert shard.skipped > 2 * shard.probed
+
+
+def test_scores_beyond_doubles():
+    vectors = np.array([[2.0**29, 1.0], [2.0**29, 2.0], [-(2.0**29), 5.0]])
+    ids, scores = maxscore.Shard(vectors, np.array([1, 2, 3])).top(np.array([2.0**29, 1.0]), 0, 2)
+    assert ids.tolist() == [2, 1] and scores.tolist() == [2**58 + 2, 2**58 + 1]
+    with pytest.raises(OverflowError):
+        maxscore.Shard(np.array([[2.0**40]]), np.array([1])).top(np.array([2.0**40]), 0, 1)
+
+
+def test_blocks_of_queries_meet_every_shard(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [sorted(map(tuple, maxscore.top_k(df, df.filter("vec_id % 3 = 0"), 4, shard_rows=s, block_rows=b).collect())) for s, b in ((1000, 1000), (20, 7))]
+    assert got[0] == got[1] and len(got[0]) == 120
+
+
 # --- mixing
 
 
