@@ -6,7 +6,7 @@ cumulative targets the point falls gets the slot.  A source's r-th slot takes bl
 end, within a block if need be: each slot holds as many words, the last of the last pass excepted, and every stretch of the mix is close to the target shares.
 
 Null text has size 0; a null source is a source of its own, after the others; an empty table gives no rows; equal
-doc_ids are separate documents.  Other columns are ignored.  The driver holds one row per source and no more.
+doc_ids are separate documents.  Other columns are ignored, or kept as they are if asked for.  The driver and each task hold one row per source and no more.
 """
 
 from __future__ import annotations
@@ -24,13 +24,28 @@ GOLDEN = 0x9E3779B97F4A7C15
 STRETCH = 1 << 16
 
 
-def word_counts(batches):
-    """(doc_id, source, text) -> (doc_id, source, size)."""
-    for batch in batches:
-        sizes = np.zeros(batch.num_rows, np.int64)
-        for chunk in chunks(batch.column(2)):
-            sizes[chunk.lo : chunk.hi] = np.diff(chunk.words().rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes)], names=["doc_id", "source", "size"])
+def word_counts(text: int):
+    """Batches with the column size, the number of words of their column `text`, behind the others."""
+
+    def count(batches):
+        for batch in batches:
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for chunk in chunks(batch.column(text)):
+                sizes[chunk.lo : chunk.hi] = np.diff(chunk.words().rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes)], names=[*batch.schema.names, "size"])
+
+    return count
+
+
+def summed_ahead(df: DataFrame, group: list[str], order: str, value: str, name: str, width: int = 1024) -> DataFrame:
+    """df with the sum of `value` over the group's rows of smaller `order` (a whole number), in two levels: no task gets more than `width` rows of a group,
+    or a row for each `width` of them."""
+    level = F.floor(F.col(order) / F.lit(width)).alias("_level")
+    tops = df.groupBy(*group, level).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*group, "_level", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_ahead"))
+    inner = Window.partitionBy(*group, "_level").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("_level", level).join(tops, [*group, "_level"]).withColumn(name, F.col("_ahead") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_level", "_ahead")
 
 
 def targets(sizes: dict, weights: tuple = (5, 2, 1), most: float = 3.0) -> dict:
@@ -85,19 +100,22 @@ def schedule(spark: SparkSession, n_slots: int, shares: list[float]) -> DataFram
 
     parts = min(stretches, 4 * spark.sparkContext.defaultParallelism) or 1
     counts = spark.range(0, stretches, 1, parts).mapInArrow(count, "stretch long, source int, n long")
-    before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    prefix = summed_ahead(counts, ["source"], "stretch", "n", "before")
     return prefix.groupBy("stretch").agg(F.collect_list(F.struct("source", "before")).alias("before")).mapInArrow(deal, "slot long, source int, rank long")
 
 
-def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0, block: int = 128, seed: int = 7, per_bucket: int = 256) -> DataFrame:
-    """docs (doc_id, source, text) -> doc_id, source, size, source_size, target, taken.
+def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0, block: int = 128, seed: int = 7, per_bucket: int = 256, keep: tuple = ()) -> DataFrame:
+    """docs (doc_id, source, text) -> doc_id, source, size, source_size, target, taken, and the columns in keep.
 
     taken: words the mix takes of the document, repeats counted; at most `most` whole passes are made over a source.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", "text").mapInArrow(word_counts, docs.select("doc_id", "source").withColumn("size", F.lit(0).cast("long")).schema)
-    sized = stored(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("at", F.xxhash64("doc_id", "size", F.lit(seed))))
+    # the kept columns go under names of their own, so that none can clash
+    kept = {c: f"kept_{i}" for i, c in enumerate(keep)}
+    given = docs.select("doc_id", "source", "text", *(F.col(c).alias(n) for c, n in kept.items()))
+    sized = given.mapInArrow(word_counts(2), given.withColumn("size", F.lit(0).cast("long")).schema).drop("text")
+    whole = stored(sized.withColumn("row", F.monotonically_increasing_id()).withColumn("at", F.xxhash64("doc_id", "size", F.lit(seed))))
+    sized = whole.drop(*kept.values())
     found = {r["source"]: (r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     size = {s: x[0] for s, x in found.items()}
     aims, names = targets(size, weights, most), sorted(size, key=lambda s: (s is None, s or ""))
@@ -105,8 +123,7 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0,
     table = spark.createDataFrame([(i, s, size[s], float(aims[s])) for i, s in enumerate(names)], "source_no int, source string, source_size long, target double")
     placed = sized.join(table, sized["source"].eqNullSafe(table["source"])).select("doc_id", sized["source"], "size", "source_size", "target", "source_no", "row", "at", F.pmod("at", F.lit(buckets)).alias("bucket"))
     sums = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_no", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
+    sums = summed_ahead(sums, ["source_no"], "bucket", "words", "ahead").drop("words")
     inside = Window.partitionBy("source_no", "bucket").orderBy("at", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = placed.join(sums, ["source_no", "bucket"]).withColumn("end", F.col("ahead") + F.sum("size").over(inside)).withColumn("start", F.col("end") - F.col("size"))
     # the line as often as it may be read, one pass after the other
@@ -124,7 +141,10 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0,
         taken = pieces.join(used.hint("merge"), ["source_no", "block"]).groupBy("row").agg(F.sum("words").alias("taken"))
     else:
         taken = spark.createDataFrame([], "row long, taken long")
-    return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = placed.join(taken, "row", "left")
+    if kept:
+        out = out.join(whole.select("row", *kept.values()), "row")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(F.col(n).alias(c) for c, n in kept.items()))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Language id, decontamination, WARC, personal data, search, mixing, language model."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -124,8 +125,36 @@ def test_damaged_archives():
     bad = warc.member([("WARC-Type", "response"), ("WARC-Block-Digest", "sha256:00")], b"x")
     with pytest.raises(ValueError, match="digest"):
         list(warc.read_archive(bad))
-    with pytest.raises(ValueError, match="content length"):
-        warc.parsed(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n")
+    for bad in (b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabc\r\n\r\n", b"WARC/1.1\r\n\r\nabc\r\n\r\n", b"GET /\r\n\r\n", b"WARC/1.1\r\nConte"):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(gzip.compress(bad)))
+    with pytest.raises(ValueError):
+        list(warc.read_archive(b"not gzip"))
+    assert list(warc.read_archive(b"")) == []
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+def test_records_are_framed_by_length_across_members(monkeypatch, piece):
+    """Two records in a member, a record over two members, and one over many pieces; blocks that look like headers."""
+    monkeypatch.setattr(warc, "PIECE", piece)
+    blocks = [b"one", b"", b"a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb", bytes(range(256)) * 9]
+    raw = [zlib.decompress(warc.member([("WARC-Type", "resource"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(b).hexdigest()}")], b), 31) for i, b in enumerate(blocks)]
+    whole = b"".join(raw)
+    cut = len(raw[0]) + len(raw[1]) + len(raw[2]) // 2
+    for data in (gzip.compress(whole), gzip.compress(raw[0] + raw[1]) + gzip.compress(raw[2] + raw[3]), gzip.compress(whole[:cut]) + gzip.compress(whole[cut:]), b"".join(map(gzip.compress, raw))):
+        assert [(r.headers["warc-record-id"], r.block) for r in warc.read_archive(data)] == [(f"<{i}>", b) for i, b in enumerate(blocks)]
+        with pytest.raises(ValueError):
+            list(warc.read_archive(data[:-9]))
+
+
+def test_files_of_any_writer(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (90 * i)) for i in range(12)], "page_id long, url string, html string")
+    warc.export(warc.write_archives(pages, size=500), str(tmp_path))
+    other = b"".join(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 2\r\nWARC-Block-Digest: sha1:ABC\r\n\r\nhi\r\n\r\n" for _ in range(2))
+    (tmp_path / "other.warc.gz").write_bytes(gzip.compress(other))
+    rows = warc.read_files(spark, str(tmp_path)).collect()
+    assert sorted(len(r["payload"]) for r in rows) == sorted([90 * i for i in range(12)] + [2, 2])
+    assert [r["place"] for r in rows if r["path"].endswith("other.warc.gz")] == [0, 1] and all(r["payload_digest"] == hashlib.sha256(r["payload"]).hexdigest() for r in rows)
 
 
 # --- personal data
@@ -299,6 +328,47 @@ def test_mix(spark, sf_dir):
     assert {r["doc_id"]: r["taken"] for r in rows} == {r["doc_id"]: r["taken"] for r in again}
 
 
+def plain_mix(spark, rows, per_bucket=256):
+    """(id, source, words) -> words taken of each row, by laying out each source's line and going through the slots one by one."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, s, n) for i, s, n in rows], "doc_id long, source string, size long")
+    at = [r["at"] for r in df.coalesce(1).select(F.xxhash64("doc_id", "size", F.lit(7)).alias("at")).collect()]
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    aims, names = mixing.targets(dict(sizes)), sorted(sizes, key=lambda s: (s is None, s or ""))
+    total, buckets = sum(sizes.values()), -(-len(rows) // per_bucket)
+    lines = {s: [k for k in sorted(range(len(rows)), key=lambda k: (at[k] % buckets, at[k], rows[k][0])) if rows[k][1] == s for _ in range(rows[k][2])] * 3 for s in names}
+    ends, so_far = [], 0.0
+    for s in names:
+        so_far += aims[s]
+        ends.append(so_far)
+    used, taken = Counter(), Counter()
+    for i in range(-(-total // 128)):
+        point = (i + 1) * 0x9E3779B97F4A7C15 % 2**64
+        s = next((s for s, e in zip(names, ends) if point < int(e / so_far * 2**64)), names[-1])
+        taken.update(lines[s][128 * used[s] : 128 * used[s] + 128])
+        used[s] += 1
+    return [taken[k] for k in range(len(rows))]
+
+
+def test_mix_against_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["web", "web", "web", "books", "code", None]), rng.choice([0, 1, 5, 40, 127, 128, 129, 700])) for i in range(700)] + [(900, "tiny", 50)]
+    docs = spark.createDataFrame([(i, s, "w " * n, f"about {i}", n) for i, s, n in rows], "doc_id long, source string, text string, size string, row long")
+    got = {r["doc_id"]: r for r in mixing.mix_sources(docs).collect()}
+    assert [got[i]["taken"] for i, _, _ in rows] == plain_mix(spark, rows)
+    texts = {r["doc_id"]: (r["taken"], r["text"], r["row"]) for r in mixing.mix_sources(docs, keep=("text", "row")).collect()}
+    assert texts == {i: (got[i]["taken"], "w " * n, n) for i, _, n in rows}
+
+
+def test_sums_ahead(spark):
+    rows = [(g, i * 3, (i * 7) % 5) for g in "ab" for i in range(100)]
+    got = mixing.summed_ahead(spark.createDataFrame(rows, "g string, o long, v long"), ["g"], "o", "v", "s", width=16).collect()
+    assert sorted((r["g"], r["o"], r["s"]) for r in got) == sorted((g, o, sum(v for h, p, v in rows if h == g and p < o)) for g, o, _ in rows)
+
+
 def test_mix_edges(spark):
     schema = "doc_id long, source string, text string, block int"
     rows = [(1, "a", "x " * 3000, 1), (2, "a", None, 1), (3, None, "y " * 2000, 1), (3, None, "y " * 2000, 1), (None, "b", "z", 1), (5, "", "w " * 10, 1)]

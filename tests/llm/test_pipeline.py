@@ -2,6 +2,7 @@ import corpus_pipeline
 import plain
 
 from millrace.llm import pii
+import test_others
 from test_others import base_plain
 
 
@@ -29,14 +30,26 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert masked.columns == columns
     mixed = stages["source_mixing"](spark, masked, sf_dir).collect()
     assert {r["doc_id"] for r in mixed} == ids and all(r["taken"] <= 3 * r["size"] for r in mixed)
+    texts = {r["doc_id"]: (r["text"], r["lang"], r["n_chars"]) for r in masked.collect()}
     run = corpus_pipeline.run(spark, sf_dir).collect()
     assert {(r["doc_id"], r["taken"]) for r in run} == {(r["doc_id"], r["taken"]) for r in mixed}
+    # the masked texts come out at the end
+    assert {r["doc_id"]: (r["text"], r["lang"], r["n_chars"]) for r in run} == texts
+    assert any("[EMAIL]" in t for t, _, _ in texts.values()) and not any(base_plain(t) for t, _, _ in texts.values())
+    told = test_others.plain_mix(spark, [(r["doc_id"], r["source"], len(plain.words(r["text"]))) for r in mixed])
+    assert [r["taken"] for r in mixed] == told
 
 
 def test_odd_rows(spark, sf_dir):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the cat sat on the mat today", "en", None, 28), (3, "the cat sat on the mat today", "en", None, 28), (4, "12 34", "en", "s", 5), (None, "a dog ran home", "en", "t", 14), (5, "word " * 20000, None, "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for df in (docs, docs.limit(0)):
+        before = df
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, sf_dir)
-        df.collect()
+        got = sorted((str(r["doc_id"]), r["text"][:20], r["size"]) for r in df.collect())
+        # the null, the empty and the text without letters have no language, and one is unlike all that have one; rows of one id and the row without one stay
+        if before.count():
+            assert got == sorted([("3", "the cat sat on the m", 7), ("3", "the cat sat on the m", 7), ("None", "a dog ran home", 4)])
+        else:
+            assert got == []
