@@ -1,9 +1,10 @@
 """WARC archives: a writer of one gzip member per record and a sequential reader.
 
-An archive is a run of gzip members.  The reader inflates it piece by piece with zlib, frames each record by its
-Content-Length and verifies block and payload digests; a truncated or altered archive raises ValueError.
+An archive is a run of gzip members.  The reader inflates it piece by piece with zlib, frames each record by its Content-Length in the
+inflated bytes, wherever members begin and end (the writer's have one record each; others' may hold several, or part of one), and verifies block and payload digests;
+a truncated or altered archive raises ValueError.  It holds a piece and a record.
 Archives are kept as rows of at most about `size` bytes of a table in the shared folder, written under Spark's
-commit protocol, so a retried task leaves no half-written archive; `export` writes them out as .warc.gz files.
+commit protocol, so a retried task leaves no half-written archive; `export` writes them out as .warc.gz files, read_files() reads such files.
 
 A null payload is empty; a null url is named by the page's id; a null id is written as null and never refers to
 anything nor is referred to.  Rows that repeat an id with an equal payload are all responses.  An empty table gives
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import bounded, stored
 from .text import buffers
 
 END = b"\r\n\r\n"
@@ -70,44 +71,73 @@ def page_member(page_id, url: str | None, payload: bytes, first, level: int = 6)
 
 
 def inflated(pieces) -> Iterator[bytes]:
-    """The members of a run of compressed pieces, each inflated piece by piece."""
-    unpack, out, begun = zlib.decompressobj(31), [], False
+    """The bytes of a run of gzip members, given in pieces, as they come out of zlib."""
+    unpack, begun = zlib.decompressobj(31), False
     for piece in pieces:
         while piece:
             begun = True
             try:
-                out.append(unpack.decompress(piece))
+                out = unpack.decompress(piece, PIECE)
             except zlib.error as e:
                 raise ValueError(f"damaged member: {e}") from e
-            piece = unpack.unused_data
+            if out:
+                yield out
+            piece = unpack.unconsumed_tail
             if unpack.eof:
-                yield b"".join(out)
-                unpack, out, begun = zlib.decompressobj(31), [], False
+                piece, unpack, begun = unpack.unused_data, zlib.decompressobj(31), False
     if begun:
         raise ValueError("the archive ends within a member")
 
 
-def parsed(raw: bytes) -> Record:
-    """The record of one member: header lines, then a block of the stated length, then an empty line."""
-    head, found, rest = raw.partition(END)
-    lines = head.decode().split("\r\n")
-    if not found or not lines[0].startswith("WARC/"):
+def header(raw: bytes) -> tuple[dict[str, str], int]:
+    """A record's header lines by lower-case name, and the length of its block."""
+    lines = raw.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC header")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    length = int(headers["content-length"])
-    if len(rest) != length + len(END) or not rest.endswith(END):
-        raise ValueError(f"content length {length}, found {len(rest) - len(END)}")
-    record = Record(headers, rest[:length])
-    checks = [("warc-block-digest", record.block)] + [("warc-payload-digest", record.payload)] * (headers.get("warc-type") == "response")
+    if not headers.get("content-length", "").isdigit():
+        raise ValueError("no content length")
+    return headers, int(headers["content-length"])
+
+
+def verified(record: Record) -> Record:
+    """The record, if its digests hold (SHA-256 ones as the writer writes them; others are not checked)."""
+    checks = [("warc-block-digest", record.block)] + [("warc-payload-digest", record.payload)] * (record.headers.get("warc-type") == "response")
     for name, data in checks:
-        if name in headers and headers[name] != f"sha256:{hashlib.sha256(data).hexdigest()}":
+        stated = record.headers.get(name, "")
+        if stated.startswith("sha256:") and stated != f"sha256:{hashlib.sha256(data).hexdigest()}":
             raise ValueError(f"{name} does not match")
     return record
 
 
+def framed(pieces) -> Iterator[Record]:
+    """The records of inflated bytes, given in pieces: header lines, an empty line, a block of the stated length, two line breaks."""
+    held, headers, need = bytearray(), None, 0
+    for piece in pieces:
+        held += piece
+        while True:
+            if headers is None:
+                end = held.find(END, max(0, need - len(END)))
+                if end < 0:
+                    need = len(held)
+                    break
+                headers, length = header(bytes(held[:end]))
+                del held[: end + len(END)]
+                need = length + len(END)
+            if len(held) < need:
+                break
+            if held[need - len(END) : need] != END:
+                raise ValueError(f"content length {need - len(END)}, but no record ends there")
+            yield verified(Record(headers, bytes(held[: need - len(END)])))
+            del held[:need]
+            headers, need = None, 0
+    if headers is not None or held:
+        raise ValueError("the archive ends within a record")
+
+
 def read_archive(data: bytes) -> Iterator[Record]:
     view = memoryview(data)
-    return map(parsed, inflated(view[i : i + PIECE] for i in range(0, len(view), PIECE)))
+    return framed(inflated(view[i : i + PIECE] for i in range(0, len(view), PIECE)))
 
 
 def packed(size: int, level: int):
@@ -147,7 +177,7 @@ def unpacked(batches):
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            for record in read_archive(data.as_buffer().to_pybytes()):
+            for record in read_archive(data.as_buffer()):
                 h = record.headers
                 rows.append((number(h["warc-record-id"]), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:"), h["warc-type"], number(h["warc-refers-to"]) if "warc-refers-to" in h else None, h["warc-target-uri"]))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
@@ -169,6 +199,32 @@ def export(archives: DataFrame, folder: str) -> list[str]:
     return names
 
 
+def records(batches):
+    names = ["path", "place", "record_type", "record_id", "target_uri", "payload", "payload_digest"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, held = [], 0
+            for place, r in enumerate(read_archive(data.as_buffer())):
+                h = r.headers
+                rows.append((path, place, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), r.payload, hashlib.sha256(r.payload).hexdigest()))
+                held += len(r.payload)
+                if held > 64 * PIECE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of .warc.gz files of any writer: path, place (in the file, from 0), record_type, record_id, target_uri, payload, payload_digest (bare hex SHA-256).
+
+    A file is a row and read by one task, which holds its compressed bytes (Spark reads files of up to 2 GB in this way).
+    """
+    found = bounded(spark).read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
+    return found.select("path", "content").mapInArrow(records, "path string, place long, record_type string, record_id string, target_uri string, payload binary, payload_digest string")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
