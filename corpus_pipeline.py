@@ -1,7 +1,8 @@
 """A cleaning pipeline over the documents table: five of the text operators, one after the other.
 
 Documents without a language that can be told go; of each group of near duplicates the one with the smallest id stays; documents
-that hold benchmark items go; personal data are masked; and what remains is dealt out to the sources' target weights.
+that hold benchmark items go; personal data are masked; and what remains is dealt out to the sources' target weights: the result has the masked
+documents, and how many words of each the mix takes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs)
+    return mixing.mix_sources(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
 
 
 STAGES = [
