@@ -41,6 +41,8 @@ END = np.uint64(0x0123456789ABCDEF)
 EXACT, WIDE, FAR = 256, 96, 1 << 14
 #: Bytes of text in a part.
 PART_BYTES = 24 << 20
+#: Parts for each node, where contexts are summed: each part has a row for each node in a sweep.
+FAN = 4
 #: A word is common from so many times the tokens of a part.
 COMMON = 0.25
 
@@ -263,7 +265,7 @@ class Model:
     """
 
     def __init__(self, parts: int, tokens: int, kinds: int, common: np.ndarray, counts: np.ndarray, discounts=(0.75, 0.8), strengths=(1.0, 1.0), burn: int = 2, samples: int = 3, seed: int = 5):
-        self.parts, self.tokens, self.kinds, self.common, self.counts = parts, tokens, kinds, common, counts
+        self.parts, self.nodes, self.tokens, self.kinds, self.common, self.counts = parts, -(-parts // FAN), tokens, kinds, common, counts
         self.shares = np.maximum(1, np.ceil(counts / max(1.0, COMMON * tokens / parts))).astype(np.uint64)
         self.discounts, self.strengths, self.samples, self.seed = discounts, strengths, samples, seed
         self.kept = list(range(burn + 1, burn + samples + 1))
@@ -358,15 +360,13 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def word_table(train: DataFrame, parts: int) -> DataFrame:
-    """part, words, counts (as bytes): how often each word stands in the training texts."""
-
-    spread = part_names(parts)
+def word_table(train: DataFrame, names: np.ndarray) -> DataFrame:
+    """part, words, counts (as bytes): how often each word stands in the training texts, dealt out to the parts of those names."""
 
     def count(batches):
         for words, _, _ in pieces(batches, 0):
             kinds, n = np.unique(words, return_counts=True)
-            yield dealt(kinds, spread, [n.astype(np.uint32)])
+            yield dealt(kinds, names, [n.astype(np.uint32)])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         w, n = blobs(pdf["c0"], np.uint64), blobs(pdf["c2"], np.uint32)
@@ -439,7 +439,8 @@ def learn(train: DataFrame, parts: int, **settings) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([x.sum() for x in n], pa.int64()), pa.array([len(x) for x in n], pa.int64())], names=["tokens", "kinds"])
 
     spark, spread = train.sparkSession, part_names(parts)
-    table = word_table(train, parts)
+    nodes = spread[: -(-parts // FAN)]
+    table = word_table(train, nodes)
     total = table.select("counts").mapInArrow(sums, "tokens long, kinds long").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = int(total["tokens"] or 0), int(total["kinds"] or 0)
     least = max(2.0, COMMON * tokens / parts)
@@ -483,8 +484,8 @@ def learn(train: DataFrame, parts: int, **settings) -> Model:
         dishes = Dishes(*(np.concatenate([x[k] for x in made]) for k in range(5)))
         alone, times = summed(np.concatenate([x[5] for x in made]), np.concatenate([x[6] for x in made])[None, :])
         rows = [step_row(part, STATIC, 0, *dishes.blobs())]
-        rows += sent(SINGLES, part, alone, times[0], spread) if len(alone) else []
-        return steps(rows + dishes.report(m, part, 0, np.ones(len(dishes.count), np.int64), spread))
+        rows += sent(SINGLES, part, alone, times[0], nodes) if len(alone) else []
+        return steps(rows + dishes.report(m, part, 0, np.ones(len(dishes.count), np.int64), nodes))
 
     def sweep(state: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -507,7 +508,7 @@ def learn(train: DataFrame, parts: int, **settings) -> Model:
             common, at = m.is_common(dishes.contexts)
             every[common] = m.opened[state][at[common]]
             after = m.seat(state, dishes.words[dishes.word], dishes.contexts, dishes.count, seats, every, parent[dishes.word])
-            return steps(dishes.report(m, part, state + 1, after, spread))
+            return steps(dishes.report(m, part, state + 1, after, nodes))
 
         return run
 
@@ -637,7 +638,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             order = np.lexsort((to, u))
             u, to = u[order], to[order]
             lo = starts_of(u, to)
-            yield dealt(u[lo], spread, [to[lo]], squeeze=True)
+            yield dealt(u[lo], spread[: held.value.nodes], [to[lo]], squeeze=True)
 
     def reply(asked: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         rows = []
