@@ -23,4 +23,5 @@ SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_max_score": maxscore.OP7_SQL,
+    "op9_suffix_array_dedup": bytes_dedup.OP9_SQL,
 }
