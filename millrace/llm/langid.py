@@ -3,7 +3,7 @@
 Every letter has a random vector of +1 and -1.  A run of three letters (a gap between words counts as a letter) is
 bound into one vector, the product of the first letter's vector permuted twice, the second's permuted once and the
 third's; a text is the sum of its runs' vectors, a language the sum of its texts.  A text gets the language whose
-prototype has the largest cosine with it, the mean of all prototypes taken off both.
+prototype has the largest cosine with it, the mean of all prototypes taken off both.  Texts are bundled many at once: counts of runs times the runs' vectors.
 
 Null texts and texts without a letter get `und` and score 0; ties go to the language that sorts first; a text
 without a known language (none learned) gets `und`.  Upper case counts as lower case.  The driver holds one vector per language.
@@ -23,7 +23,6 @@ DIMENSIONS = 1024
 GAP = 0
 _LETTER: list = []
 _VECTORS: dict[int, np.ndarray] = {}
-_NUMBERS: dict[int, int] = {}
 
 
 def letters() -> np.ndarray:
@@ -44,74 +43,106 @@ def letter_vector(letter: int) -> np.ndarray:
     return np.where(mix(x) & np.uint64(1), 1, -1).astype(np.int8)
 
 
-def run_vector(run: int) -> np.ndarray:
-    """Bound vector of three letters, packed 21 bits each."""
-    a, b, c = (letter_vector(run >> 42), letter_vector((run >> 21) & 0x1FFFFF), letter_vector(run & 0x1FFFFF))
-    return np.roll(a, 2) * np.roll(b, 1) * c
+#: Letters whose vectors a worker holds at most.
+LETTERS = 1 << 12
+
+
+def run_vectors(runs: np.ndarray) -> np.ndarray:
+    """Bound vectors of runs, each of three letters of 21 bits."""
+    places = [runs >> 42, (runs >> 21) & 0x1FFFFF, runs & 0x1FFFFF]
+    kinds, at = np.unique(np.concatenate(places), return_inverse=True)
+    if len(_VECTORS) > LETTERS:
+        _VECTORS.clear()
+    for x in kinds.tolist():
+        if x not in _VECTORS:
+            _VECTORS[x] = letter_vector(x)
+    plain = np.stack([_VECTORS[x] for x in kinds.tolist()])
+    first, second, third = at.reshape(3, -1)
+    return np.roll(plain, 2, axis=1)[first] * np.roll(plain, 1, axis=1)[second] * plain[third]
+
+
+#: Runs whose vectors a worker holds at most (1 KB each), and runs of text that are bundled at once.
+HELD, BUNDLE = 1 << 15, 1 << 15
 
 
 class Runs:
-    """Vectors of the runs seen so far, by a small number each."""
+    """Vectors of runs.  Those seen lately are held; when there are HELD of them, all go and are made anew as they are needed."""
+
+    shared = None
+
+    @classmethod
+    def here(cls) -> "Runs":
+        """This worker's: tasks that follow each other in a worker share what is held."""
+        cls.shared = cls.shared or cls()
+        return cls.shared
 
     def __init__(self):
-        self.letters: dict[int, int] = {GAP: 0}
-        self.codes = [GAP]
         self.rows: dict[int, int] = {}
         self.table = np.zeros((1 << 12, DIMENSIONS), np.int8)
 
-    def small(self, symbols: np.ndarray) -> np.ndarray:
-        """Letters as small numbers."""
-        kinds = np.unique(symbols)
-        for s in kinds.tolist():
-            if s not in self.letters:
-                self.letters[s] = len(self.codes)
-                self.codes.append(s)
-        return np.array([self.letters[s] for s in kinds.tolist()], np.int64)[np.searchsorted(kinds, symbols)]
-
     def vectors(self, runs: np.ndarray) -> np.ndarray:
-        out = np.empty(len(runs), np.int64)
-        for i, r in enumerate(runs.tolist()):
-            at = self.rows.get(r)
-            if at is None:
-                at = self.rows[r] = len(self.rows)
-                if at == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[at] = run_vector(self.codes[r >> 42] << 42 | self.codes[(r >> 21) & 0x1FFFFF] << 21 | self.codes[r & 0x1FFFFF])
-            out[i] = at
-        return self.table[out].astype(np.float32)
-
-
-def run_counts(batch_column, runs: Runs):
-    """For each row in turn: its distinct runs and their counts (none without letters)."""
-    table = letters()
-    for chunk in chunks(batch_column):
-        points = np.frombuffer(chunk.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        heads = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])[chunk.offsets]
-        symbols = runs.small(table[points])
-        for lo, hi in zip(heads[:-1], heads[1:]):
-            s = np.zeros(hi - lo + 2, np.int64)
-            s[1:-1] = symbols[lo:hi]
-            s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-            if len(s) < 3:
-                yield None, None
-                continue
-            yield np.unique(s[:-2] << 42 | s[1:-1] << 21 | s[2:], return_counts=True)
+        """Vectors of distinct runs, BUNDLE at most."""
+        if len(self.rows) + len(runs) > HELD:
+            self.rows = {}
+        at = np.array([self.rows.get(r, -1) for r in runs.tolist()], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.rows) + np.arange(len(new))
+            self.rows.update(zip(runs[new].tolist(), at[new].tolist()))
+            if len(self.rows) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(self.rows) - len(self.table)), DIMENSIONS), np.int8)])
+            self.table[at[new]] = run_vectors(runs[new])
+        return self.table[at].astype(np.float32)
+
+
+def runs_of(chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a chunk's texts, and the number of each run's text; texts without letters have none."""
+    points = np.frombuffer(chunk.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    heads = np.concatenate([[0], np.cumsum((chunk.data & 0xC0) != 0x80)])[chunk.offsets]
+    n = np.diff(heads)
+    # each text between two gaps; then gaps in a row become one
+    owner = np.repeat(np.arange(len(n)), n + 2)
+    s, inside = np.zeros(len(owner), np.int64), np.ones(len(owner), bool)
+    first = heads[:-1] + 2 * np.arange(len(n))
+    inside[first] = inside[first + n + 1] = False
+    s[inside] = letters()[points]
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] != GAP) | (s[:-1] != GAP) | (owner[1:] != owner[:-1])
+    s, owner = s[keep], owner[keep]
+    whole = owner[2:] == owner[:-2]
+    return (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[whole], owner[:-2][whole]
 
 
 def text_vectors(column, runs: Runs):
-    for found, counts in run_counts(column, runs):
-        yield None if found is None else counts.astype(np.float32) @ runs.vectors(found)
+    """For each chunk of the column: its first row, the vectors of its rows, and which of them have letters.  All sums are whole numbers, so exact."""
+    for chunk in chunks(column, 1 << 18):
+        code, owner = runs_of(chunk)
+        n = chunk.hi - chunk.lo
+        out = np.zeros((n, DIMENSIONS))
+        for lo in range(0, len(code), BUNDLE):
+            kinds, at = np.unique(code[lo : lo + BUNDLE], return_inverse=True)
+            own = owner[lo : lo + BUNDLE]
+            top, bottom = int(own[0]), int(own[-1]) + 1
+            vectors = runs.vectors(kinds)
+            for first in range(top, bottom, 64):
+                mine = slice(*np.searchsorted(own, (first, first + 64)))
+                if mine.start < mine.stop:
+                    rows = min(64, bottom - first)
+                    counts = np.bincount((own[mine] - first) * len(kinds) + at[mine], minlength=rows * len(kinds)).reshape(rows, -1)
+                    out[first : first + rows] += counts.astype(np.float32) @ vectors
+        yield chunk.lo, out, np.bincount(owner, minlength=n) > 0
 
 
 def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     """labelled (lang, text) -> prototype of each language."""
 
     def bundle(batches):
-        runs, sums = Runs(), {}
+        runs, sums = Runs.here(), {}
         for batch in batches:
-            for lang, v in zip(batch.column(0).to_pylist(), text_vectors(batch.column(1), runs)):
-                if v is not None:
-                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
+            langs = batch.column(0).to_pylist()
+            for lo, vectors, some in text_vectors(batch.column(1), runs):
+                for i in np.flatnonzero(some).tolist():
+                    sums[langs[lo + i]] = sums.get(langs[lo + i], 0) + vectors[i]
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
@@ -130,21 +161,19 @@ class Predictor:
         middle = middle / max(np.linalg.norm(middle), 1e-9)
         apart = unit - (unit @ middle)[:, None] * middle
         apart = apart / np.maximum(np.linalg.norm(apart, axis=1), 1e-9)[:, None]
-        self.axes = np.concatenate([apart, middle[None]]).astype(np.float32)
+        self.axes = np.concatenate([apart, middle[None]])
 
     def tell(self, column, runs: Runs) -> tuple[list[str], list[float]]:
         """Language and score (cosine, not under 0) of each text of a column."""
         langs, scores = [], []
-        for v in text_vectors(column, runs):
-            if v is None or not self.names:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            along = self.axes @ v
-            rest = max(float(v @ v) - float(along[-1]) ** 2, 1e-9) ** 0.5
-            best = int(np.argmax(along[:-1]))
-            langs.append(self.names[best])
-            scores.append(min(1.0, max(0.0, float(along[best]) / rest)))
+        for _, vectors, some in text_vectors(column, runs):
+            if not self.names:
+                some = np.zeros(len(vectors), bool)
+            along = vectors @ self.axes.T
+            rest = np.sqrt(np.maximum((vectors * vectors).sum(axis=1) - along[:, -1] ** 2, 1e-9))
+            best = along[:, :-1].argmax(axis=1) if self.names else np.zeros(len(vectors), int)
+            langs += [self.names[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist())]
+            scores += [min(1.0, max(0.0, x)) if ok else 0.0 for x, ok in zip((along[np.arange(len(best)), best] / rest).tolist(), some.tolist())]
         return langs, scores
 
 
@@ -153,7 +182,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     keep, predictor = [c for c in docs.columns if c != "text"], Predictor(prototypes)
 
     def tell(batches):
-        runs = Runs()
+        runs = Runs.here()
         for batch in batches:
             langs, scores = predictor.tell(batch.column(len(keep)), runs)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
@@ -176,7 +205,7 @@ def keep_known(docs: DataFrame, least: float = 0.05) -> DataFrame:
     predictor, at = Predictor(prototypes), docs.columns.index("text")
 
     def keep(batches):
-        runs = Runs()
+        runs = Runs.here()
         for batch in batches:
             langs, scores = predictor.tell(batch.column(at), runs)
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores)], pa.bool_()))

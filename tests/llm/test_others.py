@@ -49,14 +49,48 @@ def test_letters_of_the_highest_planes(spark):
 def test_binding():
     """The vector of a run is the product of permuted letter vectors; unlike runs are nearly orthogonal."""
     runs = langid.Runs()
-    a, b = langid.run_vector(97 << 42 | 98 << 21 | 99), langid.run_vector(99 << 42 | 98 << 21 | 97)
+    a, b = langid.run_vectors(np.array([97 << 42 | 98 << 21 | 99, 99 << 42 | 98 << 21 | 97]))
     assert (a == np.roll(langid.letter_vector(97), 2) * np.roll(langid.letter_vector(98), 1) * langid.letter_vector(99)).all()
     assert abs(int(a.astype(int) @ b)) < 200
     import pyarrow as pa
 
-    v = next(langid.text_vectors(pa.array(["ab"]), runs))
-    want = sum(langid.run_vector(x << 42 | y << 21 | z).astype(int) for x, y, z in ((0, 97, 98), (97, 98, 0)))
-    assert (v == want).all()
+    _, v, some = next(langid.text_vectors(pa.array(["ab"]), runs))
+    want = langid.run_vectors(np.array([97 << 21 | 98, 97 << 42 | 98 << 21])).astype(int).sum(axis=0)
+    assert (v[0] == want).all() and some.tolist() == [True]
+
+
+def plain_vector(text):
+    """The sum of a text's bound runs, letter by letter; None without letters."""
+    s = [0, *(ord(c.lower()[0]) if c.isalpha() else 0 for c in text or ""), 0]
+    s = [x for i, x in enumerate(s) if i == 0 or x or s[i - 1]]
+    if not any(s):
+        return None
+    letter = {x: langid.letter_vector(x).astype(int) for x in set(s)}
+    return sum(np.roll(letter[a], 2) * np.roll(letter[b], 1) * letter[c] for a, b, c in zip(s, s[1:], s[2:]))
+
+
+def test_predictions_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BUNDLE", 50)
+    monkeypatch.setattr(langid, "HELD", 60)
+    train = [("en", "the cat and the dog then sat"), ("de", "der Hund und die Katze saßen"), ("fr", "le chat et le chien étaient là"), ("en", "this that THOSE"), ("fr", None), (None, "xyz")]
+    probes = ["the hound", "die Hündin", "les chiens", "", None, "123", "x", "日本 語", "a1b2 c3", "Then der là " * 30, "ﬁn İi ẞ"]
+    unit = {}
+    for lang in ("de", "en", "fr"):
+        v = sum(plain_vector(t) for x, t in train if x == lang and t)
+        unit[lang] = v / np.linalg.norm(v)
+    middle = sum(unit.values()) / 3
+    middle = middle / np.linalg.norm(middle)
+    off = lambda v: (lambda w: w / np.linalg.norm(w))(v - (v @ middle) * middle)
+    df = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in langid.predict(df, langid.learn(spark.createDataFrame(train, "lang string, text string"))).collect()}
+    for i, t in enumerate(probes):
+        v = plain_vector(t)
+        if v is None:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cosine = {lang: float(off(v) @ off(u)) for lang, u in unit.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert got[i]["lang_pred"] == best and math.isclose(got[i]["score"], max(0.0, cosine[best]), abs_tol=1e-9), t
 
 
 # --- decontamination
