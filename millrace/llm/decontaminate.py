@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, listed, stored
+from .shared import Tables, documents, drop, listed, stored
 
 #: Rows up to which the items' sketches, and with 24 bytes a row their size, are broadcast.
 BROADCAST_ROWS = 400_000
@@ -43,9 +43,13 @@ def shingles(df: DataFrame, key: str, n: int) -> DataFrame:
     return hashed.select(key, F.explode(shingle_hashes("w", n)).alias("shingle"))
 
 
-def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, n_shingles (the item's), n_found."""
-    whole = stored(shingles(items, "item_id", n).distinct())
+def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75, of_result: Tables | None = None) -> DataFrame:
+    """docs (doc_id, text), items (item_id, text) -> doc_id, item_id, n_shingles (the item's), n_found.
+
+    The result reads stored tables, which of_result holds, to be dropped by whoever has done with it.
+    """
+    of_result = of_result or Tables()
+    whole = of_result.stored(shingles(items, "item_id", n).distinct())
     sizes = whole.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     # sizes from 2**p on up to 2**(p+1) are one partition; an item may lack (100 - percent) in 100 of its shingles
     ranked = (
@@ -57,7 +61,8 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75)
     )
     sketch = stored(ranked)
     near = F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch
-    pairs = stored(shingles(docs, "doc_id", n).join(near, "shingle").select("doc_id", "item_id").distinct())
+    pairs = of_result.stored(shingles(docs, "doc_id", n).join(near, "shingle").select("doc_id", "item_id").distinct())
+    drop(sketch)
     found = shingles(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", n)
     table = whole.join(sizes, "item_id")
     table = F.broadcast(table) if whole.count() <= BROADCAST_ROWS else table
@@ -68,7 +73,9 @@ def contained(docs: DataFrame, items: DataFrame, n: int = 5, percent: int = 75)
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold an item, items with a null id included."""
     keyed = items.select(F.xxhash64("item_id", F.expr("if(item_id is null, text, null)")).alias("item_id"), "text")
-    gone = stored(contained(docs, keyed).select("doc_id").distinct())
+    tables = Tables()
+    gone = stored(contained(docs, keyed, of_result=tables).select("doc_id").distinct())
+    tables.drop()
     return docs.join(listed(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, listed, part_names, shuffles, stored
+from .shared import Tables, documents, listed, part_names, shuffles, stored
 from .text import chunks, mix
 
 N = 5
@@ -339,19 +339,19 @@ def near_across(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
-def across(marked: DataFrame, parts: int) -> DataFrame:
+def across(marked: DataFrame, parts: int, tables: Tables) -> DataFrame:
     """marked (doc, text, label, mass, common, shingles) -> links (a, b) between components.
 
     Groups that are not one component, joined where they overlap, make clusters.  A cluster's documents are dealt into blocks, and every two blocks
     meet in a task of their own, which compares all their sketches at once and returns the pairs that the sketches leave open, to be verified: no task holds a cluster.
     """
-    near = stored(paired(marked, open_groups, parts))
-    clusters = components(near).withColumnRenamed("label", "cluster")
+    near = tables.stored(paired(marked, open_groups, parts))
+    clusters = components(near, tables).withColumnRenamed("label", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = marked.select("doc", "label", "size", "sketch").join(clusters, "doc").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     met = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     pairs = met.groupBy("cluster", "i", "j").applyInPandas(near_across, "a long, b long").distinct()
-    return verified(stored(pairs), marked.select("doc", "shingles"))
+    return verified(tables.stored(pairs), marked.select("doc", "shingles"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,35 +371,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """links (a, b) -> doc, label: the smallest document of each linked document's component.
 
     Each document hangs itself on its smallest neighbour, chains are followed to their ends, and links between the ends make the next, smaller graph.
     """
-    edges, labels = stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
+    edges, labels = tables.stored(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     while labels is None or edges.limit(1).count():
         ends = edges.select(F.col("a").alias("doc"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("doc"), F.col("a").alias("other")))
-        up = stored(ends.groupBy("doc").agg(F.min("other").alias("other")).select("doc", F.least("doc", "other").alias("label")))
+        up = tables.stored(ends.groupBy("doc").agg(F.min("other").alias("other")).select("doc", F.least("doc", "other").alias("label")))
         while True:
             further = up.select(F.col("doc").alias("label"), F.col("label").alias("further"))
-            after = stored(up.join(further, "label").select("doc", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")))
+            after = tables.stored(up.join(further, "label").select("doc", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")))
             up = after.select("doc", "label")
             if not after.filter("moved").limit(1).count():
                 break
         left, right = (up.select(F.col("doc").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab")
         met = edges.join(left, "a").join(right, "b").filter("a_label != b_label")
-        edges = stored(met.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct())
+        edges = tables.stored(met.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct())
         if labels is None:
             labels = up
         else:
             step = up.select(F.col("doc").alias("label"), F.col("label").alias("further"))
-            labels = stored(labels.join(step, "label", "left").select("doc", F.coalesce("further", "label").alias("label")))
+            labels = tables.stored(labels.join(step, "label", "left").select("doc", F.coalesce("further", "label").alias("label")))
     return labels
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
-    parts = shuffles(docs.sparkSession)
+def join(docs: DataFrame, of_result: Tables | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id.
+
+    The result reads two stored tables, which of_result holds, to be dropped by whoever has done with it; all others are deleted here.
+    """
+    parts, tables = shuffles(docs.sparkSession), Tables()
+    of_result = of_result or Tables()
 
     def describe(batches):
         for batch in batches:
@@ -411,14 +415,14 @@ def join(docs: DataFrame) -> DataFrame:
 
     # a row's key names its document; copies of a set are stood for by the one with the smallest id
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc"), "text")
-    about = stored(keyed.mapInArrow(describe, "doc_id long, doc long, n long, h1 long, h2 long"))
-    classes = stored(about.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "doc")).alias("first")).select("n", "h1", "h2", F.col("first.doc_id").alias("first_id"), F.col("first.doc").alias("rep")))
-    copies = stored(about.join(classes, ["n", "h1", "h2"]).filter("doc != rep").select("doc").distinct())
+    about = of_result.stored(keyed.mapInArrow(describe, "doc_id long, doc long, n long, h1 long, h2 long"))
+    classes = tables.stored(about.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "doc")).alias("first")).select("n", "h1", "h2", F.col("first.doc_id").alias("first_id"), F.col("first.doc").alias("rep")))
+    copies = tables.stored(about.join(classes, ["n", "h1", "h2"]).filter("doc != rep").select("doc").distinct())
     single = keyed.filter("doc_id is not null").select("doc", "text").join(listed(copies), "doc", "left_anti")
-    chosen = stored(counted(single, parts))
+    chosen = tables.stored(counted(single, parts))
     # of a document with a link, 3 in 4 shingles at least are in another that is still in question
     known = single.join(listed(chosen.select("doc")), "doc")
-    chosen = stored(counted(known, parts, single=True).withColumnRenamed("n", "common"))
+    chosen = tables.stored(counted(known, parts, single=True).withColumnRenamed("n", "common"))
 
     def described(batches):
         for batch in batches:
@@ -426,21 +430,22 @@ def join(docs: DataFrame) -> DataFrame:
             made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + made, names=["doc", "text", "mass", "common", "size", "shingles", "sketch"])
 
-    held = stored(single.join(listed(chosen), "doc").select("doc", "text", "mass", "common").mapInArrow(described, "doc long, text string, mass long, common long, size long, shingles binary, sketch binary"))
+    held = tables.stored(single.join(listed(chosen), "doc").select("doc", "text", "mass", "common").mapInArrow(described, "doc long, text string, mass long, common long, size long, shingles binary, sketch binary"))
     sets = held.select("doc", "shingles")
     first = paired(held.withColumn("label", F.lit(0).cast("long")), pivot_pairs, parts)
-    labels = components(stored(verified(first, sets)))
-    more = stored(across(held.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), parts))
+    labels = components(tables.stored(verified(first, sets)), tables)
+    more = tables.stored(across(held.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), parts, tables))
     if more.limit(1).count():
         # links between components: the labels are what is left to join
         of = {x: labels.select(F.col("doc").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab"}
         between = more.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-        step = components(between).select(F.col("doc").alias("label"), F.col("label").alias("further"))
+        step = components(between, tables).select(F.col("doc").alias("label"), F.col("label").alias("further"))
         seen = labels.unionByName(more.select(F.col("a").alias("doc"), F.col("a").alias("label"))).unionByName(more.select(F.col("b").alias("doc"), F.col("b").alias("label"))).groupBy("doc").agg(F.min("label").alias("label"))
-        labels = stored(seen.join(step, "label", "left").select("doc", F.coalesce("further", "label").alias("label")))
-    told = stored(classes.join(labels.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-    least = stored(told.groupBy("label").agg(F.min("first_id").alias("component_id")))
-    told = stored(told.join(least, "label").select("n", "h1", "h2", "component_id"))
+        labels = tables.stored(seen.join(step, "label", "left").select("doc", F.coalesce("further", "label").alias("label")))
+    told = tables.stored(classes.join(labels.withColumnRenamed("doc", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    least = tables.stored(told.groupBy("label").agg(F.min("first_id").alias("component_id")))
+    told = of_result.stored(told.join(least, "label").select("n", "h1", "h2", "component_id"))
+    tables.drop()
     return about.withColumn("linked", F.col("doc_id").isNotNull()).join(told.withColumn("linked", F.lit(True)), ["n", "h1", "h2", "linked"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -450,7 +455,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without those that have a smaller document in their component (of rows with one id, all or none)."""
-    gone = stored(join(docs).filter("component_id != doc_id").select("doc_id").distinct())
+    tables = Tables()
+    gone = stored(join(docs, tables).filter("component_id != doc_id").select("doc_id").distinct())
+    tables.drop()
     return docs.join(listed(gone), "doc_id", "left_anti").select(*docs.columns)
 
 

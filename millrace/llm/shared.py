@@ -52,6 +52,22 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Tables:
+    """Stored tables that are deleted together, once what was made of them is stored."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.held.append(stored(df))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        for df in self.held:
+            drop(df)
+        self.held.clear()
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

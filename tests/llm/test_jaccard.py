@@ -1,8 +1,12 @@
+from pathlib import Path
+
 import numpy as np
 import plain
 import pytest
 
-from millrace.llm import jaccard, queries
+from millrace.llm import decontaminate, jaccard, queries
+from millrace.llm.shared import Tables
+from millrace.storage import shared_dir
 
 
 def near_copies(seed, n, base=60, changes=12):
@@ -84,6 +88,22 @@ def test_sketches_never_hide_a_link():
     assert found[4, 4].tolist() == [0, 0] and found[4, 5].min() > 0
 
 
+def test_tables_are_deleted(spark):
+    """Of a join stay the two tables that its result reads, and none once they are dropped; of one_of_each and clean the list of ids."""
+    docs = spark.createDataFrame(list(enumerate(near_copies(5, 60))), "doc_id long, text string")
+    folders = lambda: {p for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if p.is_dir() and any(p.glob("*.parquet"))}
+    before, tables = folders(), Tables()
+    joined = jaccard.join(docs, tables)
+    assert len(folders() - before) == 2 and joined.count() == 60
+    tables.drop()
+    assert folders() == before
+    kept = jaccard.one_of_each(docs)
+    assert len(folders() - before) == 1 and 0 < kept.count() < 60
+    before = folders()
+    left = decontaminate.clean(docs, spark.createDataFrame([(1, docs.first()["text"])], "item_id long, text string"))
+    assert len(folders() - before) == 1 and left.count() < 60
+
+
 def test_registered_query(spark, sf_dir, docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op2_jaccard_join"](spark, sf_dir).collect()}
     assert got == plain.components(docs)
