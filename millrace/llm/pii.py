@@ -11,7 +11,9 @@ An empty table gives no rows; other columns are ignored.  Offsets are code point
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -157,14 +159,19 @@ class Field:
         self.moves = np.zeros((STATES, STATES))
 
     @staticmethod
-    def features(words: list[str]) -> list[list[str]]:
-        shapes = [("^", "^"), *map(shape, words), ("$", "$")]
-        return [[f"{p}{f}" for p, (fine, coarse) in zip("<0>", shapes[i : i + 3]) for f in (f"f{fine}", f"c{coarse}")] + [f"b{shapes[i][1]}|{shapes[i + 1][1]}", f"n{shapes[i + 1][1]}|{shapes[i + 2][1]}"] for i in range(len(words))]
+    def features(words: list[str]):
+        """Of each word in turn its features."""
+        shapes = itertools.chain([("^", "^")], map(shape, words), [("$", "$")])
+        around = deque(itertools.islice(shapes, 2), maxlen=3)
+        for following in shapes:
+            around.append(following)
+            before, here, after = around
+            yield [f"{p}{f}" for p, (fine, coarse) in zip("<0>", around) for f in (f"f{fine}", f"c{coarse}")] + [f"b{before[1]}|{here[1]}", f"n{here[1]}|{after[1]}"]
 
     def table(self, sentences: list[list[str]]):
         """Feature numbers, whether a word is there, and whether it may have a label, padded to the longest sentence."""
         long = max(map(len, sentences))
-        ids = np.full((len(sentences), long, 8), len(self.names))
+        ids = np.full((len(sentences), long, 8), len(self.names), np.int32)
         there, free = np.zeros((len(sentences), long), bool), np.zeros((len(sentences), long), bool)
         for s, words in enumerate(sentences):
             there[s, : len(words)] = True
@@ -176,7 +183,9 @@ class Field:
         return ids, there, free & there
 
     def scores(self, ids, free) -> np.ndarray:
-        e = self.weights[ids].sum(axis=2)
+        e = self.weights[ids[..., 0]]
+        for k in range(1, ids.shape[2]):
+            e += self.weights[ids[..., k]]
         e[~free] = -np.inf
         e[~free, 0] = 0
         return e
@@ -231,12 +240,12 @@ class Field:
         e, m = self.scores(ids, free), self.moves + allowed()
         e[:, 0, 2::2] = -np.inf
         rows, long = there.shape
-        best, came = e[:, 0], np.zeros((rows, long, STATES), int)
+        best, came = e[:, 0], np.zeros((rows, long, STATES), np.int8)
         for i in range(1, long):
             step = best[:, :, None] + m
             came[:, i] = np.where(there[:, i, None], step.argmax(axis=1), np.arange(STATES))
             best = np.where(there[:, i, None], step.max(axis=1) + e[:, i], best)
-        at, out = best.argmax(axis=1), np.zeros((rows, long), int)
+        at, out = best.argmax(axis=1), np.zeros((rows, long), np.int8)
         for i in range(long - 1, -1, -1):
             out[:, i] = at
             at = came[np.arange(rows), i, at]
@@ -259,21 +268,26 @@ def trained(table=None) -> Field:
     return Field(names).train([w for w, _ in table], [t for _, t in table])
 
 
-def windows(text: str) -> list[list[re.Match]]:
-    """The words that may have a label, in runs, with one more word on each side."""
-    words = list(_WORD.finditer(text))
-    hot = [i for i, w in enumerate(words) if loaded(w[0])]
-    runs: list[list[int]] = []
-    for i in hot:
-        lo, hi = max(0, i - REACH - 1), min(len(words), i + REACH + 2)
-        if runs and lo <= runs[-1][1]:
-            runs[-1][1] = hi
-        else:
-            runs.append([lo, hi])
-    return [words[a:b] for a, b in runs]
+def windows(text: str) -> list[list[tuple[int, str]]]:
+    """The words that may have a label, in runs, with one more word on each side: where each word starts, and the word."""
+    runs, end = [], 0
+    recent: deque[tuple[int, str]] = deque(maxlen=REACH + 1)
+    for i, m in enumerate(_WORD.finditer(text)):
+        word = m.start(), m[0]
+        if loaded(word[1]):
+            since = max(i - end, 0)
+            if not runs or since > len(recent):
+                runs.append([*recent, word])
+            else:
+                runs[-1] += [*itertools.islice(recent, len(recent) - since, None), word]
+            end = i + REACH + 2
+        elif i < end:
+            runs[-1].append(word)
+        recent.append(word)
+    return runs
 
 
-def added(words: list[re.Match], tags: list[int]) -> list[tuple[int, int, int]]:
+def added(words: list[tuple[int, str]], tags: list[int]) -> list[tuple[int, int, int]]:
     """Spans of the tags, without marks before and after."""
     out, i = [], 0
     while i < len(tags):
@@ -283,14 +297,31 @@ def added(words: list[re.Match], tags: list[int]) -> list[tuple[int, int, int]]:
         k, j = (tags[i] - 1) // 2, i + 1
         while j < len(tags) and tags[j] == tags[i] + 1:
             j += 1
-        a = words[i].start() + len(words[i][0]) - len(words[i][0].lstrip("\"'<[{,;"))
-        b = words[j - 1].end() - (len(words[j - 1][0]) - len(words[j - 1][0].rstrip(".,;:!?\"'>]}")))
+        (first, head), (last, tail) = words[i], words[j - 1]
+        a = first + len(head) - len(head.lstrip("\"'<[{,;"))
+        b = last + len(tail.rstrip(".,;:!?\"'>]}"))
         if a < b:
             out.append((k, a, b))
         i = j
     return out
 
 
+#: Words, with those that pad shorter runs, that are decoded at once; a longer run is decoded by itself.
+CELLS = 1 << 14
+
+
+def batches(lengths: list[int]):
+    """The numbers of runs in batches, runs of like length together."""
+    part: list[int] = []
+    for r in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if part and (len(part) + 1) * lengths[r] > CELLS:
+            yield part
+            part = []
+        part.append(r)
+    if part:
+        yield part
+
+
 def found(texts: list[str], field: Field):
     """Of each text its pattern spans and all its spans, by kind, then start."""
     runs, owner = [], []
@@ -299,10 +330,8 @@ def found(texts: list[str], field: Field):
             runs.append(run)
             owner.append(t)
     more: dict[int, list] = {}
-    order = sorted(range(len(runs)), key=lambda r: len(runs[r]))
-    for lo in range(0, len(order), 512):  # runs of like length together
-        part = order[lo : lo + 512]
-        for r, tags in zip(part, field.decode([[w[0] for w in runs[r]] for r in part])):
+    for part in batches([len(run) for run in runs]):
+        for r, tags in zip(part, field.decode([[w for _, w in runs[r]] for r in part])):
             more.setdefault(owner[r], []).extend(added(runs[r], tags))
     for t, text in enumerate(texts):
         base = base_spans(text)
@@ -311,21 +340,20 @@ def found(texts: list[str], field: Field):
 
 
 def loaded_rows(column):
-    """For each row in turn its text if it has a digit or an @, else None."""
+    """For the rows in turn, some 1 MB at once: each one's text if it has a digit or an @, else None."""
     mark = np.zeros(256, bool)
     mark[[*range(0x30, 0x3A), 0x40]] = True
     for chunk in chunks(column):
         some = np.concatenate([[0], np.cumsum(mark[chunk.data])])[chunk.offsets]
-        for i in range(chunk.hi - chunk.lo):
-            yield chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]].tobytes().decode("utf-8", "replace") if some[i + 1] > some[i] else None
+        yield [chunk.data[a:z].tobytes().decode("utf-8", "replace") if some[i + 1] > some[i] else None for i, (a, z) in enumerate(zip(chunk.offsets[:-1], chunk.offsets[1:]))]
 
 
 def each(column, field: Field):
     """Pattern spans and all spans of each row in turn."""
-    rows = list(loaded_rows(column))
-    some = iter(found([t for t in rows if t is not None], field))
-    for t in rows:
-        yield ([], []) if t is None else next(some)
+    for rows in loaded_rows(column):
+        some = iter(found([t for t in rows if t is not None], field))
+        for t in rows:
+            yield ([], []) if t is None else next(some)
 
 
 def personal_data(docs: DataFrame, table=None) -> DataFrame:

@@ -256,6 +256,33 @@ def test_viterbi_is_the_best_path():
     assert field.decode([words])[0] == list(best)
 
 
+def test_windows():
+    """Runs are the words near those with digits, and a word more on each side."""
+    rng = random.Random(5)
+    for _ in range(300):
+        text = " ".join(rng.choice(["a", "b,", "é", "7"] if rng.random() < 0.3 else ["a", "b,", "é"]) for _ in range(rng.randrange(0, 60)))
+        words = [(m.start(), m[0]) for m in re.finditer("[^ ]+", text)]
+        hot = [i for i, (_, w) in enumerate(words) if w == "7"]
+        near = [i for i in range(len(words)) if any(abs(i - h) <= pii.REACH + 1 for h in hot)]
+        runs = pii.windows(text)
+        assert [w for run in runs for w in run] == [words[i] for i in near]
+        assert len(runs) == sum(i - 1 not in near for i in near)
+
+
+def test_long_runs_are_decoded_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    field, texts = pii.trained(), ["12 " * 3000] + ["call 5 +1 (269) 555-3296 y"] * 511
+    tracemalloc.start()
+    got = list(pii.found(texts, field))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    assert [i for part in pii.batches([3, 9, 1]) for i in part] == [2, 0, 1] and list(pii.batches([])) == []
+    monkeypatch.setattr(pii, "CELLS", 1)  # each run by itself
+    assert list(pii.found(texts[:20], field)) == got[:20]
+
+
 def test_masking(spark):
     rows = [(1, "mail a.b@c.de now", "en", "s", 17), (2, None, None, None, None), (3, "nothing", "en", "s", 7), (3, "", "en", "s", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
