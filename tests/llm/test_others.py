@@ -256,6 +256,54 @@ def test_viterbi_is_the_best_path():
     assert field.decode([words])[0] == list(best)
 
 
+#: Forms that the labelled table does not make, each with its kind and the span that a reader would mark; and numbers that are no personal data.
+OTHER_FORMS = [
+    ('Please ring 020 7946 0958 after six', 'phone', '020 7946 0958'),
+    ('Fax: 555.867.5309, ask for Ann', 'phone', '555.867.5309'),
+    ('Tel 030/1234567 in Berlin', 'phone', '030/1234567'),
+    ('her number is 415-555-2671 I think', 'phone', '415-555-2671'),
+    ('call 1-800-555-0199 toll free', 'phone', '1-800-555-0199'),
+    ('+33 1 42 68 53 00 is the Paris desk', 'phone', '+33 1 42 68 53 00'),
+    ('(0)171 555 0123 works too', 'phone', '(0)171 555 0123'),
+    ('write to john.doe@company.co.uk today', 'email', 'john.doe@company.co.uk'),
+    ('contact <info@museum.org> for tickets', 'email', 'info@museum.org'),
+    ('mailto:sales@shop.io?subject=hi', 'email', 'sales@shop.io'),
+    ('root@localhost got the log', 'email', 'root@localhost'),
+    ("Bob's is bob(at)example.org, 2 of them", 'email', 'bob(at)example.org'),
+    ('server 10.0.0.1:8080 is down', 'ip', '10.0.0.1'),
+    ('ping 192.168.1.254/24 twice', 'ip', '192.168.1.254'),
+    ('from [172.16.0.9] at 12:30', 'ip', '172.16.0.9'),
+    ('fe80::1ff:fe23:4567:890a is link local', 'ip', 'fe80::1ff:fe23:4567:890a'),
+    ('Visa 4111-1111-1111-1111 exp 12/27', 'card', '4111-1111-1111-1111'),
+    ('amex 3782 822463 10005 on file', 'card', '3782 822463 10005'),
+    ('card: 5500 0000 0000 0004 please', 'card', '5500 0000 0000 0004'),
+    ('pan 6011000990139424, cvv 123', 'card', '6011000990139424'),
+]
+OTHER_NUMBERS = [
+    'It rained on 14 days in 2021 and 365.25 is a year',
+    'see pages 123-145 of vol. 12, 1998',
+    'ISBN 978-3-16-148410-0 costs $29.99',
+    'at 12:30:45 on 2024-05-17 we left',
+    'the score was 3-2, 101-99 and 7.5',
+    'version 2.10.3 fixes issue #4521',
+    'room 4021, floor 12, gate B17',
+    'population 1,234,567 in 1990',
+    'pi is 3.14159265358979',
+    'order 00012345678 shipped',
+]
+
+
+def test_forms_that_the_table_does_not_make():
+    """Patterns find 10 of the 20, the field two more; it marks one of ten sentences without personal data (figures in the README)."""
+    field, hits = pii.trained(), []
+    for text, kind, span in OTHER_FORMS:
+        base, every = next(pii.found([text], field))
+        a = text.index(span)
+        hits.append([any(k == pii.KINDS.index(kind) and lo <= a and a + len(span) <= hi for k, lo, hi in spans) for spans in (base, every)])
+    assert sum(base for base, _ in hits) == 10 and sum(every for _, every in hits) >= 12
+    assert sum(bool(next(pii.found([text], field))[1]) for text in OTHER_NUMBERS) <= 1
+
+
 def test_windows():
     """Runs are the words near those with digits, and a word more on each side."""
     rng = random.Random(5)
