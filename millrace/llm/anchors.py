@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, part_names, shuffles, stored
-from .text import _WORD_BASE, byte_values, chunks, sliding_argmin, spans_hash
+from .shared import Tables, listed, shuffles, stored
+from .text import _WORD_BASE, byte_values, chunks, mix, sliding_argmin, spans_hash
 
 #: Bits of the bitmap: 16 MB whatever the input.
 BITS = 27
@@ -32,8 +32,10 @@ class Shape:
     words: bool
     width: int
     k: int
-    #: Segments of one anchor, no two equal, that may meet in one task.
+    #: Segments of one anchor, no two equal, that are judged unsplit.
     most: int = 256
+    #: Symbols that a shard has on average, at most.
+    shard: int = 1 << 17
 
 
 def symbols(chunk, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -168,79 +170,79 @@ def with_symbols(wanted: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
     return rows.dropDuplicates(["h", "ctx"])
 
 
-def crowded(rows: DataFrame, shape: Shape, parts: int) -> DataFrame:
-    """The exact way for anchors with more segments than `most`: windows are counted by their hashes, dealt out evenly.
+def split(rows: DataFrame, shape: Shape, size: int) -> DataFrame:
+    """rows (h, ctx, n, first, lead, symbols) -> h, ctx, off, g, c, n, first, lead, symbols: each segment in pieces, `off` symbols from its start.
 
-    rows (h, ctx, n, first, symbols) -> VERDICT rows.  A window found in one segment only, that occurs once, gets no verdict.
+    A piece has the segment's windows whose anchor stands in one of `size` consecutive places, counted from the window's start.  What all
+    such windows hold, their common middle, is hashed into the piece's group g.  Equal windows have their anchor in the same
+    place and equal middles, so they are in one group; c is the piece's own hash.  With size 1 a piece is one window and all of its middle.
     """
-    width, names = shape.width, part_names(parts)
+    width, names = shape.width, ["h", "ctx", "off", "g", "c", "n", "first", "lead", "symbols"]
 
-    def windows(batches):
+    def cut(batches):
         for batch in batches:
-            owner, at, w, n, first = [], [], [], [], []
-            for h, ctx, k, f, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                values = np.frombuffer(raw, np.uint64) if shape.words else byte_values(np.frombuffer(raw, np.uint8))
-                lo = np.arange(len(values) - width + 1)
-                found = spans_hash(values, lo, lo + width, _WORD_BASE)
-                w.append(found)
-                at.append(lo)
-                owner.append(np.tile(np.array([[h, ctx]], np.int64), (len(lo), 1)))
-                n.append(np.full(len(lo), k))
-                first.append(np.full(len(lo), f))
-            if w:
-                w = np.concatenate(w)
-                cols = [w.view(np.int64), *np.concatenate(owner).T, np.concatenate(at), np.concatenate(n), np.concatenate(first)]
-                yield from dealt((w % np.uint64(parts)).astype(np.int64), cols)
-
-    def dealt(to, cols):
-        order = np.argsort(to, kind="stable")
-        lo, hi = runs_of(to[order])
-        table = np.stack(cols, axis=1)[order]
-        yield pa.RecordBatch.from_arrays([pa.array(names[to[order][lo]]), pa.array([table[a:b].tobytes() for a, b in zip(lo, hi)], pa.binary())], names=["part", "rows"])
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 6) for x in pdf["rows"]])
-        t = t[np.argsort(t[:, 0], kind="stable")]
-        lo, _ = runs_of(t[:, 0])
-        sums, least = np.add.reduceat(t[:, 4], lo), np.minimum.reduceat(t[:, 5], lo)
-        which = np.repeat(np.arange(len(lo)), np.diff(np.append(lo, len(t))))
-        t = np.column_stack([t[:, 1:4], np.where(sums > 1, least, NONE)[which]])
-        batches = list(dealt(t[:, 1] % parts, list(t.T)))
-        return batches[0].to_pandas()
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in pdf["rows"]])
-        t = t[np.lexsort((t[:, 2], t[:, 1], t[:, 0]))]
-        new = np.flatnonzero(np.concatenate([[True], (t[1:, 0] != t[:-1, 0]) | (t[1:, 1] != t[:-1, 1])]))
-        return pd.DataFrame([verdict_rows(int(t[a, 0]), int(t[a, 1]), t[a:b, 3], NONE) for a, b in zip(new, np.append(new[1:], len(t)))])
-
-    out = rows.select("h", "ctx", "n", "first", "symbols").mapInArrow(windows, "part long, rows binary")
-    return out.groupBy("part").applyInPandas(count, "part long, rows binary").groupBy("part").applyInPandas(gather, VERDICT)
-
-
-def verdicts(found: DataFrame, docs: DataFrame, shape: Shape, decide, settled) -> DataFrame:
-    """VERDICT rows for the segments of occurrences().
-
-    decide(pdf) judges the segments of some anchors together: h, ctx, n, first, lead, symbols -> VERDICT rows.  A segment that is the
-    only one under its anchor, and one for which settled(n) holds, are judged by its count alone: each of its windows occurs where it does.
+            h, ctx, n, first, lead = (batch.column(i).to_numpy() for i in range(5))
+            raw = batch.column(5).to_pylist()
+            data = np.frombuffer(b"".join(raw), np.uint64 if shape.words else np.uint8)
+            values = data if shape.words else byte_values(data)
+            length = np.array([len(x) for x in raw], np.int64) // data.itemsize
+            base, last = np.cumsum(length) - length, length - width
+            low, high = (lead - last) // size, lead // size
+            row = np.repeat(np.arange(len(raw)), high - low + 1)
+            bucket = np.arange(len(row)) - np.searchsorted(row, row) + low[row]
+            begin, end = np.maximum(0, lead[row] - (bucket + 1) * size + 1), np.minimum(last[row], lead[row] - bucket * size)
+            middle = base[row] + lead[row] - bucket * size
+            g = mix(spans_hash(values, middle, middle + width - size + 1, _WORD_BASE) ^ mix(h[row].view(np.uint64) + bucket.astype(np.uint64)))
+            lo, hi = base[row] + begin, base[row] + end + width
+            pieces = [data[x:y].tobytes() for x, y in zip(lo.tolist(), hi.tolist())]
+            c = spans_hash(values, lo, hi, _WORD_BASE)
+            cols = [h[row], ctx[row], begin, g.view(np.int64), c.view(np.int64), n[row], first[row], lead[row] - begin]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(pieces, pa.binary())], names=names)
+
+    kind = ", ".join(f"{x} long" for x in names[:-1]) + ", symbols binary"
+    return rows.select("h", "ctx", "n", "first", "lead", "symbols").mapInArrow(cut, kind)
+
+
+def judge(cut: DataFrame, shape: Shape, decide, size: int, tables: Tables) -> DataFrame:
+    """VERDICT rows for stored segments (h, ctx, n, first, lead, symbols), whose anchors stand in one of `size` places.
+
+    Anchors are dealt to as many shards as their symbols need.  Those with more segments than `most` are split into pieces first; equal
+    pieces become one, and pieces that stand alone in their group go, before the groups are judged in the same way.
+    """
+    hot = listed(tables.stored(cut.groupBy("h").count().filter(f"count > {shape.most}").select("h")))
+    few = cut.join(hot, "h", "left_anti")
+    total = cut.agg(F.sum(F.length("symbols"))).first()[0] or 0
+    shards = max(shuffles(cut.sparkSession), -(-total // ((8 if shape.words else 1) * shape.shard)))
+    out = few.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(decide, VERDICT)
+    if hot.isEmpty():
+        return out
+    size = max(1, size // 4)
+    pieces = tables.stored(split(cut.join(hot, "h", "left_semi"), shape, size))
+    merged = pieces.groupBy("g", "c").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.first("lead").alias("lead"), F.first("symbols").alias("symbols"))
+    merged = tables.stored(merged.withColumnsRenamed({"g": "h", "c": "ctx"}))
+    shared = tables.stored(merged.groupBy("h").agg(F.sum("n").alias("of_h")).filter("of_h > 1").select("h"))
+    below = judge(tables.stored(merged.join(shared, "h")), shape, decide, size, tables)
+    below = tables.stored(below.withColumnsRenamed({"h": "g", "ctx": "c"}))
+    back = pieces.select("h", "ctx", "off", "g", "c").join(below, ["g", "c"])
+    moved = [F.transform(x, lambda v: v + F.col("off")).alias(x) for x in ("lo", "hi")]
+    return out.unionByName(back.select("h", "ctx", *moved, "first"))
+
+
+def verdicts(found: DataFrame, docs: DataFrame, shape: Shape, decide) -> DataFrame:
+    """VERDICT rows for the segments of occurrences(), stored.
+
+    decide(pdf) judges the segments of some anchors together: h, ctx, n, first, lead, symbols -> VERDICT rows.  Every segment that
+    shares its anchor with another occurrence goes there, copies of one segment as one with its number.
     """
-    spark = found.sparkSession
+    tables = Tables()
     sample = F.min(F.struct("doc", "key", F.element_at("starts", 1).alias("start"), "length")).alias("sample")
-    kinds = stored(found.groupBy("h", "ctx").agg(F.sum(F.size("starts")).cast("long").alias("n"), F.min("doc").alias("first"), F.first("lead").alias("lead"), sample))
+    kinds = tables.stored(found.groupBy("h", "ctx").agg(F.sum(F.size("starts")).cast("long").alias("n"), F.min("doc").alias("first"), F.first("lead").alias("lead"), sample))
     # stored, so that the join below reads two plain exchanges and Spark can split a common anchor
-    anchors = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("of_h")).filter("of_h > 1"))
-    some = stored(kinds.join(anchors, "h"))
-    alone = some.filter((F.col("kinds") == 1) | settled(F.col("n")))
-    whole = alone.select("h", "ctx", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.col("sample.length") - shape.width + 1).alias("hi"), F.array("first").alias("first"))
-    mixed = some.filter("kinds > 1")
-    cut = stored(with_symbols(mixed.filter(f"kinds <= {shape.most}"), docs, shape).withColumn("crowd", F.lit(False)).unionByName(with_symbols(mixed.filter(f"kinds > {shape.most}"), docs, shape).withColumn("crowd", F.lit(True))))
-    parts = shuffles(spark)
-    shard = F.pmod(F.xxhash64("h"), F.lit(4 * parts))
-    few = cut.filter("not crowd").withColumn("shard", shard).groupBy("shard").applyInPandas(decide, VERDICT)
-    many = crowded(cut.filter("crowd"), shape, parts)
-    judged = few.unionByName(many).join(alone.select("h", "ctx"), ["h", "ctx"], "left_anti")
-    drop(kinds)
-    return whole.unionByName(judged)
+    anchors = tables.stored(kinds.groupBy("h").agg(F.sum("n").alias("of_h")).filter("of_h > 1").select("h"))
+    cut = tables.stored(with_symbols(tables.stored(kinds.join(anchors, "h")), docs, shape))
+    judged = stored(judge(cut, shape, decide, shape.width - shape.k + 1, tables))
+    tables.drop()
+    return judged
 
 
 def spans(found: DataFrame, judged: DataFrame, width: int, smaller: bool) -> DataFrame:

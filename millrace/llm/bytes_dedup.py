@@ -5,7 +5,8 @@ from their anchors so that equal texts are cut alike, builds the suffix array of
 transform.  Intervals of suffixes with a common prefix are expanded breadth first by backward extension, one block a
 level, so prefix lengths come in increasing order; an interval that stands for one place is dropped, and the
 expansion stops at the least length, the number of whole blocks that any 400 bytes hold.  Strings of 400
-bytes around the places that remain are then compared exactly.  Segments are weighted by how often they occur, so copies are not expanded.
+bytes around the places that remain are then compared exactly.  Segments are weighted by how often they occur, so copies are expanded once.
+A passage in very many texts, whose anchor has more segments than a task should hold, is split by what stands around the anchor first.
 
 Null and empty texts and those under 400 bytes lose nothing.  Rows that repeat are places of their own.  An empty table gives no rows;
 other columns are ignored.
@@ -111,10 +112,10 @@ def repeats(width: int, block: int):
 
 def dedup_bytes(docs: DataFrame, width: int = 400, k: int = 128) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes left)."""
-    shape = Shape(False, width, k)
+    shape = Shape(False, width, k, shard=1 << 20)
     docs = keyed(docs).withColumn("doc", F.lit(0).cast("long"))
     found = occurrences(docs, shape)
-    gone = spans(found, verdicts(found, docs, shape, repeats(width, max(1, width // 25)), lambda n: n > 1), width, smaller=False)
+    gone = spans(found, verdicts(found, docs, shape, repeats(width, max(1, width // 25))), width, smaller=False)
 
     def keep(batches):
         for batch in batches:

@@ -5,7 +5,8 @@ that may occur twice (see anchors), is dealt into shards by anchor.  Each shard'
 suffix automaton over words, whose states carry the smallest document of the strings that they stand for.  The shard's
 segments are then streamed through it: the matching statistics, at each word the longest match that ends there and its state,
 give for each window the first document that holds it.  Shards replace a broadcast of all automata because the
-reference grows with the corpus; an automaton never leaves the task that uses it.
+reference grows with the corpus; an automaton never leaves the task that uses it.  There are as many shards as the reference's
+words need, and an anchor with very many segments is split by what stands around it before its pieces are dealt out.
 
 A document of fewer than 50 words, null and empty texts included, loses nothing.  A null doc_id counts as the largest; rows with
 equal ids don't remove from each other.  An empty table gives no rows; other columns are ignored.
@@ -109,7 +110,7 @@ def dedup(docs: DataFrame, width: int = 50, k: int = 25) -> DataFrame:
     shape = Shape(True, width, k)
     docs = keyed(docs)
     found = occurrences(docs, shape)
-    gone = spans(found, verdicts(found, docs, shape, firsts(width), lambda n: F.lit(False)), width, smaller=True)
+    gone = spans(found, verdicts(found, docs, shape, firsts(width)), width, smaller=True)
 
     def keep(batches):
         for batch in batches:

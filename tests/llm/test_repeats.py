@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import bytes_dedup, queries, substring
-from millrace.llm.anchors import Shape, crowded, keyed
+from millrace.llm.anchors import Shape
 from millrace.llm.text import chunks, sliding_argmin, spans_hash
 
 
@@ -73,23 +73,69 @@ def test_bytes(spark, seed):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], plain.sha(bytes(r["kept"]))) for r in got) == sorted((str(i), *w) for (i, _), w in zip(rows, want))
 
 
-def test_crowded_anchors_are_exact(spark, monkeypatch):
-    """One passage in many texts: its anchors are handled by the window counts."""
-    passage = " ".join(f"p{i}" for i in range(14))
-    rng = np.random.default_rng(5)
-    rows = [(i, " ".join(f"r{rng.integers(1000)}" for _ in range(12)) + f" {passage} " + " ".join(f"r{rng.integers(1000)}" for _ in range(12))) for i in range(40)]
-    shape = Shape.__init__
-
-    def small(self, words, width, k, most=5):
-        shape(self, words, width, k, most)
-
-    monkeypatch.setattr(Shape, "__init__", small)
+def around(n, seed, before=12, after=12, size=14):
+    """One passage in n texts, between words that are nowhere else alike."""
+    passage = " ".join(f"p{i}" for i in range(size))
+    rng = np.random.default_rng(seed)
+    some = [[f"r{x}" for x in rng.integers(0, 1000, before + after)] for _ in range(n)]
+    return [(i, " ".join([*w[:before], passage, *w[before:]])) for i, w in enumerate(some)]
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_crowded_anchors_are_exact(spark, monkeypatch, most):
+    """Anchors of many segments are split, more than once, until their pieces are few."""
+    # copies, and texts that share half of the passage, among those that share it all
+    rows = around(40, 5)
+    rows += [(100 + i, t) for i, t in rows[:3]] + [(200 + i, " ".join(t.split(" ")[:19] + [f"x{i}"] * 12)) for i, t in rows[:5]]
+    monkeypatch.setattr(Shape, "most", most)
+    monkeypatch.setattr(Shape.__init__, "__defaults__", (most, 50))
     got = substring.dedup(frame(spark, rows), width=10, k=5).collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], plain.sha(r["kept"].encode())) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, plain.substring(rows, 10)))
     got = bytes_dedup.dedup_bytes(frame(spark, rows), width=40, k=12).collect()
     want = plain.bytes_removed([t for _, t in rows], 40)
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], plain.sha(bytes(r["kept"]))) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want))
-    assert crowded and keyed
+
+
+def test_passage_in_thousands_of_texts(spark):
+    """At the production widths: far more variants of an anchor than a task judges unsplit."""
+    rows = around(3000, 6, before=30, after=30, size=80)
+    got = substring.dedup(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], plain.sha(r["kept"].encode())) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, plain.substring(rows, 50)))
+    rows = around(1000, 7, before=60, after=60, size=120)
+    got = bytes_dedup.dedup_bytes(frame(spark, rows)).collect()
+    want = plain.bytes_removed([t for _, t in rows], 400)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], plain.sha(bytes(r["kept"]))) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want))
+
+
+def test_pieces_keep_equal_windows_together():
+    """Split at every size: equal windows share a group, each window is in one piece, and a piece of one place is a window."""
+    from millrace.llm.anchors import segments, split
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, kind):  # noqa: N802
+            return next(f(iter([self.batch])))
+
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 3, 400).astype(np.uint64)
+    shape = Shape(True, 20, 6)
+    _, h, ctx, start, end, anchor = segments(values, np.array([0, 400]), shape)
+    import pyarrow as pa
+
+    rows = Rows()
+    ints = [x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64) for x in (h, ctx, np.ones(len(h), np.int64), np.zeros(len(h), np.int64), anchor - start)]
+    rows.batch = pa.RecordBatch.from_arrays([*map(pa.array, ints), pa.array([values[a:b].tobytes() for a, b in zip(start, end)], pa.binary())], names=["h", "ctx", "n", "first", "lead", "symbols"])
+    for size in (15, 7, 3, 1):
+        groups, seen = {}, 0
+        for r in split(rows, shape, size).to_pylist():
+            raw = np.frombuffer(r["symbols"], np.uint64)
+            assert size > 1 or len(raw) == 20
+            for w in range(len(raw) - 19):
+                groups.setdefault(raw[w : w + 20].tobytes(), set()).add(r["g"])
+                seen += 1
+        assert seen == 400 - 19 and all(len(g) == 1 for g in groups.values())
 
 
 @pytest.mark.parametrize("f", [substring.dedup, bytes_dedup.dedup_bytes])
