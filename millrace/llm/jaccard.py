@@ -3,9 +3,10 @@
 Documents whose shingle sets have a Jaccard similarity of 0.75 or more are linked; classes are the connected components.
 
 Two sets with sizes T together and that similarity differ in at most T / 7 shingles.  For each band of T the domain is cut into
-n parts, more than 5 / 4 as many as the sets may differ in, so similar sets agree in several parts; a part's content is a
-signature (PartEnum with subsets of one part).  A set belongs to the bands that its partners' sizes can lead to, one or two.  Sets
-of few shingles use a part for each shingle.  An agreement of empty parts says nothing, so a set signs its empty parts only where
+n parts, more than 5 / 8 as many as the sets may differ in, and each part into three: some part then has differences in one of its
+three at most, and the two others together, one of the three subsets of two that are enumerated, are alike in both sets.  A subset's content is a
+signature.  A set belongs to the bands that its partners' sizes can lead to, one or two.  Sets
+of few shingles use a part for each shingle.  An agreement of empty subsets says nothing, so a set signs its empty subsets only where
 the agreements that are certain could all be empty.  That count of certain agreements also filters: a document with fewer signatures
 that any other document has too can't have a link in the band and is left out before any pair is made; so is, after that, one with fewer than
 3 in 4 of its shingles in others that remain.
@@ -55,8 +56,16 @@ def differ(total: int) -> int:
 
 
 def band(total: int) -> int:
-    """0: a part for each shingle; b: 2**b parts."""
-    return 0 if total <= SMALL else int(np.ceil(np.log2(1.25 * differ(total) + 1)))
+    """0: a part for each shingle; b: 2**b parts of three."""
+    return 0 if total <= SMALL else int(np.ceil(np.log2((1.25 * differ(total) + 1) / 2)))
+
+
+def agreements(n: int, d: int) -> int:
+    """Subsets, of three in each of n parts, that sets agree in at least if d shingles differ.
+
+    A part's first difference leaves one of its subsets alike, a second one elsewhere in the part none.
+    """
+    return 3 * n - 2 * min(d, n) - max(0, d - n)
 
 
 def bands(size: int) -> list[tuple[int, int]]:
@@ -85,15 +94,20 @@ def signatures(s: np.ndarray, b: int, total: int) -> tuple[np.ndarray, int]:
     if b == 0:
         return mix(s ^ tag), max(1, -(-3 * len(s) // 4))
     n = 1 << b
-    part = s >> np.uint64(64 - b)
-    new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(mix(s + tag), new)
-        found = mix(sums ^ mix(part[new] + tag))
-        certain = n - differ(total) - (n - len(new))
+        third = ((s << np.uint64(b)) >> np.uint64(32)) * np.uint64(3) >> np.uint64(32)
+        part = ((s >> np.uint64(64 - b)) * np.uint64(3) + third).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums, held = np.zeros(3 * n, np.uint64), np.zeros(3 * n, np.int8)
+        sums[part[new]], held[part[new]] = np.add.reduceat(mix(s + tag), new), 1
+        # of each part the subsets of two: all but one of its three
+        sums, held = sums.reshape(n, 3), held.reshape(n, 3)
+        pair, full = (sums.sum(axis=1, keepdims=True) - sums).ravel(), (held.sum(axis=1, keepdims=True) > held).ravel()
+        name = mix(np.arange(3 * n, dtype=np.uint64) + tag)
+        found = mix(pair[full] ^ name[full])
+        certain = agreements(n, differ(total)) - int((~full).sum())
         if certain < 1:
-            empty = np.setdiff1d(np.arange(n, dtype=np.uint64), part[new])
-            found = np.concatenate([found, mix(mix(empty + tag) + np.uint64(1))])
+            found = np.concatenate([found, mix(name[~full] + np.uint64(1))])
             certain = 1
     return found, certain
 

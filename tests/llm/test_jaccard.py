@@ -78,6 +78,26 @@ def test_similar_sets_share_signatures():
             assert shared >= cx and shared >= cy and shared >= 1
 
 
+def test_agreements_are_the_worst_case():
+    """Over all ways to put d differences into n parts of three."""
+    from itertools import product
+
+    left = {0: 3, 1: 1, 2: 0, 3: 0}
+    for n in (1, 2, 3):
+        for d in range(2 * n):
+            places = product(range(3 * n), repeat=d)
+            assert jaccard.agreements(n, d) == min(sum(left[len({p for p in at if p // 3 == k})] for k in range(n)) for at in places)
+
+
+def test_signatures_are_subsets_of_two():
+    """A shingle more changes two of its part's three signatures, and no other."""
+    rng = np.random.default_rng(4)
+    s = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2))
+    b = jaccard.band(800)
+    before, after = (jaccard.signatures(x, b, 800)[0] for x in (s, np.sort(np.append(s, s[100] + np.uint64(1)))))
+    assert len(before) == len(after) and len(np.setdiff1d(after, before)) == 2
+
+
 def test_sketches_never_hide_a_link():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (1, 5, 30, 40, 200, 250, 250)]
