@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -16,6 +14,7 @@ from ..streaming import capture, sinks, state
 from . import inspect
 from .catalog import SchemaCache
 from .catalogue import STATEMENTS, bounds, flat, plan_sql, pgoutput_flat, query
+from .database import in_database
 from .inputs import TS_MS, binlog_events, cdc_events, chunk_log, offsets, pgoutput_payloads, table
 
 NAMES = ("benchmark", "conversations", "customer", "documents", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
@@ -124,13 +123,6 @@ def expression_checks(spark, sf):
 # --- reading a database
 
 
-def in_database(spark, rows, name: str) -> str:
-    """The rows as a table of an embedded database; its URL."""
-    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
-    rows.write.jdbc(url, name)
-    return url
-
-
 @query(f"WITH plan AS ({plan_sql('orders', 'o_orderkey', 4)}) SELECT o_orderkey, o_custkey, o_totalprice, p.chunk FROM orders JOIN plan p ON o_orderkey >= p.start_key AND (p.end_key IS NULL OR o_orderkey < p.end_key)")
 def jdbc_chunks(spark, sf):
     """All chunks of a table over JDBC; the number of a row's partition is its chunk's."""
