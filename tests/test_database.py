@@ -44,6 +44,12 @@ def test_chunks_on_cluster(spark, sf_dir, tmp_path):
     assert [r[3] for r in got] == sorted(r[3] for r in got) and {r[3] for r in got} == {0, 1, 2, 3}
 
 
+def test_page_on_cluster(spark, sf_dir, tmp_path):
+    got = on_cluster("jdbc_ordered_scan", sf_dir, tmp_path)
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").filter("o_orderkey >= 100 AND o_orderkey < 1100").collect()]
+    assert got == [[i, k] for i, k in enumerate(sorted(keys)[:250], 1)]
+
+
 def test_rows_stay_as_they_are(spark, tmp_path):
     kind = "k long, n int, d double"
     rows = [(1, None, 0.1), (-(1 << 63), 2, None), (None, -3, 1e-300), ((1 << 63) - 1, 4, 1.7e308), (1, None, 0.1)]
