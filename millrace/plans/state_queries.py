@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -137,8 +138,8 @@ def jdbc_chunks(spark, sf):
 def jdbc_ordered_scan(spark, sf):
     """A chunk's rows in order of the key, the first 250 of them: a page of a sequential scan."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    page = snapshot.read_chunk(spark, in_database(spark, orders, "orders"), "orders", "o_orderkey", 100, 1100, order=["o_orderkey"]).limit(250).collect()
-    return spark.createDataFrame([(i, r["o_orderkey"]) for i, r in enumerate(page, 1)], "place long, o_orderkey long")
+    page = snapshot.read_chunk(spark, in_database(spark, orders, "orders"), "orders", "o_orderkey", 100, 1100, order=["o_orderkey"]).limit(250)
+    return page.select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("place"), "o_orderkey")
 
 
 @query("SELECT n_nationkey, 'r' AS op, 'snap:public.nation:n_nationkey=' || n_nationkey AS id, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS image FROM nation")

@@ -61,3 +61,30 @@ def test_rows_stay_as_they_are(spark, tmp_path):
         assert sorted(map(tuple, got.collect()), key=key) == sorted(some, key=key)
     with pytest.raises(SnapshotError):
         in_database(spark, spark.sql("SELECT 'x' AS s"), "texts")
+
+
+CLEARED = """
+import json, os, sys
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+
+sf, home = sys.argv[1:]
+conf = {"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.local.dir": f"{home}/local", "spark.checkpoint.dir": f"file://{home}/shared é"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+entry.queries()["jdbc_chunks"](spark, sf).write.parquet(f"{home}/chunks")
+os.rename(f"{home}/temp", f"{home}/gone")
+print("ROWS", json.dumps([sorted(map(list, entry.queries()[name](spark, sf).collect())) for name in ("jdbc_ordered_scan", "jdbc_chunks")]))
+"""
+
+
+def test_own_temporary_folder_cleared(spark, sf_dir, tmp_path):
+    """A query still reads its database when the process's own temporary folder went after the query before."""
+    (tmp_path / "temp").mkdir()
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": f"--driver-memory 600m --driver-java-options -Djava.io.tmpdir={tmp_path}/temp pyspark-shell"}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    done = subprocess.run([sys.executable, "-c", CLEARED, sf_dir, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    assert "ROWS " in done.stdout, done.stderr[-3000:]
+    page, rows = json.loads(done.stdout.partition("ROWS ")[2].splitlines()[0])
+    orders = sorted(map(list, spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice").collect()))
+    assert [r[:3] for r in rows] == orders
+    assert page == [[i, k] for i, k in enumerate([k for k, *_ in orders if 100 <= k < 1100][:250], 1)]
