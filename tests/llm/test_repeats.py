@@ -107,6 +107,18 @@ def test_passage_in_thousands_of_texts(spark):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], plain.sha(bytes(r["kept"]))) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want))
 
 
+def test_passages_of_over_50_words(spark):
+    """Bytes count, not words: passages of 60 words in two texts, with the spaces beside them, go from 400 bytes on."""
+    rows = []
+    for size in (399, 400, 401):
+        passage = " ".join(f"p{i:02}q{size % 10}" for i in range(60)).ljust(size - 2, "x")
+        rows += [(2 * size + k, " ".join([f"{i}-{size}{side}" for i in range(100)] + [passage] + [f"{side}{size}-{i}" for i in range(100)])) for k, side in enumerate("lr")]
+    got = bytes_dedup.dedup_bytes(frame(spark, rows)).collect()
+    want = plain.bytes_removed([t for _, t in rows], 400)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], plain.sha(bytes(r["kept"]))) for r in got) == sorted((i, *w) for (i, _), w in zip(rows, want))
+    assert [r["n_removed"] for r in sorted(got)] == [0, 0, 400, 400, 401, 401]
+
+
 def test_pieces_keep_equal_windows_together():
     """Split at every size: equal windows share a group, each window is in one piece, and a piece of one place is a window."""
     from millrace.llm.anchors import segments, split
