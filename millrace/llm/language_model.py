@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, drop, fold, part_names, shuffles, stored
-from .text import chunks, mix
+from .text import chunks, mix, places
 
 END = np.uint64(0x0123456789ABCDEF)
 #: Customers up to which all Stirling numbers are held; tables that are held for more customers, and customers up to which these are exact.
@@ -45,11 +45,13 @@ PART_BYTES = 24 << 20
 FAN = 4
 #: A word is common from so many times the tokens of a part.
 COMMON = 0.25
+#: Bytes of text whose words are found at once: what is worked out for each byte stays in a processor's cache.
+AT_ONCE = 1 << 18
 
 
 def entries(batch_column):
     """Chunks as (rows lo..hi, words, row of each word, whether it is a text's first): each text's words and an end."""
-    for chunk in chunks(batch_column):
+    for chunk in chunks(batch_column, AT_ONCE):
         words = chunk.words(lower=True)
         sizes = np.diff(words.rows) + 1
         at = np.cumsum(sizes)
@@ -95,12 +97,26 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def pair_places(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """np.lexsort((contexts, words))."""
+    order = places(words)
+    w = words[order]
+    rank = np.zeros(len(w), np.int64)
+    rank[1:] = np.cumsum(w[1:] != w[:-1])
+    return order[places(contexts[order], rank)]
+
+
 def squeezed(x: np.ndarray) -> bytes:
     """Whole numbers in few bytes: how many distinct values, these, and each entry's place among them; or 0 and 16 bits each."""
     if not len(x) or x.max() < 1 << 16:
         return np.int64(0).tobytes() + x.astype(np.uint16).tobytes()
-    values, at = np.unique(x, return_inverse=True)
-    return np.int64(len(values)).tobytes() + values.astype(np.uint64).tobytes() + at.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32).tobytes()
+    x = x.astype(np.uint64)
+    order = places(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    values, at = x[order[new]], np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return np.int64(len(values)).tobytes() + values.tobytes() + at.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32).tobytes()
 
 
 def unsqueezed(x: bytes) -> np.ndarray:
@@ -112,7 +128,7 @@ def unsqueezed(x: bytes) -> np.ndarray:
 def dealt(words: np.ndarray, names: np.ndarray, columns: list[np.ndarray], extra=None, squeeze: bool = False, to: np.ndarray | None = None):
     """A record batch: part (one of the names), w (distinct words), n (entries of each), and the columns' values, all as bytes.  to: the number of each entry's part (by word if not given)."""
     to = (words % np.uint64(len(names))).astype(np.int64) if to is None else to
-    order = np.lexsort((words, to))
+    order = places(words, to)
     words, to, columns = words[order], to[order], [c[order] for c in columns]
     cut = starts_of(to)
     rows = []
@@ -260,6 +276,8 @@ DRAWS, ROOT_DRAWS = 4, 1 << 40
 class Model:
     """What all tasks know.  totals (part, u, sums): of the contexts of a part, in order, and by rows, customers and the tables of each kept sample.
 
+    asked (part, n, c0): contexts of the part's totals that stand before learned words of another part, which n names (twice its name, and the half of the words' hashes).
+
     common: words dealt out by context too, in order, with the number of their shares and their counts; of these the model holds what other words' tasks hold.
     root_tables, root_customers: of each state of the seating, the first with one table for each dish.  kept: the states that are averaged.
     """
@@ -269,18 +287,26 @@ class Model:
         self.shares = np.maximum(1, np.ceil(counts / max(1.0, COMMON * tokens / parts))).astype(np.uint64)
         self.discounts, self.strengths, self.samples, self.seed = discounts, strengths, samples, seed
         self.kept = list(range(burn + 1, burn + samples + 1))
+        #: Whether a common word begins with these 16 bits.
+        self.leading = np.zeros(1 << 16, bool)
+        self.leading[(common >> np.uint64(48)).astype(np.int64)] = True
         self.root_tables, self.root_customers = [], []
         #: Of common words, by state: customers and tables in the root, and tables of their own restaurants.
         self.customers, self.tables, self.opened = [], [], []
-        self.totals = self.seats = None
+        self.totals = self.seats = self.asked = None
 
     def __getstate__(self):
-        return self.__dict__ | {"totals": None, "seats": None}
+        return self.__dict__ | {"totals": None, "seats": None, "asked": None}
 
     def is_common(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether words are common, and their places among the common."""
-        at = np.minimum(np.searchsorted(self.common, words), max(0, len(self.common) - 1))
-        return (self.common[at] == words if len(self.common) else np.zeros(len(words), bool)), at
+        """Whether words are common, and the places of those that are among the common."""
+        hit, at = self.leading[(words >> np.uint64(48)).astype(np.int64)], np.zeros(len(words), np.int64)
+        maybe = np.flatnonzero(hit)
+        if len(maybe):
+            w = words[maybe]
+            at[maybe] = np.minimum(np.searchsorted(self.common, w), len(self.common) - 1)
+            hit[maybe] = self.common[at[maybe]] == w
+        return hit, at
 
     def part_of(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         to = words % np.uint64(self.parts)
@@ -320,16 +346,17 @@ def summed(u: np.ndarray, sums: np.ndarray):
     """Distinct contexts in order, and the sums of their columns."""
     if not len(u):
         return u, sums
-    order = np.argsort(u, kind="stable")
+    order = places(u)
     lo = starts_of(u[order])
     return u[order][lo], np.add.reduceat(sums[:, order], lo, axis=1)
 
 
 def gathered(pdf: pd.DataFrame, rows: int):
-    """Contexts in order and their totals, out of rows (u, sums)."""
+    """Contexts in order and their totals, out of rows (u, sums), the sums of 32 or 64 bits."""
     if not len(pdf):
         return np.zeros(0, np.uint64), np.zeros((rows, 0), np.int64)
-    return summed(blobs(pdf["u"], np.uint64), np.concatenate([np.frombuffer(x, np.int64).reshape(rows, -1) for x in pdf["sums"]], axis=1))
+    sums = [np.frombuffer(x, np.int64 if len(x) == len(u) * rows else np.int32).reshape(rows, -1) for u, x in zip(pdf["u"], pdf["sums"])]
+    return summed(blobs(pdf["u"], np.uint64), np.concatenate(sums, axis=1, dtype=np.int64))
 
 
 def found(context: np.ndarray, u: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -344,7 +371,7 @@ def found(context: np.ndarray, u: np.ndarray, sums: np.ndarray) -> np.ndarray:
 
 def totals_rows(to: np.ndarray, u: np.ndarray, sums: np.ndarray, names: np.ndarray) -> list[tuple]:
     """Rows (part, u, sums), of contexts dealt out to the parts of those numbers."""
-    order = np.argsort(to, kind="stable")
+    order = places(u, to)
     to, u, sums = to[order], u[order], sums[:, order]
     cut = starts_of(to)
     return [(int(names[to[a]]), u[a:z].tobytes(), sums[:, a:z].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(to)))]
@@ -370,7 +397,7 @@ def word_table(train: DataFrame, names: np.ndarray) -> DataFrame:
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         w, n = blobs(pdf["c0"], np.uint64), blobs(pdf["c2"], np.uint32)
-        order = np.argsort(w, kind="stable")
+        order = places(w)
         lo = starts_of(w[order])
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "words": [w[order][lo].tobytes()], "counts": [np.add.reduceat(n[order].astype(np.int64), lo).tobytes()]})
 
@@ -380,7 +407,7 @@ def word_table(train: DataFrame, names: np.ndarray) -> DataFrame:
 
 #: Rows between the steps of learning: kind says what the bytes are.
 STEP = "part long, kind int, n long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary"
-STATIC, SEATS, CONTEXTS, WORDS, ANSWERS, SINGLES, ROOT, SUMS, TOTAL = range(9)
+STATIC, SEATS, CONTEXTS, WORDS, ANSWERS, SINGLES, ROOT, SUMS, TOTAL, ASKED = range(10)
 
 
 def step_row(part: int, kind: int, n: int = 0, *blobs_: bytes) -> tuple:
@@ -394,7 +421,7 @@ def steps(rows: list[tuple]) -> pd.DataFrame:
 def sent(kind: int, origin: int, keys: np.ndarray, values: np.ndarray, names: np.ndarray) -> list[tuple]:
     """Rows that carry values of contexts or words to where they are summed, with the part that they come from."""
     to = (keys % np.uint64(len(names))).astype(np.int64)
-    order = np.argsort(to, kind="stable")
+    order = places(keys, to)
     to, keys, values = to[order], keys[order], values[order]
     cut = starts_of(to)
     return [step_row(int(names[to[x]]), kind, origin, keys[x:y].tobytes(), squeezed(values[x:y])) for x, y in zip(cut, np.append(cut[1:], len(to)))]
@@ -460,7 +487,7 @@ def learn(train: DataFrame, parts: int, **settings) -> Model:
     def send(batches):
         for words, _, first in pieces(batches, 0):
             u = contexts_of(words, first)
-            order = np.lexsort((u, words))
+            order = pair_places(words, u)
             u, words = u[order], words[order]
             lo = starts_of(words, u)
             n = np.diff(np.append(lo, len(u)))
@@ -469,10 +496,10 @@ def learn(train: DataFrame, parts: int, **settings) -> Model:
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         m, part = start.value, int(pdf["part"].iloc[0])
-        made = []
-        for _, w, u, n in sliced(pdf, (None, None)):
+        made, halves = [], []
+        for k, w, u, n in sliced(pdf, (None, None)):
             u = u.astype(np.uint64)
-            order = np.lexsort((u, w))
+            order = pair_places(w, u)
             w, u, n = w[order], u[order], n[order].astype(np.int64)
             lo = starts_of(w, u)
             w, u, n = w[lo], u[lo], np.add.reduceat(n, lo)
@@ -481,10 +508,16 @@ def learn(train: DataFrame, parts: int, **settings) -> Model:
             several = n > 1
             most = np.add.reduceat(several.astype(np.int64), at)
             made.append((w[at], size - most, most, u[several], n[several], *np.unique(u[~several], return_counts=True)))
+            halves.append(2 * k // SLICES)
         dishes = Dishes(*(np.concatenate([x[k] for x in made]) for k in range(5)))
-        alone, times = summed(np.concatenate([x[5] for x in made]), np.concatenate([x[6] for x in made])[None, :])
         rows = [step_row(part, STATIC, 0, *dishes.blobs())]
-        rows += sent(SINGLES, part, alone, times[0], nodes) if len(alone) else []
+        for half in sorted(set(halves)):
+            mine = [x for x, h in zip(made, halves) if h == half]
+            alone, times = summed(np.concatenate([x[5] for x in mine]), np.concatenate([x[6] for x in mine])[None, :])
+            rest = np.setdiff1d(np.concatenate([x[3] for x in mine]), alone)
+            rest = rest[~m.is_common(rest)[0]]
+            rows += sent(SINGLES, 2 * part + half, alone, times[0], nodes) if len(alone) else []
+            rows += sent(ASKED, 2 * part + half, rest, np.zeros(len(rest), np.int64), nodes) if len(rest) else []
         return steps(rows + dishes.report(m, part, 0, np.ones(len(dishes.count), np.int64), nodes))
 
     def sweep(state: int):
@@ -601,21 +634,24 @@ def learn(train: DataFrame, parts: int, **settings) -> Model:
         x = x.select("part", "n", F.col("b0").alias("u"), F.lit(None).cast("binary").alias("sums"))
         every = x if every is None else every.unionByName(x)
     m.seats = stored(every)
+    # scoring asks for the totals of these contexts; it need not read the learned texts for them again
+    m.asked = stored(first.filter(F.col("kind").isin(SINGLES, ASKED)).select("part", "n", F.col("b0").alias("c0")))
     for x in spent:
         drop(x)
     return m
 
 
-DOC = np.dtype([("key", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
+DOC = np.dtype([("key", "<i8"), ("n", "<i4"), ("known", "<i4"), ("base", "<f8"), ("score", "<f8")])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (key, learned, text) -> key, n_tokens, n_known, base_score, score; rows of one key must be alike.
+    """docs (key, learned, text) -> key, n_tokens, n_known, base_score, score; rows of one key must be alike, and those learned the model's.
 
     The words go in two rounds, the lower half of the hashes first: a round's shuffle files are deleted before the next.
     """
     parts = model.parts
     held, spread = docs.sparkSession.sparkContext.broadcast(model), part_names(parts)
+    number = {int(name): k for k, name in enumerate(spread)}
 
     def send(batches, half: int):
         for words, row, first, keys, learned in pieces(batches, 2, (0, 1)):
@@ -626,7 +662,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield dealt(w, spread, [u, row[here]], about, squeeze=True, to=held.value.part_of(w, u))
 
     def ask(batches, half: int):
-        """Contexts, dealt out like the totals, with the numbers of the parts that have words after them; the model has those of common words."""
+        """Contexts of texts that were not learned, dealt out like the totals, with the numbers of the parts that have words after them; the model has those of common words."""
         for words, _, first in pieces(batches, 0):
             here = words >> np.uint64(63) == half
             w, u = words[here], contexts_of(words, first)[here]
@@ -635,7 +671,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if not len(u):
                 continue
             to = held.value.part_of(w, u).astype(np.uint32)
-            order = np.lexsort((to, u))
+            order = pair_places(u, to.astype(np.uint64))
             u, to = u[order], to[order]
             lo = starts_of(u, to)
             yield dealt(u[lo], spread[: held.value.nodes], [to[lo]], squeeze=True)
@@ -643,15 +679,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def reply(asked: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(asked) and len(totals):
-            u, to = np.repeat(blobs(asked["c0"], np.uint64), blobs(asked["c1"], np.uint32)), np.concatenate([unsqueezed(x) for x in asked["c2"]])
-            order = np.lexsort((u, to))
+            of = [(np.frombuffer(u, np.uint64), n, c1, c2) for n, u, c1, c2 in zip(asked["n"], asked["c0"], asked["c1"], asked["c2"])]
+            to = np.concatenate([unsqueezed(c2).astype(np.int64) if n < 0 else np.full(len(u), number[n // 2]) for u, n, _, c2 in of])
+            u = np.concatenate([np.repeat(u, np.frombuffer(c1, np.uint32)) if n < 0 else u for u, n, c1, _ in of])
+            rare = ~held.value.is_common(u)[0]
+            u, to = u[rare], to[rare]
+            order = places(u, to)
             u, to = u[order], to[order]
             lo = starts_of(to, u)
-            u, to = u[lo], to[lo].astype(np.int64)
+            u, to = u[lo], to[lo]
             sums = found(u, *gathered(totals, held.value.samples + 1))
             seen = sums[0] > 0
             if seen.any():
-                rows = totals_rows(to[seen], u[seen], sums[:, seen], spread)
+                sums = sums[:, seen]
+                rows = totals_rows(to[seen], u[seen], sums.astype(np.int32) if sums.max() < 1 << 31 else sums, spread)
         return pd.DataFrame([(p, 0, u, x) for p, u, x in rows], columns=["part", "n", "u", "sums"])
 
     def judge(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -670,7 +711,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for s, w, u, row, blob in sliced(pdf, (None, None), owned=True):
             u, row = u.astype(np.uint64), (row + shift[blob]).astype(np.int32)
             del blob
-            order = np.lexsort((u, w))
+            order = pair_places(w, u)
             w, u, row = w[order], u[order], row[order]
             lo = starts_of(w, u)
             which = np.repeat(np.arange(len(lo), dtype=np.int32), np.diff(np.append(lo, len(w))))
@@ -698,8 +739,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 totals[1 + k, hot] = m.opened[state][at[hot]]
                 p += m.probability(k, count, opened, totals, m.parent(state, customers, in_root)[word])
             n = len(out)
-            out["n"] += np.bincount(row, minlength=n)
-            out["known"] += np.bincount(row, weights=(c[word] > 0)[which], minlength=n).astype(np.int64)
+            out["n"] += np.bincount(row, minlength=n).astype(np.int32)
+            out["known"] += np.bincount(row, weights=(c[word] > 0)[which], minlength=n).astype(np.int32)
             out["base"] += np.bincount(row, weights=np.log10((c[word] + 1) / (m.tokens + m.kinds + 1))[which], minlength=n)
             out["score"] += np.bincount(row, weights=np.log10(p / m.samples)[which], minlength=n)
         out = out[out["n"] > 0]
@@ -712,13 +753,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         x = blobs(pdf["docs"], DOC)
         # logarithms are added in one order, whatever the order of the parts
-        x = x[np.lexsort((x["score"], x["n"], x["key"]))]
+        with np.errstate(over="ignore"):
+            x = x[pair_places(x["key"].view(np.uint64), mix(mix(x["score"].view(np.uint64)) + x["base"].view(np.uint64)))]
         lo = starts_of(x["key"])
-        return pd.DataFrame({"key": x["key"][lo], "n_tokens": np.add.reduceat(x["n"], lo), "n_known": np.add.reduceat(x["known"], lo), "base_score": np.add.reduceat(x["base"], lo), "score": np.add.reduceat(x["score"], lo)})
+        return pd.DataFrame({"key": x["key"][lo], "n_tokens": np.add.reduceat(x["n"], lo, dtype=np.int64), "n_known": np.add.reduceat(x["known"], lo, dtype=np.int64), "base_score": np.add.reduceat(x["base"], lo), "score": np.add.reduceat(x["score"], lo)})
 
     def judged(half: int) -> DataFrame:
         sent = docs.select("key", "learned", "text").mapInArrow(lambda x: send(x, half), "part long, " + ", ".join(f"c{i} binary" for i in range(5)))
-        asked = docs.select("text").mapInArrow(lambda x: ask(x, half), "part long, c0 binary, c1 binary, c2 binary")
+        asked = docs.filter("learned = 0").select("text").mapInArrow(lambda x: ask(x, half), "part long, c0 binary, c1 binary, c2 binary").withColumn("n", F.lit(-1).cast("long"))
+        asked = asked.unionByName(model.asked.filter(F.col("n") % 2 == half), allowMissingColumns=True)
         replies = asked.groupBy("part").cogroup(model.totals.groupBy("part")).applyInPandas(reply, "part long, n long, u binary, sums binary")
         mine = F.floor(F.pmod("n", F.lit(SLICES)) * 2 / F.lit(SLICES)) == half
         told = replies.unionByName(model.seats.filter(mine))

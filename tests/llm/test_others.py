@@ -14,6 +14,7 @@ import pytest
 
 from millrace.llm import decontaminate, langid, language_model, maxscore, mixing, pii, queries, warc
 from millrace.llm.shared import part_names, stored
+from millrace.llm.text import places
 from millrace.storage import shared_dir
 
 # --- language id
@@ -621,6 +622,35 @@ def test_every_context_has_a_restaurant(spark):
     assert all(out[k] > out[50 + k] + 2 for k in range(50))
 
 
+def test_contexts_of_learned_texts_are_not_looked_for_again(spark):
+    texts = some_texts(4, 80, "abcdefghijklmnopqrstuvwxyz")
+    model = language_model.learn(spark.createDataFrame([(t,) for t in texts], "text string"), 5)
+    w, u, _ = words_and_contexts(texts)
+    names, rare = part_names(5), ~model.is_common(u)[0]
+    want = {(int(names[p]), int(b) >> 63, int(a)) for p, a, b in zip(model.part_of(w, u), u, w)}
+    rows = [(r["n"] // 2, r["n"] % 2, int(a)) for r in model.asked.collect() for a in np.frombuffer(r["c0"], np.uint64)]
+    common = set(u[~rare].tolist())
+    assert common and sorted(x for x in rows if x[2] not in common) == sorted(x for x in want if x[2] not in common)  # each once
+    assert set(rows) <= want
+    # what is asked besides comes from texts that were not learned: none here, and the scores are those of the plain model
+    out = {r["key"]: r["score"] for r in language_model.score(spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "key long, learned long, text string"), model).collect()}
+    plain_model = PlainModel(model, texts)
+    for k, t in list(enumerate(texts))[::9]:
+        w, u, _ = words_and_contexts([t])
+        assert math.isclose(out[k], sum(math.log10(plain_model.probability(a, b)) for a, b in zip(u.tolist(), w.tolist())), rel_tol=1e-9)
+
+
+def test_places():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000, 50000):
+        some = rng.integers(0, 2**64, max(1, n // 10), dtype=np.uint64)
+        alike = (rng.integers(0, 8, n).astype(np.uint64) << np.uint64(61)) | rng.integers(0, 1000, n).astype(np.uint64)  # the same leading bits
+        for keys in (rng.integers(0, 2**64, n, dtype=np.uint64), some[rng.integers(0, len(some), n)], alike, np.full(n, 2**64 - 1, np.uint64)):
+            group = rng.integers(0, 51, n)
+            assert (places(keys) == np.argsort(keys, kind="stable")).all() and (places(keys, group) == np.lexsort((keys, group))).all()
+            assert (language_model.pair_places(keys, alike) == np.lexsort((alike, keys))).all()
+
+
 def drawn(count, weight, rest=0.0, strength=1.0, discount=0.8, n=40000):
     key = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return language_model.tables(np.full(n, count), np.full(n, rest), np.full(n, weight), strength, discount, key, 7)
