@@ -57,6 +57,12 @@ def test_sliding_argmin():
     assert len(sliding_argmin(keys, 301)) == 0
 
 
+def test_least_key_does_not_depend_on_how_many_there_are():
+    pair = np.array([1 << 20, 0], np.uint64)
+    for n in (0, 1 << 10, 1 << 21):
+        assert sliding_argmin(np.concatenate([pair, np.full(n, 1 << 63, np.uint64)]), 2)[0] == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_substring(spark, seed):
     rows = list(enumerate(texts(seed, 50))) + ODD
@@ -119,6 +125,19 @@ def test_passages_of_over_50_words(spark):
     assert [r["n_removed"] for r in sorted(got)] == [0, 0, 400, 400, 401, 401]
 
 
+def test_repeat_in_a_text_of_a_megabyte(spark):
+    """Two grams of this passage have hashes alike in their high 43 bits, both less than all others': its anchor is the same in a short text and in a long one."""
+    left = "h    pbx lmiqjtsohqomnpyy wevqrut cme jbgvhubyda g krhfgstxtapnnj  auuizvzw wa rw f xniya yr ygr khhavxnozxpuy ubgijjeslkvlhlxvw"
+    right = "yamyapksrs  nvophxvljbnghrlv  qqd o cjnli zjegmdgh bhynoxnnxvx be b rnmzpssvve mjel a ld rbnhgdkypojxqmnrrpvbwxm hmmqg c teobytf"
+    rng = np.random.default_rng(1)
+    other = lambda n: (rng.integers(0, 26, n) + 97).astype(np.uint8).tobytes().decode()
+    passage = left + right + other(144)
+    rows = [(1, other(20) + "1" + passage + "1" + other(20)), (2, other(1 << 20) + "2" + passage + "2" + other(20)), (3, other(2000))]
+    got = sorted(bytes_dedup.dedup_bytes(frame(spark, rows)).collect())
+    assert [(r["n_removed"], r["n_spans"]) for r in got] == [(400, 1), (400, 1), (0, 0)]
+    assert [bytes(r["kept"]).decode() for r in got] == [t.replace(passage, "") for _, t in rows]
+
+
 def test_pieces_keep_equal_windows_together():
     """Split at every size: equal windows share a group, each window is in one piece, and a piece of one place is a window."""
     from millrace.llm.anchors import segments, split
